@@ -115,7 +115,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def bit_words(df: DataFrame, bit: Column, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with those set that occur in df; what reaches the driver is bounded by its size."""
-    rows = df.select(bit.alias("b")).where("b is not null").groupBy((F.col("b") / 32).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("b") % 32).cast("int"))).alias("v"))
+    rows = df.select(bit.alias("b")).where("b is not null").groupBy(F.expr("cast(b div 32 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 32 as int)))").alias("v"))
     got = rows.toArrow()
     out = np.zeros(max(1, 2**bits // 32), np.uint32)
     out[got["w"].to_numpy()] = got["v"].to_numpy().astype(np.uint32)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import fingerprints, mixing, packing, pii, quality_rules
+from lodestar.llm import fingerprints, mixing, packing, pii, quality_rules, substrings
 from lodestar.llm.common import table
 
 
@@ -26,10 +26,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_repeat=4.0)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.strip(table(spark, sf_dir, "documents"), width=50)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_fingerprints, op7_mixing, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_fingerprints, op7_mixing, op8_substrings, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
