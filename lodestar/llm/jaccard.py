@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, bit_words, cut, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, signed
+from lodestar.llm.common import WordHash, bit_set, bit_words, carried, cut, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, restored, signed
 from lodestar.llm.components import components
 
 SKETCH_BITS, DEPTH, PIVOTS, ID_BITS = 18, 3, 4, 22
@@ -196,3 +196,28 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     reached = own.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return reached.unionByName(empty).select("doc_id", "n_shingles", F.when(F.col("component_id") < 2**62, F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near copies: of each component the document with the smallest id, once; the columns stay.
+
+    Documents that lose are few, so only those (and what a bitmap of their ids lets through) move.
+    """
+    found = cut(join(docs, n, percent))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_gone"))
+    bits = bit_words(gone.unionByName(repeated), id_bit("_gone", ID_BITS), ID_BITS)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    docs, columns = carried(docs, "doc_id"), ["doc_id", "_row"]
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~bit_set(sent.value, b.column(len(columns)).to_numpy()))).select(columns)
+
+    clear = map_arrow(docs.withColumn("_bit", id_bit("doc_id", ID_BITS)), untouched, docs.schema)
+    asked = in_bitmap(docs, "doc_id", bits, ID_BITS, columns)
+    # a null id stays: nothing says which of its rows another repeats
+    first = asked.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*columns)
+    once = first.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("_row")))).where("_r = 1").drop("_r")
+    return restored(clear.unionByName(asked.where("doc_id is null")).unionByName(once))

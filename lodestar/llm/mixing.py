@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, only
+from lodestar.llm.common import carried, cut, only, restored
 
 SEED, BLOCKS, RANGE_DOCS, SECTIONS, ROUNDS = 20_240_601, 64, 2000, 16, 6
 
@@ -136,4 +136,4 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
 
 def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None) -> DataFrame:
     """docs with each document as often as the mix uses it; the columns stay."""
-    return copies(docs, plan(_slim(docs), target_entropy, max_repeat, budget)).select(*docs.columns)
+    return restored(copies(carried(docs, "doc_id", "source"), plan(_slim(docs), target_entropy, max_repeat, budget)))

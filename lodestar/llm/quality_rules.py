@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, only
+from lodestar.llm.common import carried, cut, only, restored
 
 BITS = 16
 #: Labelled documents that the trusted target is counted from, at most.
@@ -94,9 +94,8 @@ def repeated_words(h: str) -> Column:
 def score_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns keep), the base counts, base_failed, llr and kept."""
     keep = keep or ["doc_id"]
-    base = only(docs, *dict.fromkeys([*keep, "text"]))
-    log = array_of(weights_rows(base if "doc_id" in base.columns else docs, labels, bits, target_docs), bits).scalar()
-    rows = with_words(base, *[k for k in keep if k != "text"]).select("*", buckets("h", bits).alias("grams"), log.alias("log"))
+    log = array_of(weights_rows(docs, labels, bits, target_docs), bits).scalar()
+    rows = with_words(only(docs, *keep, "text"), *keep).select("*", buckets("h", bits).alias("grams"), log.alias("log"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     llr = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(F.col("log"), b)) / F.greatest(F.size("grams"), F.lit(1))
     counted = rows.select(
@@ -110,3 +109,8 @@ def score_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold:
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+
+
+def kept(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+    """The rows of docs that the rules keep; the columns stay."""
+    return restored(score_rules(carried(docs, "doc_id", "text"), labels, bits, threshold, target_docs, keep=["_row"]).where("kept"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import fingerprints, jaccard, mixing, packing, pii, quality_rules, substrings
+from lodestar.llm import fingerprints, jaccard, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, substrings, token_counts
 from lodestar.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_repeat=4.0)
 
@@ -34,10 +42,14 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip(table(spark, sf_dir, "documents"), width=50)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_fingerprints, op5_jaccard_join, op7_mixing, op8_substrings, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_fingerprints, op4_lm_scoring, op5_jaccard_join, op6_quality_classifier, op7_mixing, op8_substrings, op9_token_counts, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -32,14 +32,16 @@ def _fast(path: str):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, json_path: str, ranks_path: str) -> np.ndarray:
-    """Ids of text, no special tokens added."""
-    if SPECIAL not in text:
+def encode(text: str, json_path: str, ranks_path: str, special: bool = True) -> np.ndarray:
+    """Ids of text, no special tokens added; with special=False the string of a special token is ordinary text."""
+    if not special or SPECIAL not in text:
         try:
             return np.asarray(_fast(ranks_path).encode_ordinary(text), np.uint32)
         except (ValueError, RuntimeError):
             pass
-    return np.asarray(_exact(json_path).encode(text, add_special_tokens=False).ids, np.uint32)
+    t = _exact(json_path)
+    t.encode_special_tokens = not special
+    return np.asarray(t.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def default_paths() -> tuple[str, str]:
