@@ -17,7 +17,11 @@ def prose_tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 def term_counts(docs: DataFrame, key: str, weighted: list[tuple[Column, int]], stop: tuple[str, ...] = ()) -> DataFrame:
     """key, term, tf: token counts, each text counted as often as its weight."""
-    arrays = F.flatten(F.array(*[F.transform(prose_tokens(F.coalesce(c, F.lit("")), stop), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in weighted]))
+
+    def each(c: Column, w: int) -> Column:
+        return F.transform(prose_tokens(F.coalesce(c, F.lit("")), stop), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    arrays = F.flatten(F.array(*[each(c, w) for c, w in weighted]))
     return docs.select(key, F.explode(arrays).alias("x")).groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
 
 

@@ -36,7 +36,7 @@ def nearest(passages: DataFrame, queries: list[list[float]], k: int, key: str =
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, dist = b.column(0).to_numpy(), 1 - _unit(_matrix(b.column(1))) @ q.T
+            ids, dist = b.column(0).to_numpy(), np.round(1 - _unit(_matrix(b.column(1))) @ q.T, 12)
             for i in range(len(q)):
                 d = dist[:, i]
                 near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
@@ -68,7 +68,7 @@ def multi_facet(items: DataFrame, facets: list[list[float]], k: int, key: str =
         for b in batches:
             if b.num_rows:
                 d = 1 - _unit(_matrix(b.column(1))) @ q.T
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d.min(axis=1)), pa.array(np.round(d, 12).argmin(axis=1).astype(np.int32))], [key, "distance", "facet"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(d.min(axis=1), 12)), pa.array(np.round(d, 12).argmin(axis=1).astype(np.int32))], [key, "distance", "facet"])
 
     d = items.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(scan, f"{key} long, distance double, facet int")
     best = d.orderBy("distance", key).limit(k)  # a bounded top-k
