@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch carries to Python: long texts stay a few MB a batch.
 ARROW_ROWS = 256
-#: Distinct words a Python worker remembers the hash of; the memo is emptied when full.
-MEMO_WORDS = 400_000
+#: Entries of a Python worker's memo of words; it is emptied when full.
+MEMO_WORDS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,18 +77,15 @@ def raw_bytes(column: pa.Array) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-# Words are runs of anything but \x20 and \x09-\x0D; bytes.split() splits at exactly these.
-class WordHash(dict):
-    """64-bit xxh3 of a word, remembered for a bounded number of words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit xxh3 of each word. Words are runs of anything but \x20 and \x09-\x0D; bytes.split() splits at exactly these."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)

@@ -9,8 +9,11 @@
 5. Members: pairs of groups are expanded to pairs of classes and verified on the whole sets, exactly.
 
 So that thousands of near copies don't make millions of pairs, the join runs twice. The first run only links each group
-with its list's pivot (few pairs a list); what it verifies becomes components. The second, complete run then asks only for
-pairs whose components differ. No link between components is lost, and pairs inside one need no look.
+with its lists' pivots, the groups whose prefixes are the least their own; what it verifies becomes components. The second,
+complete run then looks only at pairs whose components differ. Pairs inside one need no look, and no link between two is
+lost. Groups of long lists have a home, the most central of their pivots: two of one home are compared in blocks of sets,
+which give out links and no pairs; each block is of bounded size, and only those outside the home's own component meet all
+blocks. Pairs of different homes, or of short lists, are joined.
 
 Sets move only for documents in some candidate pair; a bitmap of bounded size keeps the rest where they lie.
 
@@ -28,28 +31,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, bit_set, bit_words, carried, cut, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, restored, signed
+from lodestar.llm.common import bit_set, bit_words, carried, cut, distinct, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, restored, signed, small_batches, word_hashes
 from lodestar.llm.components import components
 
-SKETCH_BITS, DEPTH, PIVOTS, ID_BITS = 18, 3, 4, 22
+SKETCH_BITS, DEPTH, LONG, BLOCK, ID_BITS = 18, 3, 16, 256, 22
 _SEED = np.uint64(0x51ED270B7F4A7C15)
 
 
-def shingles(text: bytes | None, words: WordHash, n: int) -> np.ndarray:
+def shingles(text: bytes | None, n: int) -> np.ndarray:
     """Distinct hashes of the runs of n words (A-Z lowered), sorted; the whole sequence if it is shorter."""
-    h = words.of((text or b"").lower().split())
-    return np.unique(ngrams(h, min(n, len(h)))) if len(h) else h
+    h = word_hashes((text or b"").lower().split())
+    return distinct(ngrams(h, min(n, len(h)))) if len(h) else h
 
 
 def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     """Documents a sketch cell, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, some = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64), False
+        total, some = np.zeros(1 << SKETCH_BITS, np.int64), False
         held: list[np.ndarray] = []
         for b in batches:
             for text in raw_bytes(b.column(0)):
-                held.append((shingles(text, words, n) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
+                held.append((shingles(text, n) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
             some = True
             if sum(map(len, held)) > 1 << 20:
                 total += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS)
@@ -62,11 +65,12 @@ def frequencies(docs: DataFrame, n: int) -> np.ndarray:
     rows = map_arrow(docs.select("text"), count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)  # at most 2**SKETCH_BITS rows
     out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return out.astype(np.float32)
+    return np.round(1000 * np.log1p(out)).astype(np.uint16)
 
 
 def ordered(s: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))]
+    """Rarest first; s is sorted and the sort is stable, so ties go by hash in every document."""
+    return s[np.argsort(frequency[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
 
 
 def need(x: int, y: int, percent: int) -> int:
@@ -85,11 +89,10 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     names = ["doc_id", "key", "n_shingles", "hi", "lo", "prefix"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for doc, text in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
-                s = shingles(text, words, n)
+                s = shingles(text, n)
                 size = len(s)
                 with np.errstate(over="ignore"):
                     a, c = mix(s, s, 3), mix(s ^ _SEED, s, 5)
@@ -104,19 +107,16 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), sign, "doc_id long, key long, n_shingles long, hi long, lo long, prefix array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b: keys) whose sets link."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """key, s (the sorted set as bytes) of the documents in nodes (key)."""
+    nodes = nodes.select("key").distinct()
     bits = bit_words(nodes, id_bit("key", ID_BITS), ID_BITS)
-    if not bits.any():
-        return pairs.limit(0)
     # a null id's node is named by its set, so those rows always come along
     plain = in_bitmap(docs.where("doc_id is not null"), "doc_id", bits, ID_BITS, ["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for b in batches:
-            got = [shingles(t, words, n) for t in raw_bytes(b.column(1))]
+            got = [shingles(t, n) for t in raw_bytes(b.column(1))]
             keys = []
             for doc, s in zip(b.column(0).to_pylist(), got):
                 if doc is None:
@@ -125,7 +125,12 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 keys.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["key", "s"])
 
-    found = map_arrow(plain, sets, "key long, s binary").join(nodes, "key").distinct()
+    return map_arrow(plain, sets, "key long, s binary").join(nodes, "key").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b: keys) whose sets link."""
+    found = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")), n)
     both = pairs.join(found.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +138,57 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(u) + len(v) - len(np.union1d(u, v))
+                common = len(u) + len(v) - len(distinct(np.concatenate([u, v])))
                 keep.append(100 * common >= percent * (len(u) + len(v) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long")
 
 
+def at_home(docs: DataFrame, where: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between components, of sets with one home. where: rep, c (component), home."""
+    placed = where.where("home is not null").select("rep", "c", "home")
+    own = placed.where("rep = home").select("home", F.col("c").alias("hc"))
+    sides = placed.join(own, "home", "left").withColumn("few", F.coalesce(F.col("c") != F.col("hc"), F.lit(True)))
+    sizes = sides.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if("few") / BLOCK).cast("int").alias("ns")).where("ns > 0")
+    sides = cut(sides.join(sizes, "home"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("rep"), F.greatest("ns", F.lit(1))).cast("int")
+
+    def spread(i, j, few: bool):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(few).alias("asks"))
+
+    every = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: spread(mine[0], j, False))
+    asking = F.when(F.col("few"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: spread(i, mine[1], True))).otherwise(F.array().cast("array<struct<i:int,j:int,asks:boolean>>"))
+    rows = sides.select("home", "rep", "c", F.explode(F.concat(every, asking)).alias("x")).select("home", "x.i", "x.j", "x.asks", F.col("rep").alias("key"), "c")
+    rows = rows.join(sets_of(docs, sides.select(F.col("rep").alias("key")), n), "key")
+
+    def compare(t: pa.Table) -> pa.Table:
+        asks = np.array(t["asks"].to_pylist(), bool)
+        keys, c = t["key"].to_numpy(), t["c"].to_numpy()
+        raw = t["s"].to_pylist()
+        theirs = np.flatnonzero(~asks)
+        out_a, out_b = [], []
+        if len(theirs):
+            sets = [np.frombuffer(raw[k], np.uint64) for k in theirs]
+            length = np.array([len(x) for x in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), length)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for k in np.flatnonzero(asks):
+                x = np.frombuffer(raw[k], np.uint64)
+                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                span = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((100 * common >= percent * (len(x) + length - common)) & (c[theirs] != c[k]))
+                for m in dict(zip(c[theirs][hit].tolist(), hit.tolist())).values():  # one link a component is enough
+                    out_a.append(keys[k])
+                    out_b.append(keys[theirs[m]])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return small_batches(rows).groupBy("home", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _close(x: str, y: str, percent: int) -> str:
     """The size filter, in integers."""
     return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
@@ -158,33 +207,40 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     member = cut(members.join(groups, ["g1", "g2", "n_shingles"]).select("rep", "leader", "size", "n_shingles", "prefix"))
     posted = member.where("rep = leader").select("leader", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
-    postings = cut(posted.join(lists.select("token"), "token"))
-
-    # first run: a group and its list's pivots, a group's members and its leader
-    pivot = F.min_by("leader", F.xxhash64("leader", F.pmod("token", F.lit(PIVOTS))))
-    pivots = postings.groupBy("token").agg(pivot.alias("p")).join(postings.select("token", F.col("leader").alias("p"), F.col("n").alias("m")), ["token", "p"])
-    star = postings.join(pivots, "token").where("leader != p").where(_close("n", "m", percent))
+    postings = posted.join(lists, "token")
+    # how little of a group's prefix is its own
+    weight = F.sum(F.log("many")) / F.first(F.col("n") - F.ceil(F.col("n") * percent / 100) + DEPTH)
+    central = postings.groupBy("leader").agg(weight.alias("central"))
+    postings = cut(postings.join(central, "leader"))
+
+    # first run: a group and its lists' pivots, a group's members and its leader
+    pivots = postings.groupBy("token").agg(F.max_by(F.struct(F.col("leader").alias("p"), F.col("n").alias("m"), F.col("central").alias("pc")), F.struct("central", -F.col("leader"))).alias("v")).select("token", "v.*")
+    led = cut(postings.select("token", "leader", "n", "many").join(pivots, "token"))
+    star = led.where("leader != p").where(_close("n", "m", percent))
     star = star.groupBy(F.least("leader", "p").alias("a"), F.greatest("leader", "p").alias("b")).agg(F.count("*").alias("shared")).where("shared > 1").select("a", "b")
     inside = member.where("size > 1 and rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     first = cut(verified(docs, cut(star.unionByName(inside).distinct()), n, percent))
     part = components(first)
 
-    # second run: all pairs of groups that share enough, if their members' components may differ
-    where = cut(member.select("rep", "leader").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "leader", F.coalesce("component", "rep").alias("c")))
-    whole = where.groupBy("leader").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one"))
-    side = postings.join(whole, "leader")
-    mixed = side.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.bool_and("one").alias("o")).where("x < y or not o").select("token")
-    side = cut(side.join(mixed, "token"))
+    # second run, over what the first leaves apart
+    home = led.where(f"many >= {LONG}").groupBy("leader").agg(F.max_by("p", F.struct("pc", -F.col("p"))).alias("home"))
+    where = member.select("rep", "leader").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "leader", F.coalesce("component", "rep").alias("c"))
+    where = cut(where.join(home, "leader", "left"))
+    whole = where.groupBy("leader").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one"), F.first("home").alias("home"))
+    side = postings.select("token", "leader", "n", "at").join(whole, "leader")
+    apart = "(min(c) < max(c) or not bool_and(one)) and not (count(home) = count(*) and min(home) = max(home))"
+    side = cut(side.join(side.groupBy("token").agg(F.expr(apart).alias("apart")).where("apart").select("token"), "token"))
     left, right = side.toDF(*[f"{c}1" if c != "token" else c for c in side.columns]), side.toDF(*[f"{c}2" if c != "token" else c for c in side.columns])
     room = "least(at1, at2) + 1 + least(n1 - at1, n2 - at2) - 1"
-    found = left.join(right, "token").where("leader1 < leader2 and (c1 != c2 or not one1 or not one2)").where(_close("n1", "n2", percent)).where(f"({room}) * {100 + percent} >= {percent} * (n1 + n2)")
+    differ = "leader1 < leader2 and (c1 != c2 or not one1 or not one2) and not coalesce(home1 = home2, false)"
+    found = left.join(right, "token").where(differ).where(_close("n1", "n2", percent)).where(f"({room}) * {100 + percent} >= {percent} * (n1 + n2)")
     pairs = found.groupBy("leader1", "leader2").agg(F.count("*").alias("shared")).where(f"shared >= {DEPTH}")
-    a, b = where.toDF("a", "leader1", "ca"), where.toDF("b", "leader2", "cb")
+    a, b = where.select("rep", "leader", "c").toDF("a", "leader1", "ca"), where.select("rep", "leader", "c").toDF("b", "leader2", "cb")
     across = pairs.join(a, "leader1").join(b, "leader2").where("ca != cb").select("a", "b")
-    loose = where.join(whole.where("not one").select("leader"), "leader")
-    within = loose.toDF("leader", "a", "ca").join(loose.toDF("leader", "b", "cb"), "leader").where("a < b and ca != cb").select("a", "b")
+    loose = where.where("home is null").join(whole.where("not one").select("leader"), "leader").select("rep", "leader", "c")
+    within = loose.toDF("a", "leader", "ca").join(loose.toDF("b", "leader", "cb"), "leader").where("a < b and ca != cb").select("a", "b")
     wanted = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = verified(docs, cut(wanted), n, percent)
+    second = verified(docs, cut(wanted), n, percent).unionByName(at_home(docs, where, n, percent))
 
     # rows with one id but several sets are one node: each of its classes is linked with it
     own = rows.where("n_shingles > 0").join(classes, ["hi", "lo", "n_shingles"]).select("doc_id", "key", "n_shingles", "rep")

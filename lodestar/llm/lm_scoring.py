@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, bit_set, bit_words, cut, id_bit, in_bitmap, map_arrow, mix, only, raw_bytes
+from lodestar.llm.common import bit_set, bit_words, cut, id_bit, in_bitmap, map_arrow, mix, only, raw_bytes, word_hashes
 
 WORD_BITS, PAIR_BITS, ID_BITS = 18, 20, 23
 FLOOR, BACK, SEED, THRESHOLD = 0.1, 4.0, 20_240_601, 1.5
@@ -37,9 +37,9 @@ PLACES = (1 << WORD_BITS) + (1 << PAIR_BITS)
 _START = np.array([0x243F6A8885A308D3], np.uint64)
 
 
-def places(text: bytes | None, words: WordHash) -> tuple[np.ndarray, np.ndarray]:
+def places(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Places of the words and of the pairs that end in them (the first word's pair begins at the start of the text)."""
-    h = words.of((text or b"").split())
+    h = word_hashes((text or b"").split())
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     pair = mix(np.concatenate([_START, h[:-1]]), h, 61)
@@ -50,10 +50,10 @@ def counts(docs: DataFrame) -> DataFrame:
     """place, n over all rows of docs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total, held, n = WordHash(), np.zeros(PLACES, np.int64), [], 0
+        total, held, n = np.zeros(PLACES, np.int64), [], 0
         for b in batches:
             for text in raw_bytes(b.column(0)):
-                for p in places(text, words):
+                for p in places(text):
                     held.append(p)
                     n += len(p)
             if n > 1 << 21:
@@ -94,13 +94,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.bool_()]
 
-    def scored(ids, texts, member, words: WordHash) -> pa.RecordBatch:
+    def scored(ids, texts, member) -> pa.RecordBatch:
         full, thin, aim, _ = sent.value
         V = 1 << WORD_BITS
         n_thin, n_full, n_aim = (float(x[:V].sum()) for x in (thin, full, aim))
         cols: list[list] = [[] for _ in names]
         for doc, text, inside in zip(ids, texts, member):
-            w, p = places(text, words)
+            w, p = places(text)
             n = len(w)
             losses = (0.0, 0.0)
             if n:
@@ -123,15 +123,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for b in batches:
             b = b.filter(pa.array(~bit_set(sent.value[3], b.column(0).to_numpy())))
-            yield scored(b.column(1).to_pylist(), raw_bytes(b.column(2)), [False] * b.num_rows, words)
+            yield scored(b.column(1).to_pylist(), raw_bytes(b.column(2)), [False] * b.num_rows)
 
     def maybe_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for b in batches:
-            yield scored(b.column(0).to_pylist(), raw_bytes(b.column(1)), [x is not None for x in b.column(2).to_pylist()], words)
+            yield scored(b.column(0).to_pylist(), raw_bytes(b.column(1)), [x is not None for x in b.column(2).to_pylist()])
 
     first = map_arrow(docs.select(id_bit("doc_id", ID_BITS).alias("_bit"), "doc_id", "text"), outside, SCHEMA)
     second = maybe.join(good.withColumn("good", F.lit(1)), "doc_id", "left").select("doc_id", "text", "good")

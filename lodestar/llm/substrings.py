@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, bit_set, bit_words, cut, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, signed
+from lodestar.llm.common import bit_set, bit_words, cut, distinct, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, signed, word_hashes
 
 GRAM = 8
 ID_BITS = 23
@@ -72,7 +72,7 @@ def repeated_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """The merged sketch as bits: cells that reach two."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = WordHash(), [], 0
+        held, n = [], 0
 
         def out() -> pa.RecordBatch:
             cell, count = np.unique(np.concatenate(held), return_counts=True)
@@ -80,10 +80,10 @@ def repeated_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
 
         for b in batches:
             for text in raw_bytes(b.column(0)):
-                a = anchors(words.of((text or b"").split()), width)
+                a = anchors(word_hashes((text or b"").split()), width)
                 if len(a):
                     # one count a document and cell: repeats within a document are no repeats
-                    a = np.unique(np.concatenate(cells(np.unique(a), bits)))
+                    a = distinct(np.concatenate(cells(distinct(a), bits)))
                     held.append(a)
                     n += len(a)
             if n > 1 << 20:
@@ -101,11 +101,10 @@ def marked_windows(docs: DataFrame, width: int, bits: int, repeated: np.ndarray)
     sent = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for b in batches:
             his, los, ids, ats = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
-                h = words.of((text or b"").split())
+                h = word_hashes((text or b"").split())
                 a = anchors(h, width)
                 if not len(a):
                     continue
