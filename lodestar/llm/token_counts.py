@@ -71,7 +71,7 @@ def count_tokens(slabs: DataFrame, end_id: int = END, slab: int = SLAB) -> DataF
                 ends.append(np.flatnonzero(ids == end_id).astype(np.int32))
                 n.append(len(ids))
             cols = [b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(ends, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols + [b.column(3)] * named, ["file", "slab", "n", "ends"] + ["names"] * named)
+            yield pa.RecordBatch.from_arrays(cols + ([b.column(3)] if named else []), ["file", "slab", "n", "ends"] + ["names"] * named)
 
     columns = ["file", "slab", "ids"] + ["names"] * named
     found = small_batches(slabs.select(*columns), 64).mapInArrow(search, "file int, slab long, n int, ends array<int>" + ", names array<long>" * named)
