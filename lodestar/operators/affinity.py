@@ -51,10 +51,18 @@ def margins(scored: DataFrame, doc: str = "handle") -> DataFrame:
     """(first - second) / first of each document that has two scores; percentiles at index int(n p / 100)."""
     top = scored.where("affinity_rank <= 2").groupBy(doc).agg(F.max(F.when(F.col("affinity_rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("affinity_rank") == 2, F.col("score"))).alias("s2"))
     m = top.where("s1 > 0 and s2 is not null").select(((F.col("s1") - F.col("s2")) / F.col("s1")).alias("margin"))
-    # bounded memory at any size: rank within value ranges would be needed only past a few million documents
-    ranked = m.select("margin", F.row_number().over(Window.orderBy("margin")).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    at = [F.round(F.max(F.when(F.col("r") == F.least(F.col("n"), F.floor(F.col("n") * p / 100) + 1), F.col("margin"))), 6).alias(f"p{p}") for p in (10, 50, 90)]
-    return ranked.agg(*at, F.count("*").alias("documents"))
+    # margins lie between 0 and 1: counts of narrow ranges find the range of each place, and only those are ranked
+    ranges = 10_000
+    m = m.withColumn("r", F.floor(F.col("margin") * ranges))
+    counts = m.groupBy("r").agg(F.count("*").alias("k"))  # at most ranges + 1 rows
+    upto = counts.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    percents = (10, 50, 90)
+    places = n.select("n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)).alias("at")) for p in percents])).alias("x")).select("x.p", "x.at")
+    wanted = upto.join(F.broadcast(places), (F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("k"))).select("r", "before", "p", "at")
+    ranked = m.join(F.broadcast(wanted), "r").withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("margin")) - 1 + F.col("before"))
+    found = ranked.where("i = at").agg(*[F.round(F.max(F.when(F.col("p") == p, F.col("margin"))), 6).alias(f"p{p}") for p in percents])
+    return found.crossJoin(n.select(F.col("n").alias("documents")))
 
 
 def people_signal(thesis_people: DataFrame, shares: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.functions.text import fold_text
 
@@ -130,9 +131,9 @@ def parse_references(docs: DataFrame) -> DataFrame:
 
 
 def drop_truncated(dois: DataFrame, column: str = "doi") -> DataFrame:
-    """DOIs that are no strict prefix of another. In order, a prefix stands right before something it begins; each bucket
-    of eight leading characters and the length of the registrant is sorted by itself."""
-    bucket = F.substring(column, 1, 8)
+    """DOIs that are no strict prefix of another. In order, a prefix stands right before something it begins; each bucket of
+    twelve leading characters is sorted by itself (a cleaned DOI has twelve at least, so a prefix shares them)."""
+    bucket = F.substring(column, 1, 12)
     d = dois.select(column).distinct().withColumn("_b", bucket)
     following = F.lead(column).over(Window.partitionBy("_b").orderBy(column))
     return d.withColumn("_n", following).where(F.col("_n").isNull() | ~F.col("_n").startswith(F.col(column))).select(column)
@@ -155,8 +156,10 @@ def group_works(parsed: DataFrame) -> DataFrame:
 
 
 def numbered(works: DataFrame) -> DataFrame:
-    """Ids by citations, most first, then key."""
-    return works.withColumn("reference_id", F.row_number().over(Window.orderBy(F.desc("cited_by"), "work_key")))
+    """Ids from 1 by citations, most first, then key: one range sort, numbered by the sizes of its partitions."""
+    rows = works.orderBy(F.desc("cited_by"), "work_key")
+    schema = T.StructType([*works.schema, T.StructField("reference_id", T.LongType())])
+    return works.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
 
 
 def title_recall(parsed: DataFrame) -> DataFrame:

@@ -31,16 +31,28 @@ def top_n_with_other(counted: DataFrame, name: str, count: str, n: int, other: C
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[float]) -> DataFrame:
-    """Percentiles by nearest rank: the row numbered bround(p / 100 * n), from 1 and at most n, in order of value."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.row_number().over(w).alias("_r"), n.alias("_n"))
+    """Percentiles by nearest rank: the row numbered bround(p / 100 * n), from 1 and at most n, in order of value.
 
-    def at(p: float) -> Column:
-        place = F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.lit(p) / 100.0 * F.col("_n"), 0).cast("bigint")))
-        return F.max(F.when(F.col("_r") == place, F.col("_v"))).alias(f"p{p:g}")
-
-    return ranked.groupBy(*keys).agg(*[at(p) for p in percents], F.max("_v").alias("max_value"), F.count("*").alias("n"))
+    Exact without sorting a key's rows in one task: a sketch brackets each percentile, rows below the bracket are counted,
+    and only the few in it are ranked. Keys of under 2000 rows are bracketed by all of theirs.
+    """
+    near, ps = 0.001, [p / 100 for p in percents]
+    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    ends = [q for p in ps for q in (max(0.0, p - near), min(1.0, p + near))]
+    stats = base.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("_v").alias("_max"), F.min("_v").alias("_min"), F.percentile_approx("_v", ends, 20_000).alias("_q"))
+    small = F.col("_n") < 2000
+    for i, p in enumerate(ps):
+        stats = stats.withColumn(f"_lo{i}", F.when(small, F.col("_min")).otherwise(F.get("_q", F.lit(2 * i)))).withColumn(f"_hi{i}", F.when(small, F.col("_max")).otherwise(F.get("_q", F.lit(2 * i + 1))))
+        stats = stats.withColumn(f"_at{i}", F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.lit(p) * F.col("_n"), 0).cast("bigint"))))
+    rows = base.join(stats.drop("_q", "_min"), keys)
+    n = range(len(ps))
+    below = rows.groupBy(*keys).agg(*[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in n])
+    hits = F.filter(F.array(*[F.when((F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")), F.struct(F.lit(i).alias("i"), F.col(f"_at{i}").alias("at"))) for i in n]), lambda x: x.isNotNull())
+    inside = rows.select(*keys, "_v", F.explode(hits).alias("x")).select(*keys, "_v", "x.i", "x.at")
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "i").orderBy("_v"))).join(below, keys)
+    place = F.element_at(F.array(*[F.col(f"_b{i}") for i in n]), F.col("i") + 1) + F.col("_r")
+    found = ranked.groupBy(*keys).agg(*[F.max(F.when((F.col("i") == i) & (place == F.col("at")), F.col("_v"))).alias(f"p{p:g}") for i, p in enumerate(percents)])
+    return found.join(stats.select(*keys, F.col("_max").alias("max_value"), F.col("_n").alias("n")), keys)
 
 
 def escape_like(term: str) -> str:

@@ -171,7 +171,7 @@ def scrape_outcomes(r: Roles) -> DataFrame:
     return writes.scrape_outcome(rows).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register("numbered_works", "refs", "SELECT reference_id AS part, cited_by, CAST(row_number() OVER (ORDER BY cited_by DESC, 'k' || reference_id) AS INTEGER) AS reference_id FROM refs")
+@register("numbered_works", "refs", "SELECT reference_id AS part, cited_by, row_number() OVER (ORDER BY cited_by DESC, 'k' || reference_id) AS reference_id FROM refs")
 def numbered_works(r: Roles) -> DataFrame:
     w = r.references.select(F.col("reference_id").alias("part"), "cited_by", F.concat(F.lit("k"), F.col("reference_id").cast("string")).alias("work_key"))
     return bibliography.numbered(w).select("part", "cited_by", "reference_id")
