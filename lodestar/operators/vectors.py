@@ -39,10 +39,11 @@ def nearest(passages: DataFrame, queries: list[list[float]], k: int, key: str =
             ids, dist = b.column(0).to_numpy(), np.round(1 - _unit(_matrix(b.column(1))) @ q.T, 12)
             for i in range(len(q)):
                 d = dist[:, i]
-                near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
                 # all that tie with the k-th, so that ties can go by key
-                near = np.flatnonzero(d <= d[near].max()) if len(near) else near
-                kept[i] = sorted([*kept[i], *zip(d[near].tolist(), ids[near].tolist())])[:k]
+                edge = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+                near = np.flatnonzero(d <= min(edge, kept[i][-1][0] if len(kept[i]) == k else np.inf))
+                if len(near):
+                    kept[i] = sorted([*kept[i], *zip(d[near].tolist(), ids[near].tolist())])[:k]
         for i, best in enumerate(kept):
             rows += [(i, n, d) for d, n in best]
         if rows:
@@ -54,6 +55,23 @@ def nearest(passages: DataFrame, queries: list[list[float]], k: int, key: str =
     return ranked.where(F.col("rank") <= k).select("query", key, F.round("distance", 6).alias("distance"), "rank")
 
 
+def nearest_all(passages: DataFrame, queries: DataFrame, k: int, key: str = "ordinal", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """As nearest, for a table of queries (key, vector): blocks of at most block vectors, each against all passages.
+
+    Queries stay in Spark: they are numbered into blocks, and a block is what one pass of the passages carries.
+    """
+    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
+    n_blocks = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(n_blocks):
+        rows = asked.where(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b).orderBy(key).collect()  # about block rows
+        if rows:
+            ids = passages.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"query int, _id {dict(asked.dtypes)[key]}")
+            part = nearest(passages, [list(r[1]) for r in rows], k, key, vector).join(F.broadcast(ids), "query").select(F.col("_id").alias("query"), key, "distance", "rank")
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else nearest(passages, [[0.0]], k, key, vector).limit(0)
+
+
 def relevant(found: DataFrame, floor: float = 0.6) -> DataFrame:
     """Similarity, clamped to 0 to 1, at the floor or over."""
     return found.withColumn("similarity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("distance")))).where(F.col("similarity") >= floor)

@@ -52,6 +52,8 @@ ROLE_SQL = {
     "gv": "SELECT group_code, term, w / sqrt(sum(w * w) OVER (PARTITION BY group_code)) AS w FROM (SELECT group_code, term, (1 + ln(tf)) * idf AS w FROM grp_tf JOIN idf USING (term))",
     "scored": "SELECT handle, group_code, round(s, 6) AS score, row_number() OVER (PARTITION BY handle ORDER BY round(s, 12) DESC, group_code) AS affinity_rank FROM (SELECT handle, group_code, sum(dv.w * gv.w) AS s FROM dv JOIN gv USING (term) GROUP BY 1, 2) WHERE s > 0",
     "facet": "SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id < 3",
+    "asked": "SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % 100 = 0",
+    "asked_dist": "SELECT f.query, e.vec_id AS ordinal, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.q AS DOUBLE[])), 12) AS d FROM embeddings e, asked f",
     "dist": "SELECT f.query, e.vec_id AS ordinal, e.label AS handle, 1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.q AS DOUBLE[])) AS d FROM embeddings e, facet f",
 }
 
@@ -59,7 +61,7 @@ ROLE_SQL = {
 NEEDS = {
     "canon": ["people", "aliases"], "member": ["project_people"], "co_facts": ["member", "aliases"], "co_project": ["co_facts"], "sup_member": ["thesis_people"], "co_supervision": ["sup_member", "aliases"],
     "person_codes": ["member", "project_groups", "aliases"], "shares": ["project_people", "project_groups"], "led": ["project_people", "aliases"], "coordinators": ["led", "canon", "project_groups"],
-    "doc_tf": ["tokens"], "grp_tf": ["tokens"], "idf": ["doc_tf"], "dv": ["doc_tf", "idf"], "gv": ["grp_tf", "idf"], "scored": ["dv", "gv"], "dist": ["facet"],
+    "doc_tf": ["tokens"], "grp_tf": ["tokens"], "idf": ["doc_tf"], "dv": ["doc_tf", "idf"], "gv": ["grp_tf", "idf"], "scored": ["dv", "gv"], "dist": ["facet"], "asked_dist": ["asked"],
 }
 
 
@@ -148,14 +150,11 @@ def partners_coverage(r: Roles) -> DataFrame:
     return relational.partners_coverage(r.projects, r.partners)
 
 
-def _few_partners(r: Roles) -> DataFrame:
-    return r.partners.where("partner_name = 'Brand#11'")
-
-
-@register("partner_thesis_links", "partners projects project_people people thesis_people theses", """SELECT th.handle, pp.person_slug, p.project_id, p.partner_name, p.partner_type, pr.title AS project_title, pp.role AS project_role, pe.name AS person_name, tp.role AS thesis_role, tp.match_status, th.title AS thesis_title
-  FROM partners p JOIN projects pr USING (project_id) JOIN project_people pp USING (project_id) JOIN people pe ON pe.slug = pp.person_slug JOIN thesis_people tp ON tp.person_slug = pp.person_slug JOIN theses th ON th.handle = tp.handle WHERE p.partner_name = 'Brand#11'""")
+@register("partner_thesis_links", "partners projects project_people people thesis_people theses", """SELECT p.partner_name, p.partner_type, pp.person_slug, pe.name AS person_name, th.handle, tp.role AS thesis_role, count(*) AS paths, count(DISTINCT p.project_id) AS projects, min(pr.title) AS first_project
+  FROM partners p JOIN projects pr USING (project_id) JOIN project_people pp USING (project_id) JOIN people pe ON pe.slug = pp.person_slug JOIN thesis_people tp ON tp.person_slug = pp.person_slug JOIN theses th ON th.handle = tp.handle GROUP BY 1, 2, 3, 4, 5, 6""")
 def partner_thesis_links(r: Roles) -> DataFrame:
-    return relational.partner_thesis_links(_few_partners(r), r.projects, r.project_people, r.people, r.thesis_people, r.theses)
+    paths = relational.partner_thesis_links(r.partners, r.projects, r.project_people, r.people, r.thesis_people, r.theses)
+    return paths.groupBy("partner_name", "partner_type", "person_slug", "person_name", "handle", "thesis_role").agg(F.count("*").alias("paths"), F.countDistinct("project_id").alias("projects"), F.min("project_title").alias("first_project"))
 
 
 @register("partner_thesis_coverage", "partners project_people thesis_people theses", """SELECT (SELECT count(DISTINCT partner_name) FROM partners) AS distinct_partners, (SELECT count(DISTINCT partner_name) FROM partners WHERE project_id IN (SELECT project_id FROM project_people WHERE person_slug IN (SELECT person_slug FROM thesis_people))) AS partners_linked,
@@ -405,9 +404,10 @@ def _facets(r: Roles) -> list[list[float]]:
     return [list(x[0]) for x in rows]
 
 
-@register("knn_topk", "dist", "SELECT CAST(query AS INTEGER) AS query, ordinal, round(d, 6) AS distance, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(d, 12), ordinal) AS k FROM dist) WHERE k <= 10")
+@register("knn_topk", "asked_dist", "SELECT query, ordinal, round(d, 6) AS distance, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, ordinal) AS k FROM asked_dist) WHERE k <= 10")
 def knn_topk(r: Roles) -> DataFrame:
-    return vectors.nearest(r.passages, _facets(r), 10)
+    """Every hundredth vector asks for its ten nearest among all."""
+    return vectors.nearest_all(r.passages, r.passages.where("ordinal % 100 = 0"), 10)
 
 
 MATCH = ", b AS (SELECT ordinal, handle, min(d) AS m, arg_min(query, round(d, 12)) AS facet FROM dist GROUP BY 1, 2), w AS (SELECT * FROM b ORDER BY round(m, 12), ordinal LIMIT 8) "
@@ -568,10 +568,10 @@ def folded_names(r: Roles) -> DataFrame:
 
 @register("reference_parse")
 def reference_parse(r: Roles) -> DataFrame:
-    """Entries of reference lists made from the documents' first lines."""
+    """The entries of a list of references that each document is given at its end."""
     d = r.table("documents")
-    line = F.substring(F.regexp_replace(F.get(F.split("text", "\n"), F.lit(1)), r"[^\p{L} ]", ""), 1, 60)
-    body = F.concat(F.lit("Intro.\n\nReferences\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("] A. Author, \""), F.coalesce(line, F.lit("Untitled work of note")), F.lit("\", 20"), F.lpad((F.col("doc_id") % 20).cast("string"), 2, "0"), F.lit("."))), "\n"))
+    entry = lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("] A. Author, \"Findings of document "), F.col("doc_id").cast("string"), F.lit(" from "), F.col("source"), F.lit("\", 20"), F.lpad((F.col("doc_id") % 20).cast("string"), 2, "0"), F.lit("."))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nReferences\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), entry), "\n"))
     return bibliography.parse_references(d.select(F.col("doc_id").cast("string").alias("slug"), body.alias("text")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import bibliography, composites, identity, relational, validate, vectors, writes
-from lodestar.plans.catalogue import _facets, register
+from lodestar.plans.catalogue import MATCH, _facets, register
 from lodestar.sources import html
 from lodestar.sources.roles import Roles
 
@@ -65,9 +65,9 @@ def over_fetch(r: Roles) -> DataFrame:
     return vectors.over_fetch(vectors.nearest(r.passages, _facets(r)[:1], 100), 10, F.col("ordinal") % 2 == 0).select("ordinal", "rank")
 
 
-@register("fit_response", "theses thesis_people", "SELECT t.handle, title, year, CAST(handle % 3 AS INTEGER) AS facet, CASE handle % 3 WHEN 0 THEN 'nets' WHEN 1 THEN 'law' ELSE 'art' END AS interest, coalesce((SELECT string_agg(DISTINCT name_raw, ',' ORDER BY name_raw) FROM thesis_people p WHERE p.handle = t.handle AND role = 'supervisor'), '') AS supervisors FROM theses t WHERE handle < 18")
+@register("fit_response", "dist theses thesis_people", MATCH.replace("LIMIT 8", "LIMIT 18") + """SELECT t.handle, title, year, CAST(w.facet AS INTEGER) AS facet, CASE w.facet WHEN 0 THEN 'nets' WHEN 1 THEN 'law' ELSE 'art' END AS interest, coalesce((SELECT string_agg(DISTINCT name_raw, ',' ORDER BY name_raw) FROM thesis_people p WHERE p.handle = t.handle AND role = 'supervisor'), '') AS supervisors FROM theses t JOIN w ON w.ordinal = t.handle""")
 def fit_response(r: Roles) -> DataFrame:
-    m = r.theses.where("handle < 18").select("handle", (F.col("handle") % 3).cast("int").alias("facet"))
+    m = vectors.multi_facet(r.passages, _facets(r), 18).select(F.col("ordinal").alias("handle"), "facet")
     return composites.fit_response(m, r.theses, r.thesis_people, ["nets", "law", "art"]).withColumn("supervisors", F.array_join("supervisors", ","))
 
 
