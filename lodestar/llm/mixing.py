@@ -47,8 +47,8 @@ def exponent(sources: DataFrame, target_entropy: float | None, max_repeat: float
         repeat = r[f"m{i}"] / r[f"n{i}"] if budget is None else r[f"m{i}"] / z * budget / total
         return target_entropy is None or entropy >= target_entropy, max_repeat is None or repeat <= max_repeat
 
-    def bisect(good) -> float:
-        """The largest interval end that good() splits: good at low ends of a."""
+    def bisect(good) -> tuple[float, float]:
+        """The last a where good() holds and the first where it does not; good holds at low ends."""
         low, high = 0.0, 1.0
         for _ in range(ROUNDS):
             grid = [low + (high - low) * i / SECTIONS for i in range(SECTIONS + 1)]
@@ -56,13 +56,13 @@ def exponent(sources: DataFrame, target_entropy: float | None, max_repeat: float
             ok = [good(row, i, a) for i, a in enumerate(grid)]
             last = max((i for i, x in enumerate(ok) if x), default=0)
             if last == SECTIONS or not ok[0]:
-                return grid[last]
+                return grid[last], grid[last]
             low, high = grid[last], grid[last + 1]
-        return (low + high) / 2
+        return low, high
 
     # entropy falls with a; so does the highest repetition
-    by_entropy = 0.0 if target_entropy is None else bisect(lambda r, i, a: fits(r, i, a)[0])
-    by_repeat = 0.0 if max_repeat is None else bisect(lambda r, i, a: a < 1.0 and not fits(r, i, a)[1])
+    by_entropy = 0.0 if target_entropy is None else bisect(lambda r, i, a: fits(r, i, a)[0])[0]
+    by_repeat = 0.0 if max_repeat is None else bisect(lambda r, i, a: a < 1.0 and not fits(r, i, a)[1])[1]
     return max(by_entropy, by_repeat)
 
 
@@ -94,8 +94,8 @@ def plan(slim: DataFrame, target_entropy: float | None = None, max_repeat: float
             budget = weighed.where("n_tokens > 0").agg(F.max(F.col("n_tokens") / F.col("weight"))).first()[0]
     else:
         weighed, budget = sources.withColumn("weight", F.lit(0.0)), budget or 0.0
-    # a whole number of epochs stays whole whatever the last bit of the division
-    repeats = F.when(F.col("n_tokens") > 0, F.round(F.col("weight") * F.lit(float(budget)) / F.col("n_tokens"), 9)).otherwise(F.lit(1.0))
+    # a whole number of epochs stays whole whatever the last bits of the exponent and the division
+    repeats = F.when(F.col("n_tokens") > 0, F.round(F.col("weight") * F.lit(float(budget)) / F.col("n_tokens"), 6)).otherwise(F.lit(1.0))
     weighed = weighed.withColumn("repeats", repeats).withColumn("whole", F.floor("repeats").cast("int"))
     weighed = weighed.withColumn("rest", (F.col("repeats") - F.col("whole")) * F.col("n_tokens")).withColumn("ranges", F.ceil(F.col("n_docs") / F.lit(RANGE_DOCS)).cast("long"))
     weighed = cut(weighed)
