@@ -113,4 +113,6 @@ def score_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold:
 
 def kept(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
     """The rows of docs that the rules keep; the columns stay."""
-    return restored(score_rules(carried(docs, "doc_id", "text"), labels, bits, threshold, target_docs, keep=["_row"]).where("kept"))
+    scored = score_rules(carried(docs, "doc_id", "text"), labels, bits, threshold, target_docs, keep=["_row"])
+    # not a filter: Catalyst would push it down and work out the word hashes anew for every word
+    return restored(scored.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")))
