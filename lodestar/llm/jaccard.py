@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import bit_set, bit_words, carried, cut, distinct, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, restored, signed, small_batches, word_hashes
 from lodestar.llm.components import components
 
-SKETCH_BITS, DEPTH, LONG, BLOCK, ID_BITS = 18, 3, 16, 256, 22
+SKETCH_BITS, DEPTH, LONG, BLOCK, ID_BITS = 18, 3, 16, 1 << 20, 22
 _SEED = np.uint64(0x51ED270B7F4A7C15)
 
 
@@ -146,27 +146,26 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
 
 
 def at_home(docs: DataFrame, where: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between components, of sets with one home. where: rep, c (component), home."""
-    placed = where.where("home is not null").select("rep", "c", "home")
+    """Links (a, b) between components, of sets with one home. where: rep, n_shingles, c
+    (component), home. A block holds about BLOCK shingles, so a cell is bounded whatever its sets."""
+    placed = where.where("home is not null").select("rep", "c", "home", "n_shingles")
     own = placed.where("rep = home").select("home", F.col("c").alias("hc"))
     sides = placed.join(own, "home", "left").withColumn("few", F.coalesce(F.col("c") != F.col("hc"), F.lit(True)))
-    sizes = sides.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if("few") / BLOCK).cast("int").alias("ns")).where("ns > 0")
+    size = F.sum("n_shingles")
+    sizes = sides.groupBy("home").agg(F.ceil(size / BLOCK).cast("int").alias("nb"), F.ceil(F.sum(F.when(F.col("few"), F.col("n_shingles"))) / BLOCK).cast("int").alias("ns")).where("ns > 0")
     sides = cut(sides.join(sizes, "home"))
-    mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("rep"), F.greatest("ns", F.lit(1))).cast("int")
-
-    def spread(i, j, few: bool):
-        return F.struct(i.alias("i"), j.alias("j"), F.lit(few).alias("asks"))
-
-    every = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: spread(mine[0], j, False))
-    asking = F.when(F.col("few"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: spread(i, mine[1], True))).otherwise(F.array().cast("array<struct<i:int,j:int,asks:boolean>>"))
-    rows = sides.select("home", "rep", "c", F.explode(F.concat(every, asking)).alias("x")).select("home", "x.i", "x.j", "x.asks", F.col("rep").alias("key"), "c")
+    mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("ns")).cast("int")
+    # a set is offered in its own row of cells, and asks in its own column if it is one of the few
+    offered = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: F.struct(mine[0].alias("i"), j.alias("j"), (F.col("few") & (j == mine[1])).alias("asks"), F.lit(True).alias("offered")))
+    asking = F.transform(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.col("few") & (i != mine[0])), lambda i: F.struct(i.alias("i"), mine[1].alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("offered")))
+    rows = sides.select("home", "rep", "c", F.explode(F.concat(offered, asking)).alias("x")).select("home", "x.i", "x.j", "x.asks", "x.offered", F.col("rep").alias("key"), "c")
     rows = rows.join(sets_of(docs, sides.select(F.col("rep").alias("key")), n), "key")
 
     def compare(t: pa.Table) -> pa.Table:
         asks = np.array(t["asks"].to_pylist(), bool)
         keys, c = t["key"].to_numpy(), t["c"].to_numpy()
         raw = t["s"].to_pylist()
-        theirs = np.flatnonzero(~asks)
+        theirs = np.flatnonzero(np.array(t["offered"].to_pylist(), bool))
         out_a, out_b = [], []
         if len(theirs):
             sets = [np.frombuffer(raw[k], np.uint64) for k in theirs]
@@ -224,7 +223,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     # second run, over what the first leaves apart
     home = led.where(f"many >= {LONG}").groupBy("leader").agg(F.max_by("p", F.struct("pc", -F.col("p"))).alias("home"))
-    where = member.select("rep", "leader").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "leader", F.coalesce("component", "rep").alias("c"))
+    where = member.select("rep", "leader", "n_shingles").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "leader", "n_shingles", F.coalesce("component", "rep").alias("c"))
     where = cut(where.join(home, "leader", "left"))
     whole = where.groupBy("leader").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one"), F.first("home").alias("home"))
     side = postings.select("token", "leader", "n", "at").join(whole, "leader")
