@@ -19,7 +19,6 @@ any label says so; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,36 +33,42 @@ TRAIN_ROWS, SHAPES, EXTRA = 12_000, 1024, 12
 DIM = SHAPES + EXTRA
 PREDICT = 0.7
 
-_UPPER, _LOWER, _DIGITS, _REPEATS = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+"), re.compile(rb"([^A-Za-z0-9])\1+")
+#: Byte classes: small letters (and all beyond ASCII), capitals, figures; white space and signs stand for themselves.
+_CLASS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+_SIGN = np.array([33 <= c < 127 and c not in (48, 65, 97) for c in range(256)])
 
 
-class Shapes(dict):
-    """Place of a word's shape (runs of capitals, letters, figures; signs as they are) and what it counts as."""
+class Places(dict):
+    """Place of a shape, remembered."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
+    def __missing__(self, shape: bytes) -> int:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        shape = _REPEATS.sub(rb"\1\1", _DIGITS.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word))))
-        letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in word)
-        got = self[word] = (zlib.crc32(shape) % SHAPES, letters, sum(65 <= c <= 90 for c in word), sum(48 <= c <= 57 for c in word))
+        got = self[shape] = zlib.crc32(shape) % SHAPES
         return got
 
 
-def features(text: bytes | None, shapes: Shapes) -> np.ndarray:
+def features(text: bytes | None, places: Places) -> np.ndarray:
+    """Shares of word shapes (runs of one class are one character, runs of one sign two at most), and shares of the whole text."""
     text = text or b""
     words = text.split()
     n = len(words)
     out = np.zeros(DIM, np.float32)
     if n:
-        table = np.array([shapes[w] for w in words], np.int64)
-        out[:SHAPES] = np.sqrt(np.bincount(table[:, 0], minlength=SHAPES) / n)
+        c = np.frombuffer(text.translate(_CLASS), np.uint8)
+        new = np.ones(len(c), bool)
+        new[1:] = c[1:] != c[:-1]
+        second = new.copy()
+        second[1:] |= new[:-1]
+        shapes = c[new | second & _SIGN[c]].tobytes().split()
+        out[:SHAPES] = np.sqrt(np.bincount(np.fromiter(map(places.__getitem__, shapes), np.int64, len(shapes)), minlength=SHAPES) / n)
+        count = np.bincount(c, minlength=128)
         size = sum(map(len, words))
-        lines = [x for x in text.split(b"\n") if x.split()]
-        letters, upper, digits = (float(x) for x in table[:, 1:].sum(axis=0))
-        pairs = list(zip(words, words[1:]))
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        lower, upper, digits = float(count[97]), float(count[65]), float(count[48])
         out[SHAPES:] = [
-            1.0, math.log1p(n) / 10, size / n / 10, 1 - letters / size, upper / size, digits / size, 1 - len(set(lines)) / len(lines), len(set(words)) / n,
-            len(set(pairs)) / max(1, len(pairs)), sum(text.count(c) for c in b"#*$%&|<>") / size, math.log1p(n / len(lines)) / 5, sum(w[-1:] in b".!?" for w in words) / n,
+            1.0, math.log1p(n) / 10, size / n / 10, 1 - (lower + upper) / size, upper / size, digits / size, 1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / n,
+            float(count[44]) / n, sum(float(count[x]) for x in b"#*$%&|<>") / size, math.log1p(n / max(1, len(lines))) / 5, float(count[33] + count[46] + count[63]) / n,
         ]
     else:
         out[SHAPES] = 1.0
@@ -126,9 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
+        places = Places()
         for b in batches:
-            vectors = [features(t, shapes).astype(np.float16).tobytes() for t in raw_bytes(b.column(0))]
+            vectors = [features(t, places).astype(np.float16).tobytes() for t in raw_bytes(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), b.column(1), b.column(2)], ["x", "quality", "doc_id"])
 
     picked = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), "doc_id")
@@ -154,12 +159,12 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes = Shapes()
+        places = Places()
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column(0).to_pylist()
-            s = _sigmoid(np.array([features(t, shapes) @ sent.value for t in raw_bytes(b.column(1))], np.float64))
+            s = _sigmoid(np.array([features(t, places) @ sent.value for t in raw_bytes(b.column(1))], np.float64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_held(ids)), pa.array(s), pa.array((s >= PREDICT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return map_arrow(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scan, SCHEMA)
