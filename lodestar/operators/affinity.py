@@ -50,7 +50,7 @@ def affinity(doc_counts: DataFrame, group_counts: DataFrame, n_docs: int, doc: s
 def margins(scored: DataFrame, doc: str = "handle") -> DataFrame:
     """(first - second) / first of each document that has two scores; percentiles at index int(n p / 100)."""
     top = scored.where("affinity_rank <= 2").groupBy(doc).agg(F.max(F.when(F.col("affinity_rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("affinity_rank") == 2, F.col("score"))).alias("s2"))
-    m = top.where("s1 > 0 and s2 is not null").select(((F.col("s1") - F.col("s2")) / F.col("s1")).alias("margin"))
+    m = top.where("s1 > 0 and s2 is not null").select(((F.col("s1") - F.col("s2")) / F.col("s1")).alias("margin")).persist()
     # margins lie between 0 and 1: counts of narrow ranges find the range of each place, and only those are ranked
     ranges = 10_000
     m = m.withColumn("r", F.floor(F.col("margin") * ranges))
