@@ -11,9 +11,9 @@
 So that thousands of near copies don't make millions of pairs, the join runs twice. The first run only links each group
 with its lists' pivots, the groups whose prefixes are the least their own; what it verifies becomes components. The second,
 complete run then looks only at pairs whose components differ. Pairs inside one need no look, and no link between two is
-lost. Groups of long lists have a home, the most central of their pivots: two of one home are compared in blocks of sets,
-which give out links and no pairs; each block is of bounded size, and only those outside the home's own component meet all
-blocks. Pairs of different homes, or of short lists, are joined.
+lost. Groups that share several long lists with a pivot have a home, the most central such pivot: two of one home are
+compared in blocks of sets, which give out links and no pairs; each block is of bounded size, and only those outside the
+home's own component meet all blocks. All other pairs are joined.
 
 Sets move only for documents in some candidate pair; a bitmap of bounded size keeps the rest where they lie.
 
@@ -216,13 +216,14 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     pivots = postings.groupBy("token").agg(F.max_by(F.struct(F.col("leader").alias("p"), F.col("n").alias("m"), F.col("central").alias("pc")), F.struct("central", -F.col("leader"))).alias("v")).select("token", "v.*")
     led = cut(postings.select("token", "leader", "n", "many").join(pivots, "token"))
     star = led.where("leader != p").where(_close("n", "m", percent))
-    star = star.groupBy(F.least("leader", "p").alias("a"), F.greatest("leader", "p").alias("b")).agg(F.count("*").alias("shared")).where("shared > 1").select("a", "b")
+    star = star.groupBy(F.least("leader", "p").alias("a"), F.greatest("leader", "p").alias("b")).agg(F.count("*").alias("shared")).where(f"shared >= {DEPTH}").select("a", "b")
     inside = member.where("size > 1 and rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     first = cut(verified(docs, cut(star.unionByName(inside).distinct()), n, percent))
     part = components(first)
 
     # second run, over what the first leaves apart
-    home = led.where(f"many >= {LONG}").groupBy("leader").agg(F.max_by("p", F.struct("pc", -F.col("p"))).alias("home"))
+    near = led.where(f"many >= {LONG}").groupBy("leader", "p").agg(F.count("*").alias("shared"), F.first("pc").alias("pc")).where(f"shared > {DEPTH}")
+    home = near.groupBy("leader").agg(F.max_by("p", F.struct("pc", -F.col("p"))).alias("home"))
     where = member.select("rep", "leader", "n_shingles").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "leader", "n_shingles", F.coalesce("component", "rep").alias("c"))
     where = cut(where.join(home, "leader", "left"))
     whole = where.groupBy("leader").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one"), F.first("home").alias("home"))
