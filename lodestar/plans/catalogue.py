@@ -383,7 +383,7 @@ def attribution_tiers(r: Roles) -> DataFrame:
     return affinity.agreement(r.theses, people, content)
 
 
-@register("tier_counts", "thesis_people", "SELECT 'corroborated' AS tier, CAST(0 AS BIGINT) AS theses UNION ALL SELECT 'contested', 0 UNION ALL SELECT 'people-only', count(DISTINCT handle) FROM thesis_people WHERE person_slug IS NOT NULL UNION ALL SELECT 'content-only', 0 UNION ALL SELECT 'unattributed', (SELECT count(*) FROM documents) - count(DISTINCT handle) FROM thesis_people WHERE person_slug IS NOT NULL")
+@register("tier_counts", "shares thesis_people", ", p AS (SELECT count(DISTINCT handle) AS n FROM thesis_people JOIN shares USING (person_slug)) SELECT 'corroborated' AS tier, CAST(0 AS BIGINT) AS theses UNION ALL SELECT 'contested', 0 UNION ALL SELECT 'people-only', n FROM p UNION ALL SELECT 'content-only', 0 UNION ALL SELECT 'unattributed', (SELECT count(*) FROM documents) - n FROM p")
 def tier_counts(r: Roles) -> DataFrame:
     people = affinity.people_signal(r.thesis_people, person_group_shares(r))
     none = people.limit(0).withColumnRenamed("people_share", "content_share")

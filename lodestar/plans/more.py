@@ -138,7 +138,7 @@ def external_validation(r: Roles) -> DataFrame:
     return validate.external_problems(r.thesis_people.select("handle", "name_raw", "role"), r.thesis_people)
 
 
-@register("exemption_validation", "thesis_people", "SELECT 'no-claim' AS rule, (doc_id % 10 + 1) || '~' || doc_id AS subject FROM documents WHERE doc_id % 5 != 0")
+@register("exemption_validation", "thesis_people", "SELECT 'no-claim' AS rule, (doc_id % 10 + 1) || '~' || doc_id AS subject FROM documents WHERE doc_id % 5 != 0 UNION ALL SELECT 'unknown-person', (doc_id % 10 + 1) || '~' || doc_id FROM documents WHERE doc_id % 10 + 1 NOT IN (SELECT s_suppkey FROM supplier)")
 def exemption_validation(r: Roles) -> DataFrame:
     exempt = r.theses.select((F.col("handle") % 10 + 1).alias("person_slug"), "handle")
     claims = r.thesis_people.where("role = 'author' and person_slug is not null")
