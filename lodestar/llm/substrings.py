@@ -3,6 +3,9 @@
 A window is ``width`` consecutive words of one document. A word goes if a window that covers it also starts in a document
 with a smaller id.
 
+Copies first: of documents with one sequence of words only the one with the smallest id takes part below; in the others
+every window also starts in it. They are found by grouping 128-bit hashes of whole sequences.
+
 First pass: a window's estimate is that of its anchor, the smallest hash among its 8-word grams; equal windows have equal
 anchors, so an anchor occurs at least as often as any of its windows. Each task sketches the distinct anchors of each of
 its documents (two rows of ``2**bits`` cells); the merged sketches overestimate, so every window in two documents has
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,6 +126,36 @@ def marked_windows(docs: DataFrame, width: int, bits: int, repeated: np.ndarray)
     return map_arrow(docs.select("doc_id", "text"), scan, "hi long, lo long, doc_id long, at int")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of the documents whose whole sequence of words is that of a document with a smaller id."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b"".join(xxhash.xxh3_128_digest(b" ".join((t or b"").split())) for t in raw_bytes(b.column(1)))
+            two = np.frombuffer(raw, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "hi", "lo"])
+
+    signed_rows = cut(map_arrow(docs.select("doc_id", "text"), sign, "doc_id long, hi long, lo long"))
+    least = signed_rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    found = signed_rows.join(least, ["hi", "lo"]).where("doc_id > least").select("doc_id").distinct()
+    # an id with several texts is no plain copy
+    several = signed_rows.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("x"), F.max(F.struct("hi", "lo")).alias("y")).where("x != y").select("doc_id")
+    return cut(found.join(several, "doc_id", "left_anti"))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, text) less those in ids; only what a bitmap of ids lets through is joined."""
+    bits = bit_words(ids, id_bit("doc_id", ID_BITS), ID_BITS)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(~bit_set(sent.value, b.column(0).to_numpy()))).select(["doc_id", "text"])
+
+    clear = map_arrow(docs.select(id_bit("doc_id", ID_BITS).alias("_bit"), "doc_id", "text"), outside, "doc_id long, text string")
+    return clear.unionByName(in_bitmap(docs, "doc_id", bits, ID_BITS, ["doc_id", "text"]).join(ids, "doc_id", "left_anti"))
+
+
 def removed_places(docs: DataFrame, width: int = 50, bits: int | None = None) -> DataFrame:
     """doc_id, at (sorted array): starts of the windows that also start in a document with a smaller id."""
     bits = bits or sketch_bits(docs, width)
@@ -137,19 +171,25 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def strip(docs: DataFrame, width: int = 50, with_text: bool = False, bits: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the kept words joined by a space; with_text adds them as kept_text."""
     docs = only(docs, "doc_id", "text")
-    places = removed_places(docs, width, bits)
+    key = F.coalesce("doc_id", F.lit(LAST).cast("long"))
+    keyed = docs.select(key.alias("doc_id"), "text")
+    whole = copies(keyed)
+    places = removed_places(without(keyed, whole), width, bits)
+    # an empty array of places stands for every window
+    places = cut(places.unionByName(whole.select("doc_id", F.array().cast("array<int>").alias("at"))))
     marked = bit_words(places, id_bit("doc_id", ID_BITS), ID_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(marked)
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["kept_text"] * with_text
     kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
-    key = F.coalesce("doc_id", F.lit(LAST).cast("long"))
 
     def kept(ids, texts, starts) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in names]
         for doc, text, at in zip(ids, texts, starts):
             words = (text or b"").split()
             n = len(words)
-            if at is not None and len(at):
+            if at is not None and len(at) == 0 and n >= width:
+                words = []
+            elif at is not None and len(at):
                 edge = np.zeros(n + 1, np.int32)
                 np.add.at(edge, np.asarray(at), 1)
                 np.add.at(edge, np.asarray(at) + width, -1)
