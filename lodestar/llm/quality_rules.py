@@ -3,8 +3,8 @@
 Words and pairs of words are hashed to a fixed number of buckets. Two multinomials over the buckets are counted: the raw
 corpus (every document) and the trusted target (documents labelled good). A document's score is the mean over its n-grams
 of log(p_target / p_raw), so length cancels; it is kept if the base rules pass and the score is at least a fixed
-threshold. The target is read from at most TARGET_DOCS labelled documents, those with the smallest hash of their id; the
-raw counts cover every document.
+threshold. Both are counted over all of their documents, whatever the size of the input. Labelled documents are found
+exactly, by a join of those that a bitmap of labelled ids lets through; the other texts never move.
 
 One pass counts (rows are pre-aggregated to at most ``2**bits`` buckets a task before they move), the next one scores
 where the texts lie; the weights are one array of fixed length. Repeated three-word windows are found inside each row by
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import carried, cut, only, restored
 
 BITS = 16
-#: Labelled documents that the trusted target is counted from, at most.
-TARGET_DOCS = 20_000
+#: Bits of the map of labelled ids, as a power of two: a fuller map lets more through to the join, which is exact.
+ID_BITS = 23
 THRESHOLD = -0.1
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -51,11 +51,24 @@ def buckets(h: str, bits: int) -> Column:
     return F.concat(ones, F.filter(twos, lambda x: x.isNotNull()))
 
 
-def weights_rows(docs: DataFrame, labels: DataFrame, bits: int = BITS, target_docs: int = TARGET_DOCS) -> DataFrame:
+def labelled(docs: DataFrame, good: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """text and good: 1 where doc_id is in good (distinct, no nulls), null elsewhere; every row of docs once."""
+
+    def cell() -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2**bits))
+
+    words = good.groupBy(F.floor(cell() / 64).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (cell() % 64).cast("int"))).alias("v"))
+    every = docs.sparkSession.range(2**bits // 64).join(words, "id", "left").na.fill(0)
+    sent = every.agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("s")).select(F.transform("s", lambda x: x["v"]).alias("s")).scalar()
+    maybe = F.coalesce(F.getbit(F.get(sent, F.floor(cell() / 64).cast("int")), (cell() % 64).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    inside = docs.where(maybe).join(good.withColumn("good", F.lit(1)), "doc_id", "left").select("text", "good")
+    return docs.where(~maybe).select("text", F.lit(None).cast("int").alias("good")).unionByName(inside)
+
+
+def weights_rows(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
     """bucket, raw and target counts for every bucket, zeros included: 2**bits rows."""
-    good = only(labels, "doc_id", "quality").where("quality = 1").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs).withColumn("good", F.lit(1))
-    rows = only(docs, "doc_id", "text").join(F.broadcast(good), "doc_id", "left")  # at most target_docs ids
+    good = cut(only(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    rows = labelled(only(docs, "doc_id", "text"), good)
     parts = with_words(rows, "good").select("good", F.explode(buckets("h", bits)).alias("bucket"))
     counts = parts.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     every = docs.sparkSession.range(2**bits).select(F.col("id").cast("int").alias("bucket"))
@@ -91,10 +104,10 @@ def repeated_words(h: str) -> Column:
     return _let(windows, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(covered(t)))
 
 
-def score_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS, keep: list[str] | None = None) -> DataFrame:
+def score_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """doc_id (or the columns keep), the base counts, base_failed, llr and kept."""
     keep = keep or ["doc_id"]
-    log = array_of(weights_rows(docs, labels, bits, target_docs), bits).scalar()
+    log = array_of(weights_rows(docs, labels, bits), bits).scalar()
     rows = with_words(only(docs, *keep, "text"), *keep).select("*", buckets("h", bits).alias("grams"), log.alias("log"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     llr = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(F.col("log"), b)) / F.greatest(F.size("grams"), F.lit(1))
@@ -111,8 +124,8 @@ def score_rules(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold:
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def kept(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the rules keep; the columns stay."""
-    scored = score_rules(carried(docs, "doc_id", "text"), labels, bits, threshold, target_docs, keep=["_row"])
+    scored = score_rules(carried(docs, "doc_id", "text"), labels, bits, threshold, keep=["_row"])
     # not a filter: Catalyst would push it down and work out the word hashes anew for every word
     return restored(scored.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")))

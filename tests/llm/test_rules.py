@@ -61,6 +61,21 @@ def test_ratio_parts_good_from_junk(spark):
     assert quality_rules.score_rules(docs.limit(0), labels, bits=8).count() == 0
 
 
+def test_target_is_counted_from_every_good_document(spark):
+    n = 20_500
+    docs = spark.range(n + 700).selectExpr("id as doc_id", "'a b' as text")
+    docs = docs.union(spark.createDataFrame([(None, "c d e"), (5, "x y z")], "doc_id long, text string"))
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality")
+    labels = labels.union(labels.limit(3)).union(spark.createDataFrame([(None, 1), (n + 1, 0)], "doc_id long, quality int"))
+    got = quality_rules.weights_rows(docs, labels, bits=8)
+    assert got.count() == 2**8
+    raw, target = got.selectExpr("sum(raw)", "sum(target)").first()
+    assert (raw, target) == (3 * (n + 700) + 2 * 5, 3 * n + 5)
+    # a map so full that it lets everything through changes nothing
+    every = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    assert quality_rules.labelled(docs, every, bits=6).selectExpr("count(*)", "count(good)").first()[:] == (n + 702, n + 1)
+
+
 def test_lm_prefers_the_target(spark):
     r = random.Random(9)
     a = [" ".join(r.choice(["sun", "moon", "star", "sky"]) for _ in range(60)) for _ in range(40)]
