@@ -4,8 +4,8 @@ Base kinds are found in the text as it stands (e-mail, IPv4, card, phone; leftmo
 chain of transducers rewrites the text where it holds disguises: look-alike letters and full-width or other digits become
 ASCII, zero-width characters vanish, spelled digits of a run become figures, and "(at)", "[dot]", "name at host dot com"
 become signs. Each transducer carries, for every character it emits, the source span that it came from; what the same
-patterns find in the rewritten text is mapped back to source characters. Such a span is added if it covers a disguise and
-overlaps no base span; base spans always stay.
+patterns find in the rewritten text is mapped back to source characters. Such a span is added if it covers a disguise, unless
+a base span of its kind covers it; a base span may be a part of it, and base spans always stay.
 
 Words alone ("at", "dot", one spelled digit) rewrite nothing: at/dot words count only as a whole address
 ``word at word dot word`` with a known ending, spelled digits only in runs of at least seven.
@@ -213,7 +213,7 @@ def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, i
     for kind, s, e in base(tape.text):
         if any(tape.new[s:e]) or tape.end[e - 1] - tape.start[s] != e - s:
             a, b = tape.start[s], tape.end[e - 1]
-            if not any(x < b and a < y for _, x, y in known):
+            if not any(k == kind and x <= a and b <= y for k, x, y in known):
                 out.append((kind, a, b))
     return out
 

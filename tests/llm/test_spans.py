@@ -57,6 +57,21 @@ def test_disguises(text, kind, found):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize(
+    ("text", "part", "found"),
+    [
+        ("j\u043ehn.smith@example.com", "hn.smith@example.com", "j\u043ehn.smith@example.com"),
+        ("to john@example.c\u043em now", "john@example.c", "john@example.c\u043em"),
+        ("jo\u200bhn@example.com", "hn@example.com", "jo\u200bhn@example.com"),
+    ],
+)
+def test_a_disguise_with_a_base_span_inside_is_reported_whole(text, part, found):
+    base, every = pii.spans_of(text)
+    assert [(k, text[s:e]) for k, s, e in base] == [("email", part)]
+    assert {(k, text[s:e]) for k, s, e in every} == {("email", part), ("email", found)}
+    assert pii.mask(text) == text.replace(found, "[email]")
+
+
 @pytest.mark.parametrize("text", ["look at the dot com era", "one two three", "meet at noon", "Ωμέγα και άλφα", "über Größe ñandú à côté", "I ate one, two and three of them (at home)"])
 def test_prose_is_left_alone(text):
     assert pii.spans_of(text) == ([], [])
