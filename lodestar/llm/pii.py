@@ -191,12 +191,12 @@ def _wordy(text: str) -> list[tuple[int, int, str]]:
 def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in source characters."""
     letters = [] if text.isascii() else _letters(text)
-    low = None
     spelled = bool(_SPELLED_HINT.search(text))
     signs = any(x in text for x in "([{<") and (_BRACKET_AT.search(text) or _BRACKET_DOT.search(text))
-    if not signs and (" at " in text or " AT " in text or " @ " in text):
+    if not signs:
+        # what _wordy needs to rewrite anything
         low = text.lower()
-        signs = " dot " in low or " @ " in low
+        signs = " @ " in low or (" dot " in low and ("@" in low or " at " in low))
     if not (letters or spelled or signs):
         return []
     tape = Tape(text)

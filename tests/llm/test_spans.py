@@ -48,6 +48,9 @@ def test_base_matches_the_patterns():
         ("no ４１１１ １１１１ １１１１ １１１１ x", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("call +one five five five zero one two three four five six", "phone", "+one five five five zero one two three four five six"),
         ("é john​@example.com", "email", "john​@example.com"),
+        ("mail john@example dot com now", "email", "john@example dot com"),
+        ("mail jane At example Dot com now", "email", "jane At example Dot com"),
+        ("mail jane aT example dOT com now", "email", "jane aT example dOT com"),
     ],
 )
 def test_disguises(text, kind, found):
