@@ -1,7 +1,8 @@
 """Operator 8, substring deduplication with a count-min prefilter.
 
 A window is ``width`` consecutive words of one document. A word goes if a window that covers it also starts in a document
-with a smaller id.
+with a smaller id. A row's text is known by its id and the 128-bit hash of its sequence of words: windows, places and joins
+go by that key, and ids alone decide which document comes first.
 
 Copies first: of documents with one sequence of words only the one with the smallest id takes part below; in the others
 every window also starts in it. They are found by grouping 128-bit hashes of whole sequences.
@@ -17,7 +18,7 @@ document's are marked. Marked places come back to their documents as runs; docum
 never move.
 
 Defined cases: null text: no words, hash of the empty string; fewer than ``width`` words: nothing to remove; rows that
-repeat are one document (equal id), so neither removes the other; a null id is smaller than none: it loses to every id; an
+repeat are one document (equal id), so neither removes the other, and so are several texts of one id; a null id is smaller than none: it loses to every id; an
 empty table gives no rows; extra columns are ignored.
 """
 
@@ -38,6 +39,8 @@ from lodestar.llm.common import bit_set, bit_words, cut, distinct, id_bit, in_bi
 GRAM = 8
 ID_BITS = 23
 LAST = 2**63 - 1
+#: The columns that tell one text from another.
+TEXT = ["doc_id", "t_hi", "t_lo"]
 
 
 def _sliding_min(x: np.ndarray, k: int) -> np.ndarray:
@@ -100,15 +103,35 @@ def repeated_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     return bit_words(found, F.col("cell"), bits + 1)
 
 
+def sequence(words: list[bytes]) -> bytes:
+    """128-bit hash of a sequence of words."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def signed_texts(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """docs with t_hi and t_lo, the hash of the words; without the text if asked so."""
+    keep = [c for c in docs.columns if with_text or c != "text"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b"".join(sequence((t or b"").split()) for t in raw_bytes(b.column(b.schema.get_field_index("text"))))
+            two = np.frombuffer(raw, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], [*keep, "t_hi", "t_lo"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return map_arrow(docs, sign, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", t_hi long, t_lo long")
+
+
 def marked_windows(docs: DataFrame, width: int, bits: int, repeated: np.ndarray) -> DataFrame:
-    """hi, lo, doc_id, at: the windows whose anchors may repeat."""
+    """hi, lo, the text's key, at: the windows whose anchors may repeat."""
     sent = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            his, los, ids, ats = [], [], [], []
+            his, los, ids, texts, ats = [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
-                h = word_hashes((text or b"").split())
+                words = (text or b"").split()
+                h = word_hashes(words)
                 a = anchors(h, width)
                 if not len(a):
                     continue
@@ -118,34 +141,26 @@ def marked_windows(docs: DataFrame, width: int, bits: int, repeated: np.ndarray)
                     his.append(signed(ngrams(h, width, 31)[at]))
                     los.append(signed(ngrams(h, width, 47)[at]))
                     ids.append(np.full(len(at), LAST if doc is None else doc, np.int64))
+                    texts.append(np.tile(np.frombuffer(sequence(words), np.int64), (len(at), 1)))
                     ats.append(at.astype(np.int32))
             if his:
-                cols = [np.concatenate(x) for x in (his, los, ids, ats)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hi", "lo", "doc_id", "at"])
+                key = np.concatenate(texts)
+                cols = [*(np.concatenate(x) for x in (his, los, ids)), key[:, 0].copy(), key[:, 1].copy(), np.concatenate(ats)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hi", "lo", *TEXT, "at"])
 
-    return map_arrow(docs.select("doc_id", "text"), scan, "hi long, lo long, doc_id long, at int")
+    return map_arrow(docs.select("doc_id", "text"), scan, "hi long, lo long, doc_id long, t_hi long, t_lo long, at int")
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id of the documents whose whole sequence of words is that of a document with a smaller id."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = b"".join(xxhash.xxh3_128_digest(b" ".join((t or b"").split())) for t in raw_bytes(b.column(1)))
-            two = np.frombuffer(raw, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "hi", "lo"])
-
-    signed_rows = cut(map_arrow(docs.select("doc_id", "text"), sign, "doc_id long, hi long, lo long"))
-    least = signed_rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    found = signed_rows.join(least, ["hi", "lo"]).where("doc_id > least").select("doc_id").distinct()
-    # an id with several texts is no plain copy
-    several = signed_rows.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("x"), F.max(F.struct("hi", "lo")).alias("y")).where("x != y").select("doc_id")
-    return cut(found.join(several, "doc_id", "left_anti"))
+    """The keys of the texts whose whole sequence of words is that of a document with a smaller id."""
+    texts = cut(signed_texts(docs.select("doc_id", "text"), with_text=False))
+    least = texts.groupBy("t_hi", "t_lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    return cut(texts.join(least, ["t_hi", "t_lo"]).where("doc_id > least").select(*TEXT).distinct())
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc_id, text) less those in ids; only what a bitmap of ids lets through is joined."""
-    bits = bit_words(ids, id_bit("doc_id", ID_BITS), ID_BITS)
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs (doc_id, text) less the texts in keys; only what a bitmap of ids lets through is joined."""
+    bits = bit_words(keys, id_bit("doc_id", ID_BITS), ID_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,16 +168,17 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield b.filter(pa.array(~bit_set(sent.value, b.column(0).to_numpy()))).select(["doc_id", "text"])
 
     clear = map_arrow(docs.select(id_bit("doc_id", ID_BITS).alias("_bit"), "doc_id", "text"), outside, "doc_id long, text string")
-    return clear.unionByName(in_bitmap(docs, "doc_id", bits, ID_BITS, ["doc_id", "text"]).join(ids, "doc_id", "left_anti"))
+    asked = signed_texts(in_bitmap(docs, "doc_id", bits, ID_BITS, ["doc_id", "text"]))
+    return clear.unionByName(asked.join(keys, TEXT, "left_anti").select("doc_id", "text"))
 
 
 def removed_places(docs: DataFrame, width: int = 50, bits: int | None = None) -> DataFrame:
-    """doc_id, at (sorted array): starts of the windows that also start in a document with a smaller id."""
+    """A text's key, at (sorted array): starts of the windows that also start in a document with a smaller id."""
     bits = bits or sketch_bits(docs, width)
     windows = marked_windows(docs, width, bits, repeated_cells(docs, width, bits))
     least = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    gone = windows.join(least, ["hi", "lo"]).where("doc_id > least").select("doc_id", "at")
-    return cut(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at")))
+    gone = windows.join(least, ["hi", "lo"]).where("doc_id > least").select(*TEXT, "at")
+    return cut(gone.groupBy(*TEXT).agg(F.array_sort(F.collect_set("at")).alias("at")))
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -176,7 +192,7 @@ def strip(docs: DataFrame, width: int = 50, with_text: bool = False, bits: int |
     whole = copies(keyed)
     places = removed_places(without(keyed, whole), width, bits)
     # an empty array of places stands for every window
-    places = cut(places.unionByName(whole.select("doc_id", F.array().cast("array<int>").alias("at"))))
+    places = cut(places.unionByName(whole.select(*TEXT, F.array().cast("array<int>").alias("at"))))
     marked = bit_words(places, id_bit("doc_id", ID_BITS), ID_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(marked)
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["kept_text"] * with_text
@@ -212,5 +228,6 @@ def strip(docs: DataFrame, width: int = 50, with_text: bool = False, bits: int |
     schema = SCHEMA + ", kept_text string" * with_text
     keyed = docs.withColumn("key", key)
     rest = map_arrow(keyed.select(id_bit("key", ID_BITS).alias("_bit"), "doc_id", "text"), untouched, schema)
-    some = in_bitmap(keyed, "key", marked, ID_BITS, ["key", "doc_id", "text"]).join(places.withColumnRenamed("doc_id", "key"), "key", "left")
+    some = signed_texts(in_bitmap(keyed, "key", marked, ID_BITS, ["key", "doc_id", "text"]))
+    some = some.join(places.withColumnRenamed("doc_id", "key"), ["key", "t_hi", "t_lo"], "left")
     return rest.unionByName(map_arrow(some.select("doc_id", "text", "at"), touched, schema))

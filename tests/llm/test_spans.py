@@ -155,3 +155,28 @@ def test_substrings(spark, width, bits):
     want = strip_brute(rows, width)
     assert got == want and sum(n for _, n, _ in want.values()) > 0
     assert substrings.strip(df.limit(0), width).count() == 0
+
+
+def test_substrings_keep_texts_of_one_id_apart(spark):
+    word = lambda k, n: [f"{k}{i}" for i in range(n)]
+    p, q = word("p", 60), word("q", 60)
+    texts = [
+        (1, p),
+        (2, q + word("a", 40)),
+        (None, word("b", 900) + p + word("c", 40)),  # its passage starts where the other null text has no word
+        (None, word("d", 60)),
+        (None, q),  # a whole window run of id 2
+        (7, word("e", 30) + p),
+        (7, word("f", 200)),
+        (7, p),  # a plain copy of id 1
+        (8, word("f", 200)),  # a plain copy of one of id 7's texts
+        (8, word("f", 200)),
+        (9, word("g", 55)),
+        (9, word("g", 55) + word("h", 9)),  # equal ids: neither removes the other
+    ]
+    gone = [0, 0, 60, 0, 60, 60, 0, 60, 200, 200, 0, 0]
+    kept = [p, q + word("a", 40), word("b", 900) + word("c", 40), word("d", 60), [], word("e", 30), word("f", 200), [], [], [], word("g", 55), word("g", 55) + word("h", 9)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in texts], SCHEMA).repartition(3)
+    got = sorted(map(tuple, substrings.strip(df, 50).collect()), key=str)
+    want = [(d, len(w), n, hashlib.sha256(" ".join(k).encode()).hexdigest()) for (d, w), n, k in zip(texts, gone, kept)]
+    assert got == sorted(want, key=str)
