@@ -2,9 +2,9 @@
 
 Two bigram models with one order, vocabulary and smoothing: the target's counts come from the documents labelled good, the
 background's from every document, then thinned token by token (binomially, fixed seed) to the target's size, so that
-neither model knows more words for being larger. The shared vocabulary is hashed: every word has one of
-``2**WORD_BITS`` places, every pair one of ``2**PAIR_BITS``, so models have a fixed size and no word is left out. Pairs back
-off to words, words to a uniform floor:
+neither model knows more words for being larger. Every word and every pair of words has its own count: they are told apart
+by 64-bit hashes, and the counts are Spark tables that grow with the corpus. The vocabulary's size V is the number of
+different words. Pairs back off to words, words to a uniform floor:
 
     p1(w) = (c(w) + FLOOR) / (n + FLOOR V),  p2(w | v) = (min(c(v, w), c(v)) + BACK p1(w)) / (c(v) + BACK)
 
@@ -12,8 +12,10 @@ A document's own share of each count is taken out of the models that hold it bef
 counted is no advantage. score is the mean over its words of target loss minus background loss; the lower, the nearer the target, and up to THRESHOLD
 a document is selected (copies of a document raise its score: they stay in the background).
 
-Each task counts into fixed arrays and sends one row a used place; Spark sums them. Labelled documents are found exactly,
-by a join of those that a bitmap of labelled ids lets through; the other texts never move.
+Each task adds up its words and pairs before they move. The table of pairs takes the counts of both of its words; each
+document's distinct pairs are joined with it, and their losses, times how often the pair occurs, are summed by document.
+Labelled documents are found exactly, by a join of those that a bitmap of labelled ids lets through; the tagged rows are
+written once, so that a row keeps its number.
 
 Defined cases: null or empty text: no words, losses and score 0, not selected; without labels both models are the
 background's share of nothing and scores depend on the floor alone; rows that repeat are counted and scored each, and a
@@ -29,108 +31,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bit_set, bit_words, cut, id_bit, in_bitmap, map_arrow, mix, only, raw_bytes, word_hashes
+from lodestar.llm.common import bit_set, bit_words, cut, id_bit, in_bitmap, map_arrow, mix, only, raw_bytes, signed, word_hashes
 
-WORD_BITS, PAIR_BITS, ID_BITS = 18, 20, 23
+ID_BITS = 23
 FLOOR, BACK, SEED, THRESHOLD = 0.1, 4.0, 20_240_601, 1.5
-PLACES = (1 << WORD_BITS) + (1 << PAIR_BITS)
 _START = np.array([0x243F6A8885A308D3], np.uint64)
+#: Words that a task holds before it adds them up; counts up to SMALL are thinned by one uniform number.
+HELD, SMALL = 1 << 20, 64
 
 
-def places(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words and of the pairs that end in them (the first word's pair begins at the start of the text)."""
-    h = word_hashes((text or b"").split())
-    if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pair = mix(np.concatenate([_START, h[:-1]]), h, 61)
-    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + (1 << WORD_BITS)
+def grams(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words, of the word before each (the first word's is the start of the text) and of the pairs."""
+    w = word_hashes((text or b"").split())
+    v = np.concatenate([_START, w[:-1]]) if len(w) else w
+    return w, v, mix(v, w, 61)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """place, n over all rows of docs."""
+    """pair (whether it is one), g, v, w (hashes; null for a word), n over all rows of docs, t over those with good set."""
+    docs = docs.select("text", "good") if "good" in docs.columns else docs.select("text", F.lit(None).cast("int").alias("good"))
+    names = ["pair", "g", "v", "w", "n", "t"]
+
+    def added(held: list) -> Iterator[pa.RecordBatch]:
+        w, v, p, good = (np.concatenate(x) for x in zip(*held))
+        for pair, key in ((False, w), (True, p)):
+            g, first, at = np.unique(key, return_index=True, return_inverse=True)
+            n, t = np.bincount(at), np.bincount(at, weights=good).astype(np.int64)
+            words = [pa.array(signed(x[first])) if pair else pa.nulls(len(g), pa.int64()) for x in (v, w)]
+            for a in range(0, len(g), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g[part]), pair)), pa.array(signed(g[part])), *(x[part] for x in words), pa.array(n[part]), pa.array(t[part])], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(PLACES, np.int64), [], 0
+        held, n = [], 0
         for b in batches:
-            for text in raw_bytes(b.column(0)):
-                for p in places(text):
-                    held.append(p)
-                    n += len(p)
-            if n > 1 << 21:
-                total += np.bincount(np.concatenate(held), minlength=PLACES)
-                held, n = [], 0
+            for text, good in zip(raw_bytes(b.column(0)), b.column(1).to_pylist()):
+                x = grams(text)
+                if len(x[0]):
+                    held.append((*x, np.full(len(x[0]), good is not None, np.float64)))
+                    n += len(x[0])
+                if n > HELD:
+                    yield from added(held)
+                    held, n = [], 0
         if n:
-            total += np.bincount(np.concatenate(held), minlength=PLACES)
-        used = np.flatnonzero(total)
-        if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["place", "n"])
+            yield from added(held)
 
-    return map_arrow(docs.select("text"), count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    rows = map_arrow(docs, count, "pair boolean, g long, v long, w long, n long, t long")
+    return rows.groupBy("pair", "g").agg(F.min("v").alias("v"), F.min("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def dense(rows: DataFrame) -> np.ndarray:
-    """The counts as an array of PLACES numbers."""
-    got = rows.toArrow()
-    out = np.zeros(PLACES, np.float32)
-    out[got["place"].to_numpy()] = got["n"].to_numpy()
-    return out
+def thinned(rows: DataFrame, rate: float) -> DataFrame:
+    """rows (g, n, ...) with m, a binomial share of n; it depends on g, n and the seed alone."""
+    names = [*rows.columns, "m"]
 
-
-SCHEMA = "doc_id long, n_words long, target_loss double, background_loss double, score double, selected boolean"
-
-
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document."""
-    docs = only(docs, "doc_id", "text")
-    good = cut(only(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, n = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("g", "n"))
+            g = g.view(np.uint64) if g.dtype == np.int64 else g.astype(np.int64).view(np.uint64)
+            u = (mix(g, g, SEED) >> np.uint64(11)).astype(np.float64) / 2.0**53
+            m = np.zeros(len(n), np.int64)
+            if rate >= 1:
+                m = n.astype(np.int64)
+            elif rate > 0:
+                few = n <= SMALL
+                k, left = n[few].astype(np.float64), u[few]
+                mass, got = (1 - rate) ** k, np.zeros(len(k), np.int64)
+                for i in range(int(k.max(initial=0))):
+                    left = left - mass
+                    up = (left >= 0) & (got == i) & (i < k)
+                    if not up.any():
+                        break
+                    got[up] += 1
+                    mass = mass * np.maximum(k - i, 0) / (i + 1) * rate / (1 - rate)
+                m[few] = got
+                for i in np.flatnonzero(~few):
+                    m[i] = np.random.default_rng([SEED, int(g[i])]).binomial(int(n[i]), rate)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m)], names)
+
+    return rows.mapInArrow(thin, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", m long")
+
+
+def tagged(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """row (a number), doc_id, text, good (1 or null), written once."""
     bits = bit_words(good, id_bit("doc_id", ID_BITS), ID_BITS)
-    maybe = in_bitmap(docs, "doc_id", bits, ID_BITS, ["doc_id", "text"])
-    background = dense(counts(docs))
-    target = dense(counts(maybe.join(good, "doc_id", "left_semi")))
-    words_in = slice(0, 1 << WORD_BITS)
-    rate = min(1.0, float(target[words_in].sum()) / max(1.0, float(background[words_in].sum())))
-    matched = np.random.default_rng(SEED).binomial(background.astype(np.int64), rate).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast((background, matched, target, bits))
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.bool_()]
-
-    def scored(ids, texts, member) -> pa.RecordBatch:
-        full, thin, aim, _ = sent.value
-        V = 1 << WORD_BITS
-        n_thin, n_full, n_aim = (float(x[:V].sum()) for x in (thin, full, aim))
-        cols: list[list] = [[] for _ in names]
-        for doc, text, inside in zip(ids, texts, member):
-            w, p = places(text)
-            n = len(w)
-            losses = (0.0, 0.0)
-            if n:
-                # own counts of each word, of each pair, and of the word before (none before the first)
-                _, at, own = np.unique(w, return_inverse=True, return_counts=True)
-                own_w = own[at]
-                _, at, own = np.unique(p, return_inverse=True, return_counts=True)
-                own_p = own[at]
-                out = []
-                for model, whole, part, size, all_size in ((aim, aim, float(inside), n_aim, n_aim), (thin, full, 1.0, n_thin, n_full)):
-                    left_w, left_p = 1 - part * own_w / np.maximum(whole[w], own_w), 1 - part * own_p / np.maximum(whole[p], own_p)
-                    c1, c2 = model[w] * left_w, model[p] * left_p
-                    c0 = np.concatenate([[0.0], c1[:-1]])
-                    p1 = (c1 + FLOOR) / (size * (1 - part * n / max(n, all_size)) + FLOOR * V)
-                    out.append(float(-np.log((np.minimum(c2, c0) + BACK * p1) / (c0 + BACK)).mean()))
-                losses = (out[0], out[1])
-            diff = losses[0] - losses[1]
-            for c, v in zip(cols, (doc, n, *losses, diff, n > 0 and diff <= threshold)):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(~bit_set(sent.value[3], b.column(0).to_numpy())))
-            yield scored(b.column(1).to_pylist(), raw_bytes(b.column(2)), [False] * b.num_rows)
+            yield b.filter(pa.array(~bit_set(sent.value, b.column(0).to_numpy()))).select(["doc_id", "text"])
+
+    rest = map_arrow(docs.select(id_bit("doc_id", ID_BITS).alias("_bit"), "doc_id", "text"), outside, "doc_id long, text string")
+    some = in_bitmap(docs, "doc_id", bits, ID_BITS, ["doc_id", "text"]).join(good.withColumn("good", F.lit(1)), "doc_id", "left")
+    rows = rest.withColumn("good", F.lit(None).cast("int")).unionByName(some.select("doc_id", "text", "good"))
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "good"))
 
-    def maybe_inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def own_pairs(rows: DataFrame) -> DataFrame:
+    """row, good, size (the words of the document), g, and how often the document has the pair, its first and its second word."""
+    names = ["row", "good", "size", "g", "own", "own_v", "own_w"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield scored(b.column(0).to_pylist(), raw_bytes(b.column(1)), [x is not None for x in b.column(2).to_pylist()])
+            held = []
+            for row, good, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw_bytes(b.column(2))):
+                w, v, p = grams(text)
+                if not len(w):
+                    continue
+                g, first, own = np.unique(p, return_index=True, return_counts=True)
+                _, at, n = np.unique(w, return_inverse=True, return_counts=True)
+                own_w = n[at]
+                own_v = np.concatenate([[0], own_w[:-1]])
+                held.append((np.full(len(g), row), np.full(len(g), int(good is not None)), np.full(len(g), len(w)), signed(g), own, own_v[first], own_w[first]))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*held)], names)
+
+    return map_arrow(rows.select("row", "good", "text"), pairs, ", ".join(f"{n} long" for n in names))
 
-    first = map_arrow(docs.select(id_bit("doc_id", ID_BITS).alias("_bit"), "doc_id", "text"), outside, SCHEMA)
-    second = maybe.join(good.withColumn("good", F.lit(1)), "doc_id", "left").select("doc_id", "text", "good")
-    return first.unionByName(map_arrow(second, maybe_inside, SCHEMA))
+
+def _loss(model: str, whole: str, size: float, all_size: float, part: str, vocabulary: int) -> str:
+    """SQL of one model's loss of a pair, own counts left out; columns <model>_g, _v, _w and <whole>_g, _v, _w."""
+
+    def left(x: str, own: str) -> str:
+        return f"({model}_{x} * (1D - {part} * {own} / greatest({whole}_{x}, {own}, 1)))"
+
+    p1 = f"(({left('w', 'own_w')} + {FLOOR}D) / ({size!r}D * (1D - {part} * size / greatest(size, {all_size!r}D)) + {FLOOR * vocabulary!r}D))"
+    before = left("v", "own_v")
+    return f"-ln((least({left('g', 'own')}, {before}) + {BACK}D * {p1}) / ({before} + {BACK}D))"
+
+
+SCHEMA = "doc_id long, n_words long, target_loss double, background_loss double, score double, selected boolean"
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document."""
+    good = cut(only(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    rows = tagged(only(docs, "doc_id", "text"), good)
+    counted = cut(counts(rows))
+    vocabulary, n_full, n_aim = counted.where("not pair").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    rate = min(1.0, n_aim / max(1, n_full))
+    words = cut(thinned(counted.where("not pair").select("g", "n", "t"), rate))
+    n_thin = words.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    pairs = thinned(counted.where("pair").select("g", "v", "w", "n", "t"), rate).toDF("g", "v", "w", "full_g", "aim_g", "thin_g")
+    for x in "vw":  # the start of a text is no word: it has no count
+        pairs = pairs.join(words.toDF(x, f"full_{x}", f"aim_{x}", f"thin_{x}"), x, "left").drop(x)
+    asked = own_pairs(rows).join(pairs.na.fill(0), "g")
+    losses = [_loss("aim", "aim", float(n_aim), float(n_aim), "good", vocabulary), _loss("thin", "full", float(n_thin), float(n_full), "1D", vocabulary)]
+    sums = asked.select("row", "size", *(F.expr(f"own * ({x})").alias(k) for k, x in zip("ab", losses)))
+    sums = sums.groupBy("row").agg(F.max("size").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    out = rows.select("row", "doc_id").join(sums, "row", "left").na.fill(0, ["n", "a", "b"])
+    out = out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n").alias("n_words"), *((F.col(k) / F.greatest("n", F.lit(1))).alias(name) for k, name in (("a", "target_loss"), ("b", "background_loss"))))
+    out = out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    return out.withColumn("selected", (F.col("n_words") > 0) & (F.col("score") <= threshold))

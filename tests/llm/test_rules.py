@@ -92,6 +92,61 @@ def test_lm_prefers_the_target(spark):
     assert lm_scoring.score(docs.limit(0), labels).count() == 0
 
 
+def lm_brute(rows, good):
+    """Losses by whole counts of words and pairs; the background is whole (every document is labelled, or none)."""
+    full, aim = [{}, {}], [{}, {}]
+    split = [(t or "").split() for _, t in rows]
+    for (d, _), w in zip(rows, split):
+        for models in [full, aim][: 1 + (d in good)]:
+            for kind, keys in enumerate((w, list(zip([None, *w], w)))):
+                for k in keys:
+                    models[kind][k] = models[kind].get(k, 0) + 1
+    V, out = len(full[0]), []
+    for (d, _), w in zip(rows, split):
+        loss = []
+        for (ones, twos), inside in ((aim, d in good), (full, True)):
+            n = sum(ones.values()) - inside * len(w)
+            c1 = lambda x: ones.get(x, 0) - inside * w.count(x)
+            pairs = list(zip([None, *w], w))
+            total = 0.0
+            for v, x in pairs:
+                p1 = (c1(x) + 0.1) / (n + 0.1 * V)
+                before = c1(v) if v is not None else 0
+                total -= math.log((min(twos.get((v, x), 0) - inside * pairs.count((v, x)), before) + 4 * p1) / (before + 4))
+            loss.append(total / max(1, len(w)))
+        out.append((d, len(w), *loss))
+    return out
+
+
+def test_lm_counts_every_word_and_pair_on_its_own(spark):
+    # more different words and pairs than 2**18 and 2**20 places could hold apart
+    docs = spark.range(300).selectExpr("id as doc_id", "array_join(transform(sequence(0, 3999), i -> concat('w', id * 4000 + i)), ' ') as text")
+    rows = lm_scoring.counts(docs)
+    assert {(x.pair, x.n, x["count"]) for x in rows.groupBy("pair", "n").count().collect()} == {(False, 1, 1_200_000), (True, 1, 1_200_000)}
+
+
+def test_lm_losses_match_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice("a b c d e f g".split()) + r.choice(["", "", str(r.randrange(40))]) for _ in range(r.randrange(60)))) for i in range(30)]
+    rows += [(40, None), (41, "alone"), (3, rows[3][1]), (5, "another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, 1) for d, _ in rows], "doc_id long, quality int")
+    got = sorted((x.doc_id, x.n_words, x.target_loss, x.background_loss) for x in lm_scoring.score(df, labels).collect())
+    want = sorted(lm_brute(rows, {d for d, _ in rows}))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
+
+
+def test_lm_thins_binomially(spark):
+    rows = spark.range(40_000).selectExpr("xxhash64(id) as g", "if(id % 2 = 0, 5L, 100L) as n").repartition(3)
+    got = lm_scoring.thinned(rows, 0.3).groupBy("n").agg({"m": "avg", "*": "count"}).collect()
+    assert all(abs(x["avg(m)"] / x.n - 0.3) < 0.005 for x in got) and sum(x["count(1)"] for x in got) == 40_000
+    spread = lm_scoring.thinned(rows, 0.3).groupBy("n").agg({"m": "var_pop"}).collect()
+    assert all(abs(x["var_pop(m)"] / (x.n * 0.21) - 1) < 0.05 for x in spread)
+    again = lm_scoring.thinned(rows.repartition(5), 0.3)
+    assert again.exceptAll(lm_scoring.thinned(rows, 0.3)).count() == 0
+
+
 def test_classifier_learns_without_held_out(spark):
     r = random.Random(2)
     good = [" ".join(r.choice(["The", "of", "tion.", "and"]) + str(r.randrange(3)) for _ in range(40)) for _ in range(150)]
