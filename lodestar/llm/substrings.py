@@ -2,7 +2,8 @@
 
 A window is ``width`` consecutive words of one document. A word goes if a window that covers it also starts in a document
 with a smaller id. A row's text is known by its id and the 128-bit hash of its sequence of words: windows, places and joins
-go by that key, and ids alone decide which document comes first.
+go by that key, and ids alone decide which document comes first. Windows carry the hash only where an id may have several
+texts (a bitmap, which misses none); their places get it back from the table of hashes.
 
 Copies first: of documents with one sequence of words only the one with the smallest id takes part below; in the others
 every window also starts in it. They are found by grouping 128-bit hashes of whole sequences.
@@ -122,38 +123,37 @@ def signed_texts(docs: DataFrame, with_text: bool = True) -> DataFrame:
     return map_arrow(docs, sign, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", t_hi long, t_lo long")
 
 
-def marked_windows(docs: DataFrame, width: int, bits: int, repeated: np.ndarray) -> DataFrame:
-    """hi, lo, the text's key, at: the windows whose anchors may repeat."""
-    sent = docs.sparkSession.sparkContext.broadcast(repeated)
+def marked_windows(docs: DataFrame, width: int, bits: int, repeated: np.ndarray, several: np.ndarray) -> DataFrame:
+    """hi, lo, the text's key, at: the windows whose anchors may repeat; the key has zeros for the hash where the id has one text."""
+    sent = docs.sparkSession.sparkContext.broadcast((repeated, several))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             his, los, ids, texts, ats = [], [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
+            for doc, text, full in zip(b.column(0).to_pylist(), raw_bytes(b.column(1)), bit_set(sent.value[1], b.column(2).to_numpy())):
                 words = (text or b"").split()
                 h = word_hashes(words)
                 a = anchors(h, width)
                 if not len(a):
                     continue
                 one, two = cells(a, bits)
-                at = np.flatnonzero(bit_set(sent.value, one) & bit_set(sent.value, two))
+                at = np.flatnonzero(bit_set(sent.value[0], one) & bit_set(sent.value[0], two))
                 if len(at):
                     his.append(signed(ngrams(h, width, 31)[at]))
                     los.append(signed(ngrams(h, width, 47)[at]))
                     ids.append(np.full(len(at), LAST if doc is None else doc, np.int64))
-                    texts.append(np.tile(np.frombuffer(sequence(words), np.int64), (len(at), 1)))
+                    texts.append(np.tile(np.frombuffer(sequence(words) if full else bytes(16), np.int64), (len(at), 1)))
                     ats.append(at.astype(np.int32))
             if his:
                 key = np.concatenate(texts)
                 cols = [*(np.concatenate(x) for x in (his, los, ids)), key[:, 0].copy(), key[:, 1].copy(), np.concatenate(ats)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hi", "lo", *TEXT, "at"])
 
-    return map_arrow(docs.select("doc_id", "text"), scan, "hi long, lo long, doc_id long, t_hi long, t_lo long, at int")
+    return map_arrow(docs.select("doc_id", "text", id_bit("doc_id", ID_BITS).alias("_bit")), scan, "hi long, lo long, doc_id long, t_hi long, t_lo long, at int")
 
 
-def copies(docs: DataFrame) -> DataFrame:
+def copies(texts: DataFrame) -> DataFrame:
     """The keys of the texts whose whole sequence of words is that of a document with a smaller id."""
-    texts = cut(signed_texts(docs.select("doc_id", "text"), with_text=False))
     least = texts.groupBy("t_hi", "t_lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     return cut(texts.join(least, ["t_hi", "t_lo"]).where("doc_id > least").select(*TEXT).distinct())
 
@@ -172,13 +172,17 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return clear.unionByName(asked.join(keys, TEXT, "left_anti").select("doc_id", "text"))
 
 
-def removed_places(docs: DataFrame, width: int = 50, bits: int | None = None) -> DataFrame:
+def removed_places(docs: DataFrame, texts: DataFrame, width: int = 50, bits: int | None = None) -> DataFrame:
     """A text's key, at (sorted array): starts of the windows that also start in a document with a smaller id."""
     bits = bits or sketch_bits(docs, width)
-    windows = marked_windows(docs, width, bits, repeated_cells(docs, width, bits))
+    several = texts.groupBy("doc_id").agg(F.min(F.struct("t_hi", "t_lo")).alias("x"), F.max(F.struct("t_hi", "t_lo")).alias("y")).where("x != y")
+    several = bit_words(several, id_bit("doc_id", ID_BITS), ID_BITS)
+    windows = marked_windows(docs, width, bits, repeated_cells(docs, width, bits), several)
     least = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     gone = windows.join(least, ["hi", "lo"]).where("doc_id > least").select(*TEXT, "at")
-    return cut(gone.groupBy(*TEXT).agg(F.array_sort(F.collect_set("at")).alias("at")))
+    gone = cut(gone.groupBy(*TEXT).agg(F.array_sort(F.collect_set("at")).alias("at")))
+    plain = gone.where("t_hi = 0 and t_lo = 0").select("doc_id", "at").join(texts.distinct(), "doc_id")
+    return gone.where("t_hi != 0 or t_lo != 0").unionByName(plain)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -189,8 +193,9 @@ def strip(docs: DataFrame, width: int = 50, with_text: bool = False, bits: int |
     docs = only(docs, "doc_id", "text")
     key = F.coalesce("doc_id", F.lit(LAST).cast("long"))
     keyed = docs.select(key.alias("doc_id"), "text")
-    whole = copies(keyed)
-    places = removed_places(without(keyed, whole), width, bits)
+    hashes = cut(signed_texts(keyed, with_text=False))
+    whole = copies(hashes)
+    places = removed_places(without(keyed, whole), hashes, width, bits)
     # an empty array of places stands for every window
     places = cut(places.unionByName(whole.select(*TEXT, F.array().cast("array<int>").alias("at"))))
     marked = bit_words(places, id_bit("doc_id", ID_BITS), ID_BITS)
