@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestar.llm import lm_scoring, mixing, quality_classifier, quality_rules
@@ -87,8 +88,9 @@ def test_lm_prefers_the_target(spark):
     assert max(got[i].score for i in range(40)) < min(got[i].score for i in range(40, 80))
     assert got[100].score == 0.0 and not got[100].selected
     # the background counts are those of all documents
-    n = sum(x["n"] for x in lm_scoring.counts(docs).collect())
-    assert n == 2 * 80 * 60
+    placed = docs.selectExpr("0L as block", "doc_id", "text")
+    found = lm_scoring.totals(lm_scoring.counts(placed, spark.range(3).selectExpr("0L as block", "id as doc_id"), 2)).where("block is null").collect()
+    assert (sum(x.n_words for x in found), sum(x.t_words for x in found), sum(x.words for x in found)) == (80 * 60, 3 * 60, 8)
     assert lm_scoring.score(docs.limit(0), labels).count() == 0
 
 
@@ -120,9 +122,9 @@ def lm_brute(rows, good):
 
 def test_lm_counts_every_word_and_pair_on_its_own(spark):
     # more different words and pairs than 2**18 and 2**20 places could hold apart
-    docs = spark.range(300).selectExpr("id as doc_id", "array_join(transform(sequence(0, 3999), i -> concat('w', id * 4000 + i)), ' ') as text")
-    rows = lm_scoring.counts(docs)
-    assert {(x.pair, x.n, x["count"]) for x in rows.groupBy("pair", "n").count().collect()} == {(False, 1, 1_200_000), (True, 1, 1_200_000)}
+    docs = spark.range(300).selectExpr("id % 7 as block", "id as doc_id", "array_join(transform(sequence(0, 3999), i -> concat('w', id * 4000 + i)), ' ') as text")
+    rows = lm_scoring.totals(lm_scoring.counts(docs, docs.limit(0).select("block", "doc_id"), 3)).where("block is null")
+    assert rows.selectExpr("sum(words)", "sum(n_words)", "sum(t_words)", "count(*)").first()[:] == (1_200_000, 1_200_000, 0, 8)
 
 
 def test_lm_losses_match_brute_force(spark):
@@ -131,20 +133,57 @@ def test_lm_losses_match_brute_force(spark):
     rows += [(40, None), (41, "alone"), (3, rows[3][1]), (5, "another text")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(d, 1) for d, _ in rows], "doc_id long, quality int")
-    got = sorted((x.doc_id, x.n_words, x.target_loss, x.background_loss) for x in lm_scoring.score(df, labels).collect())
+    got = sorted((x.doc_id, x.n_words, x.target_loss, x.background_loss) for x in lm_scoring.score(df, labels, block_bytes=200, bucket_bytes=150).collect())
     want = sorted(lm_brute(rows, {d for d, _ in rows}))
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert all(abs(a - b) < 1e-9 for x, y in zip(got, want) for a, b in zip(x[2:], y[2:]))
 
 
-def test_lm_thins_binomially(spark):
-    rows = spark.range(40_000).selectExpr("xxhash64(id) as g", "if(id % 2 = 0, 5L, 100L) as n").repartition(3)
-    got = lm_scoring.thinned(rows, 0.3).groupBy("n").agg({"m": "avg", "*": "count"}).collect()
-    assert all(abs(x["avg(m)"] / x.n - 0.3) < 0.005 for x in got) and sum(x["count(1)"] for x in got) == 40_000
-    spread = lm_scoring.thinned(rows, 0.3).groupBy("n").agg({"m": "var_pop"}).collect()
-    assert all(abs(x["var_pop(m)"] / (x.n * 0.21) - 1) < 0.05 for x in spread)
-    again = lm_scoring.thinned(rows.repartition(5), 0.3)
-    assert again.exceptAll(lm_scoring.thinned(rows, 0.3)).count() == 0
+@pytest.mark.parametrize("rate", [0.001, 0.3, 0.5, 0.97])
+def test_lm_thins_binomially(rate):
+    g = np.random.default_rng(1).integers(0, 2**63, 60_000).astype(np.uint64)
+    n = np.array([1, 5, 100, 10_000])[np.arange(60_000) % 4]
+    got = lm_scoring.thin(g, n, rate)
+    for k in (1, 5, 100, 10_000):
+        one, spread = got[n == k], math.sqrt(k * rate * (1 - rate))
+        assert 0 <= one.min() and one.max() <= k
+        assert abs(one.mean() - k * rate) < 5 * spread / math.sqrt(len(one))
+        assert abs(one.var() - spread**2) < 5 * spread**2 * math.sqrt((2 + 1 / spread**2) / len(one))
+    assert (lm_scoring.thin(g[::-1], n[::-1], rate)[::-1] == got).all()
+    assert (lm_scoring.thin(g, n, 1.0) == n).all() and not lm_scoring.thin(g, n, 0.0).any()
+
+
+def test_lm_thinned_background_matches_slow_counts(spark):
+    """A tenth is labelled: losses from dictionaries of words and pairs, the thinned counts by the operator's own share of each."""
+    r = random.Random(16)
+    rows = [(i, " ".join(r.choice("a b c d e f g".split()) + str(r.randrange(9)) for _ in range(r.randrange(1, 80)))) for i in range(60)] + [(None, "a1 b2"), (2**63 - 1, "c3 d4"), (-5, "e5")]
+    good = {i for i in range(0, 60, 6)}
+    df = spark.createDataFrame([(*x, 1, "b") for x in rows], "doc_id long, text string, n long, block string")
+    got = {x.doc_id: x for x in lm_scoring.score(df, spark.createDataFrame([(d, 1) for d in good], "doc_id long, quality int"), block_bytes=300, bucket_bytes=500).collect()}
+    full, aim = {}, {}
+    for d, t in rows:
+        w = t.split()
+        for k in w + list(zip([None, *w], w)):
+            full[k] = full.get(k, 0) + 1
+            if d in good:
+                aim[k] = aim.get(k, 0) + 1
+    words = [k for k in full if isinstance(k, str)]
+    n_full, n_aim = sum(full[k] for k in words), sum(aim.get(k, 0) for k in words)
+    h = {k: lm_scoring.word_hashes([k.encode()]) for k in words}
+    key = lambda k: h[k] & ~np.uint64(1) if isinstance(k, str) else lm_scoring.mix(lm_scoring._START if k[0] is None else h[k[0]], h[k[1]], 61) | np.uint64(1)
+    thin = {k: int(lm_scoring.thin(key(k), np.array([c]), n_aim / n_full)[0]) for k, c in full.items()}
+    for d, t in rows:
+        w = t.split()
+        mine = {}
+        for k in w + list(zip([None, *w], w)):
+            mine[k] = mine.get(k, 0) + 1
+        loss = []
+        for model, whole, part, total, everything in ((aim, aim, d in good, n_aim, n_aim), (thin, full, True, n_aim, n_full)):
+            c = lambda k: model.get(k, 0) * (1 - part * mine[k] / max(whole.get(k, 0), mine[k]))
+            n = total * (1 - part * len(w) / everything)
+            loss.append(sum(-math.log((min(c((v, x)), c(v) if v else 0) + 4 * (c(x) + 0.1) / (n + 0.1 * len(words))) / ((c(v) if v else 0) + 4)) for v, x in zip([None, *w], w)) / len(w))
+        assert abs(got[d].target_loss - loss[0]) < 1e-9 and abs(got[d].background_loss - loss[1]) < 1e-9
+        assert got[d].selected == (got[d].score <= lm_scoring.THRESHOLD)
 
 
 def test_classifier_learns_without_held_out(spark):
