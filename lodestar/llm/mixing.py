@@ -2,14 +2,16 @@
 
 A source's share p of the tokens becomes the weight ``p**a / sum(p**a)``. The exponent a lies between 0 (all sources
 equal) and 1 (as they come) and is bisected, sixteen sections at a time, over the table of sources: to a target entropy (in
-nats), or to the flattest mix in which no source is repeated more than ``max_repeat`` times, or to what meets both.
+nats, or as a share of the way from the natural entropy to the most there can be), or to the flattest mix in which no source
+is repeated more than ``max_repeat`` times, or to what meets both. It is reported with the entropy that it gives.
 
 The weights are realised against a token budget; without one, the smallest budget at which every document is used at least
 once. A source is read in epochs, each a permutation of its documents by a hash of seed, epoch and id: whole ones first,
-then the part of one that the rest of its quota pays for. A copy's position in the mix is its place in its source's
-epochs, so that equal blocks of positions hold every source at its weight.
+then the part of one that the rest of its quota pays for. The mix is cut into ``blocks``, each a budget of tokens by source:
+going through its source's epochs, a copy falls into the block in which its first token lies, so every block holds each
+source's part of the block's budget to within one document.
 
-No source is gathered: where the last epoch ends is found from the token sums of small hash ranges, then within one range.
+No source is gathered: running sums are those of small hash ranges, summed up in two levels, then of one range's documents.
 
 Defined cases: null or empty texts and sources without a token have no share, and their documents are used once if no
 budget is given; a null source is a source; ties in the permutation go by id and repeated rows share their fate; an empty
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.common import carried, cut, only, restored
 
-SEED, BLOCKS, RANGE_DOCS, SECTIONS, ROUNDS = 20_240_601, 64, 2000, 16, 6
+SEED, BLOCKS, RANGE_DOCS, SPAN, SECTIONS, ROUNDS = 20_240_601, 64, 2000, 1000, 16, 6
 
 
 def n_tokens(text: str = "text") -> Column:
@@ -79,30 +81,54 @@ def _range(place: Column, ranges: Column) -> Column:
     return F.floor(place * ranges / F.lit(2**32)).cast("long")
 
 
-def plan(slim: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None) -> DataFrame:
-    """A row for each source: weight, quota, whole epochs, ranges, and where the last epoch ends. slim: doc_id, source, n_tokens."""
+def running(sums: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
+    """sums (a row for each keys and at) with before: the sum of value over smaller places at. In two levels: no task holds
+    more than SPAN places of a key, or a SPAN-th of them."""
+    high = sums.withColumn("_high", F.col(at) / F.lit(SPAN)).withColumn("_high", F.floor("_high"))
+    tops = high.groupBy(*keys, "_high").agg(F.sum(value).alias("_t"))
+    tops = tops.select(*keys, "_high", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_high").rowsBetween(Window.unboundedPreceding, -1)).alias("_top"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_high").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    out = high.withColumn("_in", inside).join(tops, [*keys, "_high"])
+    return out.withColumn("before", F.coalesce("_top", F.lit(0)) + F.coalesce("_in", F.lit(0))).drop("_high", "_top", "_in")
+
+
+def entropy_of(sources: DataFrame, a: float) -> tuple[float, float]:
+    """Entropy of the mix at a, and the most that so many sources allow."""
+    w = F.pow(F.col("n_tokens").cast("double"), F.lit(a))
+    r = sources.where("n_tokens > 0").agg(F.sum(w).alias("z"), F.sum(w * F.log(F.col("n_tokens").cast("double"))).alias("l"), F.count("*").alias("n")).first()
+    return math.log(r["z"]) - a * r["l"] / r["z"], math.log(r["n"])
+
+
+def plan(slim: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None, entropy_share: float | None = None) -> DataFrame:
+    """A row for each source: weight, quota, whole epochs, ranges, and where the last epoch ends; exponent and entropy of the
+    mix. slim: doc_id, source, n_tokens. entropy_share: the target entropy as a share of the way from natural to most."""
     slim = _keyed(slim)
     sources = cut(slim.groupBy("_s").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")))
     head = sources.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
     total = float(head["t"] or 0)
+    a = entropy = 1.0
     if total:
+        if entropy_share is not None:
+            natural, most = entropy_of(sources, 1.0)
+            target_entropy = natural + entropy_share * (most - natural)
         a = exponent(sources, target_entropy, max_repeat, budget)
+        entropy = round(entropy_of(sources, a)[0], 9)
         power = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.lit(total), F.lit(a))).otherwise(F.lit(0.0))
         z = sources.agg(F.sum(power)).first()[0]
         weighed = sources.withColumn("weight", power / F.lit(z))
         if budget is None:
             budget = weighed.where("n_tokens > 0").agg(F.max(F.col("n_tokens") / F.col("weight"))).first()[0]
     else:
-        weighed, budget = sources.withColumn("weight", F.lit(0.0)), budget or 0.0
+        weighed, budget, entropy = sources.withColumn("weight", F.lit(0.0)), budget or 0.0, 0.0
     # a whole number of epochs stays whole whatever the last bits of the exponent and the division
     repeats = F.when(F.col("n_tokens") > 0, F.round(F.col("weight") * F.lit(float(budget)) / F.col("n_tokens"), 6)).otherwise(F.lit(1.0))
     weighed = weighed.withColumn("repeats", repeats).withColumn("whole", F.floor("repeats").cast("int"))
     weighed = weighed.withColumn("rest", (F.col("repeats") - F.col("whole")) * F.col("n_tokens")).withColumn("ranges", F.ceil(F.col("n_docs") / F.lit(RANGE_DOCS)).cast("long"))
-    weighed = cut(weighed)
+    weighed = cut(weighed.withColumn("exponent", F.lit(a)).withColumn("entropy", F.lit(entropy)))
     # the last epoch's token sums by hash range, then the range in which the quota ends
     dealt = slim.join(weighed.where("rest > 0").select("_s", "whole", "ranges", "rest"), "_s").withColumn("place", _place(F.col("whole"))).withColumn("range", _range(F.col("place"), F.col("ranges")))
     sums = dealt.groupBy("_s", "range").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("_s").orderBy("range")))
+    upto = running(sums, ["_s"], "range", "n").withColumn("upto", F.col("before") + F.col("n")).drop("before")
     ends = upto.where("upto > rest").groupBy("_s").agg(F.min("range").alias("end_range"), F.min_by(F.col("upto") - F.col("n"), "range").alias("before"))
     inside = dealt.join(ends, (dealt["_s"] == ends["_s"]) & (dealt["range"] == ends["end_range"])).drop(ends["_s"])
     so_far = F.sum("n_tokens").over(Window.partitionBy("_s").orderBy("place", "doc_id"))
@@ -111,29 +137,37 @@ def plan(slim: DataFrame, target_entropy: float | None = None, max_repeat: float
 
 
 def copies(docs: DataFrame, plan_rows: DataFrame) -> DataFrame:
-    """docs (doc_id, source and whatever else) with a row for each copy: epoch, position and block."""
-    d = _keyed(docs).join(plan_rows.select("_s", "weight", "repeats", "whole", "ranges", "rest", "end_range", "end"), "_s")
+    """docs (doc_id, source and whatever else) with a row for each copy: its epoch, and the plan's columns."""
+    d = _keyed(docs).join(plan_rows.select("_s", F.col("n_tokens").alias("_total"), "exponent", "entropy", "weight", "repeats", "whole", "ranges", "rest", "end_range", "end"), "_s")
     place = _place(F.col("whole"))
     at = _range(place, F.col("ranges"))
     me = F.struct(place.alias("place"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("id"))
     part = F.when(F.col("rest") <= 0, False).when(F.col("end_range").isNull(), True).otherwise((at < F.col("end_range")) | ((at == F.col("end_range")) & F.coalesce(me <= F.col("end"), F.lit(False))))
     n = F.col("whole") + part.cast("int")
-    out = d.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    position = (F.col("epoch") + _place(F.col("epoch")) / F.lit(float(2**32))) / F.greatest(F.col("repeats"), F.lit(1e-9))
-    out = out.withColumn("position", F.least(position, F.lit(1.0 - 1e-12)))
-    return out.withColumn("block", F.floor(F.col("position") * BLOCKS).cast("int")).drop("_s", "_n", "whole", "ranges", "rest", "end_range", "end")
+    return d.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "whole", "rest", "end_range", "end")
+
+
+def placed(rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """copies with start (tokens of the source's mix before it), position (0 to 1, of its quota) and block."""
+    rows = cut(rows.withColumn("_place", _place(F.col("epoch"))).withColumn("_range", _range(F.col("_place"), F.col("ranges"))))
+    sums = running(rows.groupBy("_s", "epoch", "_range").agg(F.sum("n_tokens").alias("_n")), ["_s", "epoch"], "_range", "_n").drop("_n")
+    inside = F.sum("n_tokens").over(Window.partitionBy("_s", "epoch", "_range").orderBy("_place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(sums, ["_s", "epoch", "_range"]).withColumn("start", F.col("epoch") * F.col("_total") + F.col("before") + F.coalesce(inside, F.lit(0)))
+    position = F.when(F.col("_total") > 0, F.col("start") / (F.col("repeats") * F.col("_total"))).otherwise(F.lit(0.0))
+    return rows.withColumn("position", F.least(position, F.lit(1.0 - 1e-12))).withColumn("block", F.floor(F.col("position") * blocks).cast("int"))
 
 
 def _slim(docs: DataFrame) -> DataFrame:
     return cut(only(docs, "doc_id", "source", "text").select("doc_id", "source", n_tokens().alias("n_tokens")))
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None) -> DataFrame:
-    """A row for each copy of a document: doc_id, source, n_tokens, weight, repeats, epoch, position (0 to 1), block."""
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None, entropy_share: float | None = None) -> DataFrame:
+    """A row for each copy of a document: doc_id, source, n_tokens, exponent, entropy, weight, repeats, epoch, start, position (0 to 1), block."""
     slim = _slim(docs)
-    return copies(slim, plan(slim, target_entropy, max_repeat, budget)).select("doc_id", "source", "n_tokens", "weight", "repeats", "epoch", "position", "block")
+    rows = placed(copies(slim, plan(slim, target_entropy, max_repeat, budget, entropy_share)))
+    return rows.select("doc_id", "source", "n_tokens", "exponent", "entropy", "weight", "repeats", "epoch", "start", "position", "block")
 
 
-def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None, entropy_share: float | None = None) -> DataFrame:
     """docs with each document as often as the mix uses it; the columns stay."""
-    return restored(copies(carried(docs, "doc_id", "source"), plan(_slim(docs), target_entropy, max_repeat, budget)))
+    return restored(copies(carried(docs, "doc_id", "source"), plan(_slim(docs), target_entropy, max_repeat, budget, entropy_share)))

@@ -35,7 +35,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), max_repeat=4.0)
+    return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.5, max_repeat=4.0)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

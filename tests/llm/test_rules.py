@@ -252,3 +252,46 @@ def test_mix_edges(spark):
     got = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None), (2, "", None)], schema)).collect()
     assert sorted(x.doc_id for x in got) == [1, 2, 2]
     assert mixing.mix(spark.createDataFrame([(1, "x y", "a")], schema)).count() == 1
+
+
+def test_mix_matches_a_slow_bisection(spark, sources):
+    """Exponent and weights against a plain bisection over dictionaries; every block against its budget."""
+    rows, df = sources
+    got = mixing.mix(df, entropy_share=0.5, max_repeat=None).collect()
+    total = {}
+    for _, t, s in rows:
+        total[s] = total.get(s, 0) + len(t.split())
+    share = [v / sum(total.values()) for v in total.values()]
+
+    def entropy(a):
+        w = [p**a for p in share]
+        return -sum(x / sum(w) * math.log(x / sum(w)) for x in w)
+
+    aim, low, high = (entropy(1.0) + math.log(len(share))) / 2, 0.0, 1.0
+    for _ in range(60):
+        low, high = ((low + high) / 2, high) if entropy((low + high) / 2) >= aim else (low, (low + high) / 2)
+    assert 0.01 < low < 0.99 and {abs(x.exponent - low) < 1e-6 and abs(x.entropy - aim) < 1e-5 for x in got} == {True}
+    z = sum(p**low for p in share)
+    weight = {s: (v / sum(total.values())) ** low / z for s, v in total.items()}
+    assert all(abs(x.weight - weight[x.source]) < 1e-6 for x in got)
+    budget = max(total[s] / weight[s] for s in total)
+    held, last = {}, {}
+    for x in got:
+        held[x.source, x.block] = held.get((x.source, x.block), 0) + x.n_tokens
+        last[x.source] = max(last.get(x.source, 0), x.block)
+        assert x.block == min(int(x.start / (weight[x.source] * budget) * 64 + 1e-9), 63) or abs(x.start / (weight[x.source] * budget) * 64 % 1) < 1e-3
+    assert set(last.values()) == {63}
+    for s in total:
+        quota = weight[s] * budget / 64
+        assert all(abs(held.get((s, b), 0) - quota) <= 30.01 for b in range(64)), s
+    # a source's copies follow each other without a gap
+    for s in total:
+        mine = sorted((x.start, x.n_tokens) for x in got if x.source == s)
+        assert all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and mine[0][0] == 0
+
+
+def test_running_sums_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 3)
+    rows = [("a" if i % 2 else "b", i, i * i) for i in range(40)]
+    got = mixing.running(spark.createDataFrame(rows, "k string, at long, n long"), ["k"], "at", "n").collect()
+    assert all(x.before == sum(n for k, i, n in rows if k == x.k and i < x["at"]) for x in got) and len(got) == 40
