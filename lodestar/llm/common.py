@@ -70,6 +70,19 @@ def restored(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+#: Keys that ``meet`` sends to every task at most.
+HOT_KEYS = 2000
+
+
+def meet(big: DataFrame, small: DataFrame, on: str, many: str, total: int) -> DataFrame:
+    """big joined with small, which has a key once and, in many, the number of big's rows with it; total: all rows of big.
+
+    Keys with more than 1/HOT_KEYS of the rows, HOT_KEYS of them at most, are broadcast and meet their rows where these lie."""
+    hot, rest = (small.where(F.col(many) * HOT_KEYS > total), small.where(F.col(many) * HOT_KEYS <= total))
+    there = big.join(F.broadcast(hot.drop(many)), on)
+    return there.unionByName(big.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest.drop(many), on).select(*there.columns))
+
+
 def raw_bytes(column: pa.Array) -> list:
     """UTF-8 bytes of each text, None for null."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,15 +8,17 @@ texts (a bitmap, which misses none); their places get it back from the table of
 Copies first: of documents with one sequence of words only the one with the smallest id takes part below; in the others
 every window also starts in it. They are found by grouping 128-bit hashes of whole sequences.
 
-First pass: a window's estimate is that of its anchor, the smallest hash among its 8-word grams; equal windows have equal
+First pass: a window's estimate is that of its anchor, the smallest hash among its GRAM-word grams; equal windows have equal
 anchors, so an anchor occurs at least as often as any of its windows. Each task sketches the distinct anchors of each of
-its documents (two rows of ``2**bits`` cells); the merged sketches overestimate, so every window in two documents has
-an anchor whose cells all reach two. What reaches the driver is one bit a cell.
+its documents (two rows of ``2**bits`` cells, eight times the anchors expected); the merged sketches overestimate, so every
+window in two documents has an anchor whose cells all reach two. The merged sketch stays in Spark, whatever its size: anchors
+meet their cells by joins, and each document gets the places of those that may repeat among its own.
 
-Second pass: only windows with such an anchor leave the scan, as 128-bit hashes with their place. Grouping takes each
-hash's smallest and largest id (pre-aggregated before the shuffle); windows whose smallest id is below their own
-document's are marked. Marked places come back to their documents as runs; documents that a bitmap of marked ids excludes
-never move.
+Second pass: only windows with such an anchor leave the scan, as 128-bit hashes with their places. A task holds about HELD
+of them at a time: of a window that several of those documents have, only the smallest id's moves, and the others are marked
+at once, as runs of places. So a very common window moves once for each HELD windows. What moved is dealt by window, once,
+and windows whose smallest id is below their own document's are marked. Marks come back to their documents;
+documents that a bitmap of marked ids excludes never move.
 
 Defined cases: null text: no words, hash of the empty string; fewer than ``width`` words: nothing to remove; rows that
 repeat are one document (equal id), so neither removes the other, and so are several texts of one id; a null id is smaller than none: it loses to every id; an
@@ -32,13 +34,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bit_set, bit_words, cut, distinct, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, signed, word_hashes
+from lodestar.llm.common import bit_set, bit_words, cut, distinct, id_bit, in_bitmap, map_arrow, meet, mix, ngrams, only, raw_bytes, signed, word_hashes
 
-GRAM = 8
+GRAM = 24
 ID_BITS = 23
+#: Windows that a task holds before it moves them.
+HELD = 1 << 19
 LAST = 2**63 - 1
 #: The columns that tell one text from another.
 TEXT = ["doc_id", "t_hi", "t_lo"]
@@ -70,14 +74,14 @@ def cells(anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_bits(docs: DataFrame, width: int) -> int:
-    """Cells for about eight times the anchors expected, between 2**16 and 2**25 a row (4 MB of bits)."""
+    """Cells for about eight times the anchors expected, 2**16 a row at least."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = chars / 6 * 2 / max(2, width - GRAM + 2)
-    return int(min(25, max(16, math.ceil(math.log2(8 * max(1, expected))))))
+    expected = chars / 6 * 2 / max(2, width - min(GRAM, width) + 2)
+    return max(16, math.ceil(math.log2(8 * max(1, expected))))
 
 
-def repeated_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """The merged sketch as bits: cells that reach two."""
+def sketched(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """cell, n: the merged sketch where it reaches two."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -100,8 +104,39 @@ def repeated_cells(docs: DataFrame, width: int, bits: int) -> np.ndarray:
         if n:
             yield out()
 
-    found = map_arrow(docs.select("text"), sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
-    return bit_words(found, F.col("cell"), bits + 1)
+    return map_arrow(docs.select("text"), sketch, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
+
+
+def text_key(doc: int | None, words: list[bytes]) -> int:
+    """64 bits for a row's text. Two texts that share them share their repeated anchors: more windows move, none is lost."""
+    return xxhash.xxh3_64_intdigest(sequence(words), (0 if doc is None else doc) & (2**64 - 1)) - 2**63
+
+
+def with_anchors(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """doc_id, text and anchors (places among the text's distinct anchors, in order) of the texts with anchors whose cells both reach two."""
+
+    def list_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = []
+            for doc, text in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
+                words = (text or b"").split()
+                a = distinct(anchors(word_hashes(words), width))
+                if len(a):
+                    held.append((np.full(len(a), text_key(doc, words)), np.arange(len(a), dtype=np.int32), *cells(a, bits)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["key", "place", "one", "two"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [text_key(doc, (t or b"").split()) for doc, t in zip(b.column(0).to_pylist(), raw_bytes(b.column(1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *b.columns], ["key", "doc_id", "text"])
+
+    listed = map_arrow(docs, list_cells, "key long, place int, one long, two long")
+    found = cut(sketched(docs, width, bits).select("cell"))
+    for c in ("one", "two"):
+        listed = listed.join(found.withColumnRenamed("cell", c), c).drop(c)
+    each = listed.groupBy("key").agg(F.collect_set("place").alias("anchors"))
+    return map_arrow(docs, keyed, "key long, doc_id long, text string").join(each, "key").drop("key")
 
 
 def sequence(words: list[bytes]) -> bytes:
@@ -123,39 +158,72 @@ def signed_texts(docs: DataFrame, with_text: bool = True) -> DataFrame:
     return map_arrow(docs, sign, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", t_hi long, t_lo long")
 
 
-def marked_windows(docs: DataFrame, width: int, bits: int, repeated: np.ndarray, several: np.ndarray) -> DataFrame:
-    """hi, lo, the text's key, at: the windows whose anchors may repeat; the key has zeros for the hash where the id has one text."""
-    sent = docs.sparkSession.sparkContext.broadcast((repeated, several))
+def _runs(key: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that start a run of consecutive places of one text (rows are in order), and the lengths of the runs."""
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1] + 1
+    for k in key:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(first, append=len(at))
+
+
+def candidate_windows(docs: DataFrame, width: int, several: np.ndarray) -> DataFrame:
+    """hi, lo, the text's key, at, run: windows whose anchors may repeat (run 0), and runs of windows that are marked already.
+
+    The key has zeros for the hash where the id has one text. docs: doc_id, text, anchors."""
+    sent = docs.sparkSession.sparkContext.broadcast(several)
+    names = ["hi", "lo", *TEXT, "at", "run"]
+
+    def out(held: list) -> Iterator[pa.RecordBatch]:
+        hi, lo, doc, t_hi, t_lo, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((doc, lo, hi))
+        new = np.ones(len(order), bool)
+        new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+        least = np.empty(len(order), np.int64)
+        least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        moves = doc == least
+        rows = [x[moves] for x in (hi, lo, doc, t_hi, t_lo, at)] + [np.zeros(int(moves.sum()), np.int32)]
+        doc, t_hi, t_lo, at = (x[~moves] for x in (doc, t_hi, t_lo, at))
+        order = np.lexsort((at, t_lo, t_hi, doc))
+        doc, t_hi, t_lo, at = (x[order] for x in (doc, t_hi, t_lo, at))
+        first, run = _runs([doc, t_hi, t_lo], at)
+        marks = [doc[first], at[first].astype(np.int64), doc[first], t_hi[first], t_lo[first], at[first], run.astype(np.int32)]
+        both = [np.concatenate(x) for x in zip(rows, marks)]
+        for a in range(0, len(both[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in both], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            his, los, ids, texts, ats = [], [], [], [], []
-            for doc, text, full in zip(b.column(0).to_pylist(), raw_bytes(b.column(1)), bit_set(sent.value[1], b.column(2).to_numpy())):
+            for doc, text, full, places in zip(b.column(0).to_pylist(), raw_bytes(b.column(1)), bit_set(sent.value, b.column(2).to_numpy()), b.column(3).to_pylist()):
                 words = (text or b"").split()
                 h = word_hashes(words)
                 a = anchors(h, width)
-                if not len(a):
-                    continue
-                one, two = cells(a, bits)
-                at = np.flatnonzero(bit_set(sent.value[0], one) & bit_set(sent.value[0], two))
+                each = distinct(a)
+                repeated = np.zeros(len(each), bool)
+                repeated[[x for x in places if x < len(each)]] = True
+                at = np.flatnonzero(repeated[np.searchsorted(each, a)])
                 if len(at):
-                    his.append(signed(ngrams(h, width, 31)[at]))
-                    los.append(signed(ngrams(h, width, 47)[at]))
-                    ids.append(np.full(len(at), LAST if doc is None else doc, np.int64))
-                    texts.append(np.tile(np.frombuffer(sequence(words) if full else bytes(16), np.int64), (len(at), 1)))
-                    ats.append(at.astype(np.int32))
-            if his:
-                key = np.concatenate(texts)
-                cols = [*(np.concatenate(x) for x in (his, los, ids)), key[:, 0].copy(), key[:, 1].copy(), np.concatenate(ats)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["hi", "lo", *TEXT, "at"])
+                    key = np.frombuffer(sequence(words) if full else bytes(16), np.int64)
+                    held.append((signed(ngrams(h, width, 31)[at]), signed(ngrams(h, width, 47)[at]), *(np.full(len(at), x, np.int64) for x in (LAST if doc is None else doc, *key)), at.astype(np.int32)))
+                    n += len(at)
+                if n > HELD:
+                    yield from out(held)
+                    held, n = [], 0
+        if n:
+            yield from out(held)
 
-    return map_arrow(docs.select("doc_id", "text", id_bit("doc_id", ID_BITS).alias("_bit")), scan, "hi long, lo long, doc_id long, t_hi long, t_lo long, at int")
+    asked = docs.select("doc_id", "text", id_bit("doc_id", ID_BITS).alias("_bit"), "anchors")
+    return map_arrow(asked, scan, "hi long, lo long, doc_id long, t_hi long, t_lo long, at int, run int")
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """The keys of the texts whose whole sequence of words is that of a document with a smaller id."""
-    least = texts.groupBy("t_hi", "t_lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    return cut(texts.join(least, ["t_hi", "t_lo"]).where("doc_id > least").select(*TEXT).distinct())
+    """The keys of the texts whose whole sequence of words is that of a document with a smaller id. A class may hold a
+    third of all rows: these stay where they are, and its smallest id is sent to them."""
+    texts = texts.withColumn("t", F.struct("t_hi", "t_lo"))
+    least = texts.groupBy("t").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("many")).where("least < most").drop("most")
+    return cut(meet(texts, cut(least), "t", "many", texts.count()).where("doc_id > least").select(*TEXT).distinct())
 
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -173,15 +241,18 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def removed_places(docs: DataFrame, texts: DataFrame, width: int = 50, bits: int | None = None) -> DataFrame:
-    """A text's key, at (sorted array): starts of the windows that also start in a document with a smaller id."""
+    """A text's key, at, run (arrays): starts of the windows that also start in a document with a smaller id, and how many
+    places from there on start one too."""
     bits = bits or sketch_bits(docs, width)
     several = texts.groupBy("doc_id").agg(F.min(F.struct("t_hi", "t_lo")).alias("x"), F.max(F.struct("t_hi", "t_lo")).alias("y")).where("x != y")
     several = bit_words(several, id_bit("doc_id", ID_BITS), ID_BITS)
-    windows = marked_windows(docs, width, bits, repeated_cells(docs, width, bits), several)
-    least = windows.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    gone = windows.join(least, ["hi", "lo"]).where("doc_id > least").select(*TEXT, "at")
-    gone = cut(gone.groupBy(*TEXT).agg(F.array_sort(F.collect_set("at")).alias("at")))
-    plain = gone.where("t_hi = 0 and t_lo = 0").select("doc_id", "at").join(texts.distinct(), "doc_id")
+    windows = candidate_windows(with_anchors(docs, width, bits), width, several)
+    # a window and its smallest id side by side: dealt once, and a window has one row at most for each HELD windows and document
+    least = F.min("doc_id").over(Window.partitionBy("hi", "lo"))
+    gone = windows.withColumn("least", least).where("run > 0 or doc_id > least")
+    gone = gone.groupBy(*TEXT).agg(F.collect_list(F.struct("at", F.greatest("run", F.lit(1)).alias("run"))).alias("r"))
+    gone = cut(gone.select(*TEXT, F.col("r.at").alias("at"), F.col("r.run").alias("run")))
+    plain = gone.where("t_hi = 0 and t_lo = 0").select("doc_id", "at", "run").join(texts.distinct(), "doc_id").select(*TEXT, "at", "run")
     return gone.where("t_hi != 0 or t_lo != 0").unionByName(plain)
 
 
@@ -197,15 +268,16 @@ def strip(docs: DataFrame, width: int = 50, with_text: bool = False, bits: int |
     whole = copies(hashes)
     places = removed_places(without(keyed, whole), hashes, width, bits)
     # an empty array of places stands for every window
-    places = cut(places.unionByName(whole.select(*TEXT, F.array().cast("array<int>").alias("at"))))
+    none = F.array().cast("array<int>")
+    places = cut(places.unionByName(whole.select(*TEXT, none.alias("at"), none.alias("run"))))
     marked = bit_words(places, id_bit("doc_id", ID_BITS), ID_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(marked)
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["kept_text"] * with_text
     kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
 
-    def kept(ids, texts, starts) -> pa.RecordBatch:
+    def kept(ids, texts, starts, runs) -> pa.RecordBatch:
         cols: list[list] = [[] for _ in names]
-        for doc, text, at in zip(ids, texts, starts):
+        for doc, text, at, run in zip(ids, texts, starts, runs):
             words = (text or b"").split()
             n = len(words)
             if at is not None and len(at) == 0 and n >= width:
@@ -213,7 +285,7 @@ def strip(docs: DataFrame, width: int = 50, with_text: bool = False, bits: int |
             elif at is not None and len(at):
                 edge = np.zeros(n + 1, np.int32)
                 np.add.at(edge, np.asarray(at), 1)
-                np.add.at(edge, np.asarray(at) + width, -1)
+                np.add.at(edge, np.asarray(at) + np.asarray(run) - 1 + width, -1)
                 words = [w for w, c in zip(words, np.cumsum(edge[:n])) if not c]
             joined = b" ".join(words)
             row = [doc, n, n - len(words), hashlib.sha256(joined).hexdigest()] + [joined.decode()] * with_text
@@ -224,15 +296,15 @@ def strip(docs: DataFrame, width: int = 50, with_text: bool = False, bits: int |
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(~bit_set(sent.value, b.column(0).to_numpy())))
-            yield kept(b.column(1).to_pylist(), raw_bytes(b.column(2)), [None] * b.num_rows)
+            yield kept(b.column(1).to_pylist(), raw_bytes(b.column(2)), [None] * b.num_rows, [None] * b.num_rows)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield kept(b.column(0).to_pylist(), raw_bytes(b.column(1)), b.column(2).to_pylist())
+            yield kept(b.column(0).to_pylist(), raw_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist())
 
     schema = SCHEMA + ", kept_text string" * with_text
     keyed = docs.withColumn("key", key)
     rest = map_arrow(keyed.select(id_bit("key", ID_BITS).alias("_bit"), "doc_id", "text"), untouched, schema)
     some = signed_texts(in_bitmap(keyed, "key", marked, ID_BITS, ["key", "doc_id", "text"]))
     some = some.join(places.withColumnRenamed("doc_id", "key"), ["key", "t_hi", "t_lo"], "left")
-    return rest.unionByName(map_arrow(some.select("doc_id", "text", "at"), touched, schema))
+    return rest.unionByName(map_arrow(some.select("doc_id", "text", "at", "run"), touched, schema))

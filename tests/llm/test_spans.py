@@ -136,8 +136,9 @@ def strip_brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "bits"), [(5, 16), (12, 6), (50, None)])
-def test_substrings(spark, width, bits):
+@pytest.mark.parametrize(("width", "bits", "held"), [(5, 16, 50), (12, 6, 1 << 19), (50, None, 200)])
+def test_substrings(spark, monkeypatch, width, bits, held):
+    monkeypatch.setattr(substrings, "HELD", held)
     r = random.Random(width)
     passages = [[f"p{k}{i}" for i in range(width + 20)] for k in range(4)]
     rows = []
