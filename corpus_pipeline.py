@@ -28,8 +28,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at temperature weights: the flattest mix that uses each document at least once and none more than twice."""
-    return mixing.mixed(docs, max_repeat=2.0)
+    """Sources at temperature weights, halfway to the most even mix or as far as two uses of a document go; each is used at least once."""
+    return mixing.mixed(docs, entropy_share=0.5, max_repeat=2.0)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
