@@ -18,8 +18,9 @@ home's own component meet all blocks. All other pairs are joined.
 Sets move only for documents in some candidate pair; a bitmap of bounded size keeps the rest where they lie.
 
 Defined cases: null, empty or wordless text: an empty set, linked with nothing; fewer words than a shingle: the whole
-sequence is the one shingle; rows with the same id are one node; a null id is a node of its own set and comes back null
-unless it reaches an id; an empty table gives no rows; extra columns are ignored.
+sequence is the one shingle; rows with the same id are one node, linked by any of its sets; any 64-bit number can be an id;
+rows with a null id are a node for each set, whose key is no row's id, and come back null unless they reach an id; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import bit_set, bit_words, carried, cut, distinct, id_bit, in_bitmap, map_arrow, mix, ngrams, only, raw_bytes, restored, signed, small_batches, word_hashes
+from lodestar.llm.common import bit_set, bit_words, carried, cut, distinct, id_bit, in_bitmap, map_arrow, meet, mix, ngrams, only, raw_bytes, restored, signed, small_batches, word_hashes
 from lodestar.llm.components import components
 
-SKETCH_BITS, DEPTH, LONG, BLOCK, ID_BITS = 18, 3, 16, 1 << 20, 22
+SKETCH_BITS, DEPTH, LONG, BLOCK, ID_BITS, TRIES = 18, 3, 16, 1 << 20, 22, 8
 _SEED = np.uint64(0x51ED270B7F4A7C15)
 
 
@@ -83,10 +84,16 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + DEPTH)
 
 
+def _lanes(s: np.ndarray) -> tuple[int, int]:
+    """128-bit hash of a set as two signed numbers."""
+    with np.errstate(over="ignore"):
+        return tuple(int(signed(np.array([mix(x, s, seed).sum(dtype=np.uint64)]))[0]) for x, seed in ((s, 3), (s ^ _SEED, 5)))
+
+
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """key (id), n_shingles, hi, lo (128-bit hash of the set), prefix, in the order of the rows."""
+    """doc_id, n_shingles, hi, lo (128-bit hash of the set), prefix, in the order of the rows."""
     sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, n))
-    names = ["doc_id", "key", "n_shingles", "hi", "lo", "prefix"]
+    names = ["doc_id", "n_shingles", "hi", "lo", "prefix"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,43 +101,45 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for doc, text in zip(b.column(0).to_pylist(), raw_bytes(b.column(1))):
                 s = shingles(text, n)
                 size = len(s)
-                with np.errstate(over="ignore"):
-                    a, c = mix(s, s, 3), mix(s ^ _SEED, s, 5)
-                    hi, lo = (int(signed(np.array([x.sum(dtype=np.uint64)]))[0]) for x in (a, c))
-                # an id for the node of a null doc_id, by its set
-                key = doc if doc is not None else 2**62 + (abs(hi) >> 2)
-                for col, v in zip(cols, (doc, key, size, hi, lo, signed(ordered(s, sent.value)[: prefix_length(size, percent)]))):
+                for col, v in zip(cols, (doc, size, *_lanes(s), signed(ordered(s, sent.value)[: prefix_length(size, percent)]))):
                     col.append(v)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return map_arrow(docs.select("doc_id", "text"), sign, "doc_id long, key long, n_shingles long, hi long, lo long, prefix array<long>")
+    return map_arrow(docs.select("doc_id", "text"), sign, "doc_id long, n_shingles long, hi long, lo long, prefix array<long>")
+
 
+def unnamed(rows: DataFrame) -> DataFrame:
+    """hi, lo, ghost: a key for each set that a row with a null id has, TRIES hashes of it tried until one is no row's id."""
+    sets = rows.where("doc_id is null and n_shingles > 0").select("hi", "lo").distinct()
+    tried = sets.select("hi", "lo", F.explode(F.sequence(F.lit(1), F.lit(TRIES))).alias("i")).withColumn("ghost", F.xxhash64("hi", "lo", "i"))
+    free = tried.join(rows.select(F.col("doc_id").alias("ghost")).distinct(), "ghost", "left_anti")
+    return cut(free.groupBy("hi", "lo").agg(F.min_by("ghost", "i").alias("ghost")))
 
-def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+
+def sets_of(docs: DataFrame, nodes: DataFrame, ghosts: DataFrame, n: int) -> DataFrame:
     """key, s (the sorted set as bytes) of the documents in nodes (key)."""
     nodes = nodes.select("key").distinct()
     bits = bit_words(nodes, id_bit("key", ID_BITS), ID_BITS)
-    # a null id's node is named by its set, so those rows always come along
-    plain = in_bitmap(docs.where("doc_id is not null"), "doc_id", bits, ID_BITS, ["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    names = ["key", "hi", "lo", "s"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shingles(t, n) for t in raw_bytes(b.column(1))]
-            keys = []
-            for doc, s in zip(b.column(0).to_pylist(), got):
-                if doc is None:
-                    hi = int(signed(np.array([mix(s, s, 3).sum(dtype=np.uint64)]))[0])
-                    doc = 2**62 + (abs(hi) >> 2)
-                keys.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["key", "s"])
+            lanes = [(None, None) if doc is not None else _lanes(s) for doc, s in zip(b.column(0).to_pylist(), got)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in zip(*lanes)), pa.array([s.tobytes() for s in got], pa.binary())], names)
+
+    def of(some: DataFrame) -> DataFrame:
+        return map_arrow(some, sets, "key long, hi long, lo long, s binary")
 
-    return map_arrow(plain, sets, "key long, s binary").join(nodes, "key").distinct()
+    plain = of(in_bitmap(docs.where("doc_id is not null"), "doc_id", bits, ID_BITS, ["doc_id", "text"])).select("key", "s")
+    null = of(docs.where("doc_id is null")).join(ghosts, ["hi", "lo"]).select(F.col("ghost").alias("key"), "s")
+    return plain.unionByName(null).join(nodes, "key").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, ghosts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b: keys) whose sets link."""
-    found = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")), n)
+    found = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")), ghosts, n)
     both = pairs.join(found.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,24 +151,27 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                 keep.append(100 * common >= percent * (len(u) + len(v) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long")
+    return map_arrow(both.select("a", "b", "x", "y"), check, "a long, b long").distinct()
 
 
-def at_home(docs: DataFrame, where: DataFrame, n: int, percent: int) -> DataFrame:
+def at_home(docs: DataFrame, where: DataFrame, ghosts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (a, b) between components, of sets with one home. where: rep, n_shingles, c
-    (component), home. A block holds about BLOCK shingles, so a cell is bounded whatever its sets."""
-    placed = where.where("home is not null").select("rep", "c", "home", "n_shingles")
-    own = placed.where("rep = home").select("home", F.col("c").alias("hc"))
-    sides = placed.join(own, "home", "left").withColumn("few", F.coalesce(F.col("c") != F.col("hc"), F.lit(True)))
+    (component), home. A block holds about BLOCK shingles, so a cell is bounded whatever its sets; a home that many sets
+    share has its own row sent to them."""
+    placed = cut(where.where("home is not null").select("rep", "c", "home", "n_shingles").distinct())
+    total = placed.count()
+    own = placed.where("rep = home").groupBy("home").agg(F.min("c").alias("hc"))
+    many = placed.groupBy("home").agg(F.count("*").alias("many"))
+    sides = meet(placed, many.join(own, "home", "left"), "home", "many", total).withColumn("few", F.coalesce(F.col("c") != F.col("hc"), F.lit(True)))
     size = F.sum("n_shingles")
-    sizes = sides.groupBy("home").agg(F.ceil(size / BLOCK).cast("int").alias("nb"), F.ceil(F.sum(F.when(F.col("few"), F.col("n_shingles"))) / BLOCK).cast("int").alias("ns")).where("ns > 0")
-    sides = cut(sides.join(sizes, "home"))
+    sizes = sides.groupBy("home").agg(F.count("*").alias("many"), F.ceil(size / BLOCK).cast("int").alias("nb"), F.ceil(F.sum(F.when(F.col("few"), F.col("n_shingles"))) / BLOCK).cast("int").alias("ns")).where("ns > 0")
+    sides = cut(meet(cut(sides), cut(sizes), "home", "many", total))
     mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.pmod(F.xxhash64("rep"), F.col("ns")).cast("int")
     # a set is offered in its own row of cells, and asks in its own column if it is one of the few
     offered = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: F.struct(mine[0].alias("i"), j.alias("j"), (F.col("few") & (j == mine[1])).alias("asks"), F.lit(True).alias("offered")))
     asking = F.transform(F.filter(F.sequence(F.lit(0), F.col("nb") - 1), lambda i: F.col("few") & (i != mine[0])), lambda i: F.struct(i.alias("i"), mine[1].alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("offered")))
     rows = sides.select("home", "rep", "c", F.explode(F.concat(offered, asking)).alias("x")).select("home", "x.i", "x.j", "x.asks", "x.offered", F.col("rep").alias("key"), "c")
-    rows = rows.join(sets_of(docs, sides.select(F.col("rep").alias("key")), n), "key")
+    rows = rows.join(sets_of(docs, sides.select(F.col("rep").alias("key")), ghosts, n), "key")
 
     def compare(t: pa.Table) -> pa.Table:
         asks = np.array(t["asks"].to_pylist(), bool)
@@ -196,38 +208,39 @@ def _close(x: str, y: str, percent: int) -> str:
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id; documents link when 100 * intersection >= percent * union of their shingle sets."""
     docs = only(docs, "doc_id", "text")
-    rows = cut(signatures(docs, n, percent))
+    signed_rows = cut(signatures(docs, n, percent))
+    ghosts = unnamed(signed_rows)
+    rows = signed_rows.where("doc_id is not null").withColumn("key", F.col("doc_id"))
+    rows = rows.unionByName(signed_rows.where("doc_id is null").join(ghosts, ["hi", "lo"], "left").withColumnRenamed("ghost", "key"))
     classes = cut(rows.where("n_shingles > 0").groupBy("hi", "lo", "n_shingles").agg(F.min("key").alias("rep")))
     # one row a class: its representative's own; sets that can't reach the threshold with another need no place
     least = -(-percent // (100 - percent))
-    one = rows.where(F.col("n_shingles") >= least).join(classes, ["hi", "lo", "n_shingles"]).where("key = rep").select("rep", "n_shingles", "prefix").dropDuplicates(["rep", "n_shingles"])
+    one = rows.where(F.col("n_shingles") >= least).join(classes, ["hi", "lo", "n_shingles"]).where("key = rep").select("rep", "n_shingles", "prefix", "hi", "lo").dropDuplicates(["rep", "hi", "lo"])
     members = cut(one.select("rep", "n_shingles", F.xxhash64("prefix", "n_shingles").alias("g1"), F.hash("prefix", F.lit(7)).alias("g2"), "prefix"))
     groups = members.groupBy("g1", "g2", "n_shingles").agg(F.min("rep").alias("leader"), F.count("*").alias("size"))
     member = cut(members.join(groups, ["g1", "g2", "n_shingles"]).select("rep", "leader", "size", "n_shingles", "prefix"))
     posted = member.where("rep = leader").select("leader", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
-    postings = posted.join(lists, "token")
-    # how little of a group's prefix is its own
-    weight = F.sum(F.log("many")) / F.first(F.col("n") - F.ceil(F.col("n") * percent / 100) + DEPTH)
-    central = postings.groupBy("leader").agg(weight.alias("central"))
-    postings = cut(postings.join(central, "leader"))
+    # how little of a group's prefix is its own; a group's postings are as many as its prefix is long
+    weight = F.sum(F.log("many")).over(Window.partitionBy("leader")) / (F.col("n") - F.ceil(F.col("n") * percent / 100) + DEPTH)
+    postings = cut(posted.join(lists, "token").withColumn("central", weight))
 
     # first run: a group and its lists' pivots, a group's members and its leader
-    pivots = postings.groupBy("token").agg(F.max_by(F.struct(F.col("leader").alias("p"), F.col("n").alias("m"), F.col("central").alias("pc")), F.struct("central", -F.col("leader"))).alias("v")).select("token", "v.*")
+    pivots = postings.groupBy("token").agg(F.max_by(F.struct(F.col("leader").alias("p"), F.col("n").alias("m"), F.col("central").alias("pc")), F.struct("central", F.bitwise_not("leader"))).alias("v")).select("token", "v.*")
     led = cut(postings.select("token", "leader", "n", "many").join(pivots, "token"))
     star = led.where("leader != p").where(_close("n", "m", percent))
     star = star.groupBy(F.least("leader", "p").alias("a"), F.greatest("leader", "p").alias("b")).agg(F.count("*").alias("shared")).where(f"shared >= {DEPTH}").select("a", "b")
     inside = member.where("size > 1 and rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    first = cut(verified(docs, cut(star.unionByName(inside).distinct()), n, percent))
+    first = cut(verified(docs, cut(star.unionByName(inside).distinct()), ghosts, n, percent))
     part = components(first)
 
     # second run, over what the first leaves apart
     near = led.where(f"many >= {LONG}").groupBy("leader", "p").agg(F.count("*").alias("shared"), F.first("pc").alias("pc")).where(f"shared > {DEPTH}")
-    home = near.groupBy("leader").agg(F.max_by("p", F.struct("pc", -F.col("p"))).alias("home"))
+    home = near.groupBy("leader").agg(F.max_by("p", F.struct("pc", F.bitwise_not("p"))).alias("home"))
     where = member.select("rep", "leader", "n_shingles").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "leader", "n_shingles", F.coalesce("component", "rep").alias("c"))
     where = cut(where.join(home, "leader", "left"))
     whole = where.groupBy("leader").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one"), F.first("home").alias("home"))
-    side = postings.select("token", "leader", "n", "at").join(whole, "leader")
+    side = cut(postings.select("token", "leader", "n", "at").join(whole, "leader"))
     apart = "(min(c) < max(c) or not bool_and(one)) and not (count(home) = count(*) and min(home) = max(home))"
     side = cut(side.join(side.groupBy("token").agg(F.expr(apart).alias("apart")).where("apart").select("token"), "token"))
     left, right = side.toDF(*[f"{c}1" if c != "token" else c for c in side.columns]), side.toDF(*[f"{c}2" if c != "token" else c for c in side.columns])
@@ -240,7 +253,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     loose = where.where("home is null").join(whole.where("not one").select("leader"), "leader").select("rep", "leader", "c")
     within = loose.toDF("a", "leader", "ca").join(loose.toDF("b", "leader", "cb"), "leader").where("a < b and ca != cb").select("a", "b")
     wanted = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = verified(docs, cut(wanted), n, percent).unionByName(at_home(docs, where, n, percent))
+    second = verified(docs, cut(wanted), ghosts, n, percent).unionByName(at_home(docs, where, ghosts, n, percent))
 
     # rows with one id but several sets are one node: each of its classes is linked with it
     own = rows.where("n_shingles > 0").join(classes, ["hi", "lo", "n_shingles"]).select("doc_id", "key", "n_shingles", "rep")
@@ -249,9 +262,14 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     if twice.limit(1).count():
         links = links.unionByName(own.select(F.col("key").alias("a"), F.col("rep").alias("b")))
     final = cut(components(links))
-    reached = own.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return reached.unionByName(empty).select("doc_id", "n_shingles", F.when(F.col("component_id") < 2**62, F.col("component_id")).alias("component_id"))
+    reached = own.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", "rep", F.coalesce("component", "rep").alias("component_id"))
+    # a component named by a ghost is named anew by its smallest id; there are as many at most as ghosts
+    named = ghosts.select(F.col("ghost").alias("component_id"))
+    odd = reached.join(named, "component_id", "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("many")).withColumn("odd", F.lit(True))
+    if ghosts.limit(1).count():
+        reached = reached.join(odd, "component_id", "left").withColumn("component_id", F.when(F.col("odd"), F.col("id")).otherwise(F.col("component_id")))
+    empty = signed_rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return reached.select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

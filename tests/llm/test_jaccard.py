@@ -71,3 +71,33 @@ def test_nulls_repeats_and_clashing_names(spark):
 
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("start", [2**63 - 400, -(2**63), 2**62])
+def test_any_number_is_an_id(spark, start):
+    rows = [(start + 3 * i, t) for i, (_, t) in enumerate(corpus(5, 25, 4))]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows, 3, 90)
+
+
+def test_null_ids_join_what_they_are_near_to(spark):
+    base = [f"w{i}" for i in range(80)]
+    text = lambda *gone: " ".join("x" if i in gone else w for i, w in enumerate(base))
+    # 40 and 9 are linked by the null between them alone; two nulls reach no id
+    rows = [(40, text(1, 2, 3)), (None, text(2)), (9, text(2, 40, 41)), (None, "only nulls here"), (None, "only nulls here"), (-7, "apart from all")]
+    got = sorted(((r[0], r[2]) for r in jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(40, 9), (None, 9), (9, 9), (None, None), (None, None), (-7, -7)], key=str)
+
+
+def test_two_sets_of_one_size_under_one_id(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, " ".join([*a[:-1], "x"])), (6, " ".join([*b[:-1], "y"])), (7, "z " * 9)]
+    got = {(r[0], r[2]) for r in jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (7, 7)}
+
+
+def test_very_long_text(spark):
+    r = random.Random(1)
+    words = [f"t{r.randrange(10**6)}" for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-50])), (3, " ".join(words[:100]))]
+    assert {(x[0], x[2]) for x in jaccard.join(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 1), (2, 1), (3, 3)}
