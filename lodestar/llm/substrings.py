@@ -169,7 +169,8 @@ def _runs(key: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def candidate_windows(docs: DataFrame, width: int, several: np.ndarray) -> DataFrame:
-    """hi, lo, the text's key, at, run: windows whose anchors may repeat (run 0), and runs of windows that are marked already.
+    """hi, lo, the text's key, at (all of a window's places in the text), run: windows whose anchors may repeat (run 0), and
+    runs of windows that are marked already.
 
     The key has zeros for the hash where the id has one text. docs: doc_id, text, anchors."""
     sent = docs.sparkSession.sparkContext.broadcast(several)
@@ -177,21 +178,28 @@ def candidate_windows(docs: DataFrame, width: int, several: np.ndarray) -> DataF
 
     def out(held: list) -> Iterator[pa.RecordBatch]:
         hi, lo, doc, t_hi, t_lo, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((doc, lo, hi))
-        new = np.ones(len(order), bool)
-        new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
-        least = np.empty(len(order), np.int64)
-        least[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        moves = doc == least
-        rows = [x[moves] for x in (hi, lo, doc, t_hi, t_lo, at)] + [np.zeros(int(moves.sum()), np.int32)]
+        order = np.lexsort((at, t_lo, t_hi, doc, lo, hi))
+        hi, lo, doc, t_hi, t_lo, at = (x[order] for x in (hi, lo, doc, t_hi, t_lo, at))
+        new, text = np.ones(len(at), bool), np.ones(len(at), bool)
+        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+        text[1:] = new[1:] | (doc[1:] != doc[:-1]) | (t_hi[1:] != t_hi[:-1]) | (t_lo[1:] != t_lo[:-1])
+        moves = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        # one row for each window and text, with all of its places
+        first = np.flatnonzero(text & moves)
+        yield from batches_of([x[first] for x in (hi, lo, doc, t_hi, t_lo)], at[moves], np.flatnonzero(text[moves]), np.zeros(len(first), np.int32))
         doc, t_hi, t_lo, at = (x[~moves] for x in (doc, t_hi, t_lo, at))
         order = np.lexsort((at, t_lo, t_hi, doc))
         doc, t_hi, t_lo, at = (x[order] for x in (doc, t_hi, t_lo, at))
         first, run = _runs([doc, t_hi, t_lo], at)
-        marks = [doc[first], at[first].astype(np.int64), doc[first], t_hi[first], t_lo[first], at[first], run.astype(np.int32)]
-        both = [np.concatenate(x) for x in zip(rows, marks)]
-        for a in range(0, len(both[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in both], names)
+        yield from batches_of([doc[first], at[first].astype(np.int64), doc[first], t_hi[first], t_lo[first]], at[first], np.arange(len(first)), run.astype(np.int32))
+
+    def batches_of(cols: list, places: np.ndarray, starts: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.append(starts, len(places)).astype(np.int32)
+        for a in range(0, len(run), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            edge = edges[a : a + (1 << 16) + 1]
+            at = pa.ListArray.from_arrays(pa.array(edge - edge[0]), pa.array(places[edge[0] : edge[-1]]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in cols), at, pa.array(run[part])], names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -215,7 +223,7 @@ def candidate_windows(docs: DataFrame, width: int, several: np.ndarray) -> DataF
             yield from out(held)
 
     asked = docs.select("doc_id", "text", id_bit("doc_id", ID_BITS).alias("_bit"), "anchors")
-    return map_arrow(asked, scan, "hi long, lo long, doc_id long, t_hi long, t_lo long, at int, run int")
+    return map_arrow(asked, scan, "hi long, lo long, doc_id long, t_hi long, t_lo long, at array<int>, run int")
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -247,9 +255,9 @@ def removed_places(docs: DataFrame, texts: DataFrame, width: int = 50, bits: int
     several = texts.groupBy("doc_id").agg(F.min(F.struct("t_hi", "t_lo")).alias("x"), F.max(F.struct("t_hi", "t_lo")).alias("y")).where("x != y")
     several = bit_words(several, id_bit("doc_id", ID_BITS), ID_BITS)
     windows = candidate_windows(with_anchors(docs, width, bits), width, several)
-    # a window and its smallest id side by side: dealt once, and a window has one row at most for each HELD windows and document
+    # a window and its smallest id side by side: dealt once, and a window has one row for each HELD windows of a task
     least = F.min("doc_id").over(Window.partitionBy("hi", "lo"))
-    gone = windows.withColumn("least", least).where("run > 0 or doc_id > least")
+    gone = windows.withColumn("least", least).where("run > 0 or doc_id > least").select(*TEXT, F.explode("at").alias("at"), "run")
     gone = gone.groupBy(*TEXT).agg(F.collect_list(F.struct("at", F.greatest("run", F.lit(1)).alias("run"))).alias("r"))
     gone = cut(gone.select(*TEXT, F.col("r.at").alias("at"), F.col("r.run").alias("run")))
     plain = gone.where("t_hi = 0 and t_lo = 0").select("doc_id", "at", "run").join(texts.distinct(), "doc_id").select(*TEXT, "at", "run")
