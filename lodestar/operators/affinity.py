@@ -5,24 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import fold
+
 ROLE_WEIGHTS = {"supervisor": 1.0, "author": 0.5}
 CONFIDENCE = {"exact": 1.0, "confident": 0.8, "ambiguous": 0.4, "unmatched": 0.0}
 
 
+#: Words that no bag of prose holds (English, Portuguese, then words of every abstract).
+STOP_WORDS = tuple(
+    """
+    the and for are but not with that this from was were has have had its
+    which whose where when what who how all any can could should would may
+    might must into onto over under than then them they their there these
+    those such been being does did done also more most other some only very
+    each both about after before between during through while because
+    against among within without upon here also thus hence
+    que uma umas uns dos das nas nos por para com como mais mas nao sao foi
+    seu sua seus suas pelo pela pelos pelas este esta estes estas esse essa
+    isso aquele aquela sobre entre desde ate quando onde qual quais cujo
+    cuja tambem ser ter sido tem tinha muito pouco todos todas cada outro
+    outra outros outras seja sendo nesta neste nessa nesse deste desta
+    forma modo caso vez vezes parte partes
+    abstract resumo tese thesis doutoramento phd universidade coimbra
+    trabalho work study estudo research pesquisa project projeto projecto
+    results resultados objetivo objectivo proposed proposta approach
+    abordagem based baseado paper artigo new novo nova
+    """.split()
+)
+
+
 def prose_tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Lower-case runs of letters and figures, three or longer, no stop-words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
+    """Lower-case runs of letters and figures without accents, three or longer, no stop-words."""
+    found = F.regexp_extract_all(fold(F.lower(text)), F.lit(r"[a-z0-9]+"), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) >= 3) & (~t.isin(list(stop)) if stop else F.lit(True)))
 
 
-def term_counts(docs: DataFrame, key: str, weighted: list[tuple[Column, int]], stop: tuple[str, ...] = ()) -> DataFrame:
-    """key, term, tf: token counts, each text counted as often as its weight."""
+def term_counts(docs: DataFrame, key: str | list[str], weighted: list[tuple[Column, int]], stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """key (one column or several), term, tf: token counts, each text counted as often as its weight."""
+    keys = [key] if isinstance(key, str) else key
 
     def each(c: Column, w: int) -> Column:
         return F.transform(prose_tokens(F.coalesce(c, F.lit("")), stop), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
 
     arrays = F.flatten(F.array(*[each(c, w) for c, w in weighted]))
-    return docs.select(key, F.explode(arrays).alias("x")).groupBy(key, F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+    return docs.select(*keys, F.explode(arrays).alias("x")).groupBy(*keys, F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
+
+
+def bags_of(counts: DataFrame, key: str) -> DataFrame:
+    """key, term, tf: counts added up over another of their keys; the texts are not read again."""
+    return counts.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
 def inverse_frequencies(counts: DataFrame, n_docs: int | Column) -> DataFrame:
@@ -35,7 +66,7 @@ def vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """key, term, w: sublinear tf times idf, length one."""
     raw = counts.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return raw.join(norm, key).where("norm > 0").select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def affinity(doc_counts: DataFrame, group_counts: DataFrame, n_docs: int, doc: str = "handle", group: str = "group_code") -> DataFrame:

@@ -137,12 +137,16 @@ def floor_guard(matches: DataFrame, listing_names: DataFrame) -> DataFrame:
 
 
 def possible_duplicates(people: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
-    """Pairs to look at: one surname, one name's tokens within the other's, or the same folded name; reviewed pairs left out."""
-    p = people.select("slug", name_token_list("name").alias("t")).where(F.size("t") > 1).withColumn("last", F.element_at("t", -1))
-    a, b = p.toDF("a", "ta", "last"), p.toDF("b", "tb", "last")
-    pairs = a.join(b, "last").where("a < b")
-    fit = (F.size(F.array_except("ta", "tb")) == 0) | (F.size(F.array_except("tb", "ta")) == 0)
-    pairs = pairs.where(fit).select("a", "b")
+    """Pairs to look at: one surname (the last token), one name's tokens within the other's, and first given names that are
+    equal or one the other's initial; a name of one token is its own given name. Reviewed pairs are left out.
+
+    Names meet by surname and the initial of the given name, so a common surname is many keys."""
+    p = people.select("slug", name_token_list("name").alias("t")).where(F.size("t") > 0)
+    p = p.select("slug", "t", F.element_at("t", -1).alias("last"), F.element_at("t", 1).alias("given")).withColumn("initial", F.substring("given", 1, 1))
+    a, b = p.toDF("a", "ta", "last", "ga", "initial"), p.toDF("b", "tb", "last", "gb", "initial")
+    within = (F.size(F.array_except("ta", "tb")) == 0) | (F.size(F.array_except("tb", "ta")) == 0)
+    agree = (F.col("ga") == F.col("gb")) | (F.length("ga") == 1) | (F.length("gb") == 1)  # the initials are equal
+    pairs = a.join(b, ["last", "initial"]).where("a < b").where(within & agree).select("a", "b")
     if reviewed is not None:
         pairs = pairs.join(reviewed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return pairs

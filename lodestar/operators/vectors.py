@@ -104,7 +104,7 @@ def evidence(passages: DataFrame, winners: DataFrame, facets: list[list[float]],
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(d)], [handle, ordinal, "facet", "d"])
 
     wanted = winners.select(handle, "facet").distinct()
-    near = passages.where(F.col(vector).isNotNull()).select(handle, ordinal, vector).join(F.broadcast(wanted), handle)  # at most k rows
+    near = passages.where(F.col(vector).isNotNull()).select(handle, ordinal, vector).join(wanted, handle)
     d = near.select(F.col(handle).cast("long").alias(handle), F.col(ordinal).cast("long").alias(ordinal), vector, "facet").mapInArrow(scan, f"{handle} long, {ordinal} long, facet int, d double")
     best = d.groupBy(handle, "facet").agg(F.min_by(ordinal, F.struct(F.round("d", 12), F.col(ordinal))).alias("passage"), F.round(F.min("d"), 6).alias("passage_distance"))
     return winners.join(best, [handle, "facet"], "left")

@@ -44,7 +44,7 @@ ROLE_SQL = {
     "shares": "SELECT person_slug, group_code, round(sum(w), 3) AS weight FROM (SELECT person_slug, project_id, CAST(max(CASE role WHEN 'coordinator' THEN 1.0 ELSE 0.4 END) AS DOUBLE) AS w FROM project_people GROUP BY 1, 2) JOIN project_groups USING (project_id) GROUP BY 1, 2",
     "led": "SELECT DISTINCT coalesce(to_slug, person_slug) AS person_slug, project_id FROM project_people LEFT JOIN aliases ON from_slug = person_slug WHERE role = 'coordinator'",
     "coordinators": "SELECT t.person_slug, c.name AS coordinator, t.project_count, s.group_code, s.group_project_count FROM (SELECT person_slug, count(*) AS project_count FROM led GROUP BY 1) t JOIN canon c ON c.slug = t.person_slug JOIN (SELECT person_slug, coalesce(group_code, 'UNGROUPED') AS group_code, count(DISTINCT project_id) AS group_project_count FROM led LEFT JOIN project_groups USING (project_id) GROUP BY 1, 2) s ON s.person_slug = t.person_slug",
-    "tokens": "SELECT doc_id AS handle, source, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents",
+    "tokens": "SELECT * FROM (SELECT doc_id AS handle, source, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')) AS term FROM documents) WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in affinity.STOP_WORDS) + ")",
     "doc_tf": "SELECT handle, term, count(*) AS tf FROM tokens WHERE length(term) >= 3 GROUP BY 1, 2",
     "grp_tf": "SELECT source AS group_code, term, count(*) AS tf FROM tokens WHERE length(term) >= 3 GROUP BY 1, 2",
     "idf": "SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM doc_tf GROUP BY 1",
@@ -274,7 +274,7 @@ def table_counts(r: Roles) -> DataFrame:
     return relational.table_counts({t: r.table(t) for t in TABLES})
 
 
-@register("keyword_counts", "", "SELECT word, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) WHERE length(word) >= 3 GROUP BY 1 ORDER BY documents DESC, word LIMIT 50")
+@register("keyword_counts", "", "SELECT word, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+')) AS word FROM documents) WHERE length(word) >= 3 GROUP BY 1 ORDER BY documents DESC, word LIMIT 50")
 def keyword_counts(r: Roles) -> DataFrame:
     words = r.table("documents").select("doc_id", F.explode(F.array_distinct(affinity.prose_tokens(F.col("text")))).alias("word"))
     return relational.keyword_counts(words)
@@ -356,9 +356,8 @@ def collab_exclusions(r: Roles) -> DataFrame:
 
 def _scored(r: Roles) -> DataFrame:
     docs = r.table("documents").select(F.col("doc_id").alias("handle"), F.col("source").alias("group_code"), "text")
-    counts = affinity.term_counts(docs, "handle", [(F.col("text"), 1)])
-    groups = affinity.term_counts(docs, "group_code", [(F.col("text"), 1)])
-    return affinity.affinity(counts, groups, docs.count())
+    counts = affinity.term_counts(docs, ["handle", "group_code"], [(F.col("text"), 1)])
+    return affinity.affinity(affinity.bags_of(counts, "handle"), affinity.bags_of(counts, "group_code"), docs.count())
 
 
 @register("tfidf_affinity", "scored", "SELECT handle, group_code, score, CAST(affinity_rank AS INTEGER) AS affinity_rank FROM scored WHERE affinity_rank <= 3")
@@ -452,9 +451,12 @@ def author_conflicts(r: Roles) -> DataFrame:
     return identity.author_conflicts(rows, rows.where("handle % 50 = 0").select("name_raw", "person_slug"))
 
 
-@register("possible_duplicates", "", "SELECT CAST(least(a.s_suppkey, b.s_suppkey) AS BIGINT) AS a, CAST(greatest(a.s_suppkey, b.s_suppkey) AS BIGINT) AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_suppkey % 40 = b.s_suppkey % 40 AND a.s_suppkey % 2 = b.s_suppkey % 2")
+@register("possible_duplicates", "", """SELECT CAST(a.s_suppkey AS BIGINT) AS a, CAST(b.s_suppkey AS BIGINT) AS b FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND a.s_suppkey % 7 = b.s_suppkey % 7
+  AND (a.s_suppkey % 5 = b.s_suppkey % 5 OR (least(a.s_suppkey % 5, b.s_suppkey % 5), greatest(a.s_suppkey % 5, b.s_suppkey % 5)) IN ((0, 1), (0, 4), (3, 4)))""")
 def possible_duplicates(r: Roles) -> DataFrame:
-    people = r.people.select("slug", F.concat(F.when(F.col("slug") % 2 == 0, "Rui ").otherwise("Eva "), F.lit("k"), (F.col("slug") % 40).cast("string")).alias("name"))
+    """Given names that agree, that share a token without agreeing, and initials."""
+    given = F.element_at(F.array(*[F.lit(g) for g in ("Rui", "Rui Ana", "Ána Rui", "R.", "Rui R.")]), (F.col("slug") % 5 + 1).cast("int"))
+    people = r.people.select("slug", F.concat(given, F.lit(" k"), (F.col("slug") % 7).cast("string")).alias("name"))
     return identity.possible_duplicates(people)
 
 

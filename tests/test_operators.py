@@ -161,3 +161,19 @@ def test_vectors(spark):
     m = vectors.multi_facet(df, q.tolist(), 50).collect()
     assert len(m) == 18
     assert sorted(g.ordinal for g in m) == sorted(np.argsort(cos.min(axis=1))[:18].tolist())
+
+
+def test_possible_duplicates_compare_given_names(spark):
+    names = ["Ana Maria Silva", "Maria Silva", "A. Silva", "Ana Silva", "Silva", "silva", "Rui Silva", "Ána Maria SILVA"]
+    found = identity.possible_duplicates(spark.createDataFrame(list(enumerate(names)), "slug long, name string"))
+    # 2 is within no other name; a name of one token is its own given name
+    assert {(x.a, x.b) for x in found.collect()} == {(0, 3), (0, 7), (3, 7), (4, 5)}
+    reviewed = spark.createDataFrame([(7, 0)], "a long, b long")
+    again = identity.possible_duplicates(spark.createDataFrame(list(enumerate(names)), "slug long, name string"), reviewed)
+    assert {(x.a, x.b) for x in again.collect()} == {(0, 3), (3, 7), (4, 5)}
+
+
+def test_prose_tokens_fold_and_stop(spark):
+    row = spark.createDataFrame([("Não há inteligência SEM a Optimização, the study of ﬁre e 3D nets",)], "t string")
+    got = row.select(affinity.prose_tokens(F.col("t"), affinity.STOP_WORDS).alias("x")).first().x
+    assert got == ["inteligencia", "sem", "optimizacao", "fire", "nets"]
