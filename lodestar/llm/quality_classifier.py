@@ -1,6 +1,7 @@
 """Operator 6, quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled good; the unlabelled set is web text whose labels are not looked at. A logistic
+Trusted positives are documents labelled good; the unlabelled set is drawn from all documents, labelled or not, without
+looking at labels. A logistic
 model over counts of word shapes and a few shares of the text minimises the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
@@ -8,8 +9,9 @@ model over counts of word shapes and a few shares of the text minimises the non-
 with the class prior estimated from the data: over the upper score sets of a positive-versus-unlabelled model on rows kept
 apart, the least ratio of unlabelled to positive shares.
 
-Training reads at most TRAIN_ROWS labelled documents, those with the smallest hash of their id, outside the held-out
-quarter (crc32 of the id as text, mod 4, is 2). Every document is scored where it lies.
+Training reads at most TRAIN_ROWS documents, half of them trusted positives and half from the whole table: of each kind those
+with the smallest hash of their id, outside the held-out quarter (crc32 of the id as text, mod 4, is 2). Every document is
+scored where it lies.
 
 Defined cases: null or empty text has the features of no words and a score; a null id counts as the text ''; without a
 positive label every score is the prior 0.5; rows that repeat are scored each; documents labelled twice count as good if
@@ -126,27 +128,33 @@ def _held(ids) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """Weights and class prior."""
-    known = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
-    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+    def drawn(ids: DataFrame) -> DataFrame:
+        """The half of rows with the smallest hashes, outside the held-out quarter."""
+        seen = ids.where("doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+        return seen.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
+
+    good = drawn(only(labels, "doc_id", "quality").where("quality = 1"))
+    web = drawn(only(docs, "doc_id"))
+    # at most rows ids
+    sample = good.withColumn("p", F.lit(1)).unionByName(web.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("trusted"), F.min("p").alias("web"))
+    sample = sample.select("doc_id", (F.col("trusted") == 1).alias("trusted"), (F.col("web") == 0).alias("web"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
         for b in batches:
             vectors = [features(t, places).astype(np.float16).tobytes() for t in raw_bytes(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), b.column(1), b.column(2)], ["x", "quality", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), *b.columns[1:]], ["x", "trusted", "web", "doc_id"])
 
-    picked = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), "doc_id")
-    got = map_arrow(picked, read, "x binary, quality int, doc_id long").toArrow().sort_by("doc_id")
+    picked = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "trusted", "web", "doc_id")
+    got = map_arrow(picked, read, "x binary, trusted boolean, web boolean, doc_id long").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     if not got.num_rows:
         return np.zeros(DIM), 0.5
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
-    good = got["quality"].to_numpy() == 1
-    if not good.any():
+    trusted, unlabelled = (np.array(got[c].to_pylist(), bool) for c in ("trusted", "web"))
+    if not trusted.any():
         return np.zeros(DIM), 0.5
-    # a third of the positives are trusted; the rest stay in the unlabelled web text with what is not good
-    trusted = good & (np.arange(len(good)) % 3 == 0) if good.sum() > 30 else good
-    pos, unl = x[trusted], x[~trusted] if (~trusted).any() else x
+    pos, unl = x[trusted], x[unlabelled] if unlabelled.any() else x
     prior = class_prior(pos, unl)
     return fit(pos, unl, prior), prior
 
