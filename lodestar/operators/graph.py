@@ -5,7 +5,7 @@ Pairs are made per key (team or thesis), whose sizes are small by nature; facts
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.helpers import canonicalize, cross_group, page
@@ -23,29 +23,40 @@ def pair_facts(membership: DataFrame, key: str, person: str = "person_slug") ->
     return a.join(b, key).where("person_a < person_b").select("person_a", "person_b", key, "team_size")
 
 
-def canonical_pairs(facts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Both ends through the alias map; self-loops go, ends are put in order again."""
-    mapped = canonicalize(canonicalize(facts, aliases, "person_a"), aliases, "person_b").where("person_a != person_b")
-    rest = [c for c in facts.columns if c not in ("person_a", "person_b")]
-    return mapped.select(F.least("person_a", "person_b").alias("person_a"), F.greatest("person_a", "person_b").alias("person_b"), *rest)
+def canonical_facts(membership: DataFrame, aliases: DataFrame, key: str, person: str = "person_slug") -> DataFrame:
+    """As pair_facts, between canonical people; team_size counts the team as published.
+
+    The membership is mapped and made distinct before people are paired, so all that follows the first shuffle by key
+    stays where it is."""
+    m = membership.select(key, person).distinct().withColumn("team_size", F.count("*").over(Window.partitionBy(key)))
+    m = canonicalize(m, aliases, person).distinct()
+    a = m.select(key, F.col(person).alias("person_a"), "team_size")
+    b = m.select(key, F.col(person).alias("person_b"))
+    return a.join(b, key).where("person_a < person_b").select("person_a", "person_b", key, "team_size")
 
 
 def co_project_edges(project_people: DataFrame, aliases: DataFrame) -> DataFrame:
     """weight: shared projects; normalized: sum of 1 / (team - 1), the team as published (before aliases)."""
-    facts = canonical_pairs(pair_facts(project_people, "project_id"), aliases).dropDuplicates(["person_a", "person_b", "project_id"])
+    facts = canonical_facts(project_people, aliases, "project_id")
     share = F.when(F.col("team_size") > 1, 1.0 / (F.col("team_size") - 1)).otherwise(0.0)
     return facts.groupBy("person_a", "person_b").agg(F.count("*").alias("weight"), F.round(F.sum(share), 3).alias("weight_normalized"))
 
 
 def shared_ids(project_people: DataFrame, aliases: DataFrame, edges: DataFrame) -> DataFrame:
     """The shared project ids of the given edges only."""
-    facts = canonical_pairs(pair_facts(project_people, "project_id"), aliases).select("person_a", "person_b", "project_id").distinct()
+    facts = canonical_facts(project_people, aliases, "project_id").select("person_a", "person_b", "project_id")
     return facts.join(edges.select("person_a", "person_b"), ["person_a", "person_b"], "left_semi").groupBy("person_a", "person_b").agg(F.array_sort(F.collect_list("project_id")).alias("shared"))
 
 
+def labels(shared: DataFrame, projects: DataFrame) -> DataFrame:
+    """project_id, title of every project that some edge's shared ids name, once."""
+    ids = shared.select(F.explode("shared").alias("project_id"))
+    return projects.select("project_id", "title").join(ids, "project_id", "left_semi")
+
+
 def co_supervision_edges(thesis_people: DataFrame, aliases: DataFrame) -> DataFrame:
     sup = thesis_people.where("role = 'supervisor' and person_slug is not null and match_status in ('exact', 'confident')")
-    facts = canonical_pairs(pair_facts(sup, "handle"), aliases).dropDuplicates(["person_a", "person_b", "handle"])
+    facts = canonical_facts(sup, aliases, "handle")
     return facts.groupBy("person_a", "person_b").agg(F.count("*").alias("weight"), F.lit(None).cast("double").alias("weight_normalized"))
 
 
