@@ -56,20 +56,28 @@ def nearest(passages: DataFrame, queries: list[list[float]], k: int, key: str =
 
 
 def nearest_all(passages: DataFrame, queries: DataFrame, k: int, key: str = "ordinal", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """As nearest, for a table of queries (key, vector): blocks of at most block vectors, each against all passages.
-
-    Queries stay in Spark: they are numbered into blocks, and a block is what one pass of the passages carries.
-    """
-    asked = queries.where(F.col(vector).isNotNull()).select(key, vector)
-    n_blocks = max(1, -(-asked.count() // block))
-    out = None
-    for b in range(n_blocks):
-        rows = asked.where(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == b).orderBy(key).collect()  # about block rows
-        if rows:
-            ids = passages.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"query int, _id {dict(asked.dtypes)[key]}")
-            part = nearest(passages, [list(r[1]) for r in rows], k, key, vector).join(F.broadcast(ids), "query").select(F.col("_id").alias("query"), key, "distance", "rank")
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else nearest(passages, [[0.0]], k, key, vector).limit(0)
+    """As nearest, for a table of queries (key, vector), which stay in Spark: blocks of about block queries meet slabs of
+    about 16 * block passages, and each meeting gives out its k best of a query."""
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).alias("_v"))
+    there = passages.where(F.col(vector).isNotNull()).select(key, vector)
+    blocks, slabs = max(1, -(-asked.count() // block)), max(1, -(-there.count() // (16 * block)))
+    left = there.select(F.pmod(F.xxhash64(key), F.lit(slabs)).alias("slab"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), key, vector)
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long"))).alias("slab"), F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"), "query", "_v")
+
+    def best(p: pa.Table, q: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        if p.num_rows and q.num_rows:
+            ids, d = p[key].to_numpy(), np.round(1 - _unit(_matrix(p[vector])) @ _unit(_matrix(q["_v"])).T, 12)
+            for i, asker in enumerate(q["query"].to_pylist()):
+                # all that tie with the k-th, so that ties can go by key
+                near = np.flatnonzero(d[:, i] <= np.partition(d[:, i], k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                found += [(asker, n, x) for x, n in sorted(zip(d[near, i].tolist(), ids[near].tolist()))[:k]]
+        a, b, c = zip(*found) if found else ((), (), ())
+        return pa.table({"query": pa.array(a, pa.int64()), key: pa.array(b, pa.int64()), "distance": pa.array(c, pa.float64())})
+
+    near = left.groupBy("slab", "block").cogroup(right.groupBy("slab", "block")).applyInArrow(best, f"query long, {key} long, distance double")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)))
+    return ranked.where(F.col("rank") <= k).select("query", key, F.round("distance", 6).alias("distance"), "rank")
 
 
 def relevant(found: DataFrame, floor: float = 0.6) -> DataFrame:
