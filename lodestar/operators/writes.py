@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.validate import raise_if_any
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], preserve: tuple[str, ...] = ()) -> DataFrame:
     """New rows win, but keep the old values of the columns in preserve (first_seen_at)."""
@@ -50,18 +52,55 @@ def scrape_outcome(rows: DataFrame) -> DataFrame:
     return rows.withColumn("status", status)
 
 
+def fill_vectors(stored: DataFrame, found: DataFrame, key: str = "ordinal", vector: str = "embedding") -> DataFrame:
+    """Rows that lack their vector get the one found for them; vectors that are there stay."""
+    f = found.select(key, F.col(vector).alias("_found")).dropDuplicates([key])
+    return stored.join(f, key, "left").withColumn(vector, F.coalesce(vector, "_found")).select(*stored.columns)
+
+
+def backfill_children(parents: DataFrame, raw: str, split, key: str) -> DataFrame:
+    """key, ordinal, value: a child table derived anew from a raw column; split gives the parts of a raw value."""
+    return parents.where(F.col(raw).isNotNull()).select(key, F.posexplode(split(raw)).alias("ordinal", "value"))
+
+
+def harvest_plan(manifest: DataFrame, population: DataFrame, key: str = "handle") -> DataFrame:
+    """What a harvest does with each key: fetch (new), refresh (known: its entry is carried, the header rewritten) or warn
+    (vanished: its entry is carried, nothing is dropped)."""
+    m = manifest.withColumn("_old", F.lit(True))
+    p = population.select(key).distinct().withColumn("_new", F.lit(True))
+    action = F.when(F.col("_old").isNull(), "fetch").when(F.col("_new").isNull(), "warn").otherwise("refresh")
+    return m.join(p, key, "full_outer").withColumn("action", action).select(*manifest.columns, "action")
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside, then rename: readers see the old table or the new one."""
+    """Write beside, then rename. A run that ended between the renames left the table under its old name; the next one
+    puts it back first, and so does ``recover``, which readers can call."""
     spark = df.sparkSession
     staging, old = f"{path}.staging", f"{path}.old"
+    recover(spark, path)
     df.write.mode("overwrite").parquet(staging)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs
-    p = hadoop.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p):
-        fs.rename(p, hadoop.Path(old))
-    if not fs.rename(hadoop.Path(staging), p):
+    fs, at = _files(spark, path)
+    fs.delete(at(old), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"could not rename {path}")
+    if not fs.rename(at(staging), at(path)):
+        fs.rename(at(old), at(path))
         raise OSError(f"could not rename {staging}")
-    if fs.exists(hadoop.Path(old)):
-        fs.delete(hadoop.Path(old), True)
+    fs.delete(at(old), True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """The old table back under its name, if a replacement ended between its renames."""
+    fs, at = _files(spark, path)
+    return not fs.exists(at(path)) and fs.exists(at(f"{path}.old")) and fs.rename(at(f"{path}.old"), at(path))
+
+
+def replace_curated(df: DataFrame, problems: DataFrame, path: str) -> None:
+    """A curated table is replaced as a whole, and only if its validation finds nothing."""
+    raise_if_any(problems)
+    replace_table(df, path)
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
