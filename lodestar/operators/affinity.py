@@ -40,9 +40,12 @@ def prose_tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= 3) & (~t.isin(list(stop)) if stop else F.lit(True)))
 
 
-def term_counts(docs: DataFrame, key: str | list[str], weighted: list[tuple[Column, int]], stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """key (one column or several), term, tf: token counts, each text counted as often as its weight."""
+def term_counts(docs: DataFrame, key: str | list[str], weighted: list[tuple[Column, int]], stop: tuple[str, ...] = STOP_WORDS, needed: tuple[Column, ...] = ()) -> DataFrame:
+    """key (one column or several), term, tf: token counts, each text counted as often as its weight. A row whose needed
+    texts are all empty has an empty bag."""
     keys = [key] if isinstance(key, str) else key
+    if needed:
+        docs = docs.where(F.trim(F.concat(*[F.coalesce(c, F.lit("")) for c in needed])) != "")
 
     def each(c: Column, w: int) -> Column:
         return F.transform(prose_tokens(F.coalesce(c, F.lit("")), stop), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
@@ -56,6 +59,11 @@ def bags_of(counts: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
+def group_bags(project_counts: DataFrame, project_groups: DataFrame, project: str = "project_id", group: str = "group_code") -> DataFrame:
+    """group, term, tf: the bags of a group's projects added up; a project of several groups counts in each."""
+    return bags_of(project_counts.join(project_groups.select(project, group).distinct(), project), group)
+
+
 def inverse_frequencies(counts: DataFrame, n_docs: int | Column) -> DataFrame:
     """ln((1 + N) / (1 + df)) + 1; N counts documents without a term too."""
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs

@@ -52,7 +52,7 @@ def match_names(names: DataFrame, people: DataFrame, distinct_pairs: DataFrame |
     cand = met.where(rule1 | rule2).select(
         "name_raw", "slug", "source", "canonical", "folded",
         (rule2 & ~rule1).alias("by_full"),
-        (~F.forall("tokens", lambda t: F.array_contains(every, t))).alias("initial"),
+        (rule1 & ~F.forall("tokens", lambda t: F.array_contains(every, t))).alias("initial"),
         (F.array_sort(F.array_distinct("tokens")) == F.array_sort(F.array_distinct(every))).alias("equal"),
         primary.alias("primary"),
     )
@@ -89,11 +89,23 @@ def match_names(names: DataFrame, people: DataFrame, distinct_pairs: DataFrame |
     )
 
 
-def two_pass(mentions: DataFrame, own: DataFrame, wider: DataFrame, **reviewed: DataFrame) -> DataFrame:
-    """mentions (handle, name_raw, role) to rows: own pool first, the wider one only for supervisors it leaves unmatched."""
+def pool_of(listings: DataFrame, people: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The pool that match_names takes, of listed people: one row a person, the first of its sources by name."""
+    first = listings.groupBy(F.col("person_slug").alias("slug")).agg(F.min("source").alias("source"))
+    a = aliases.select(F.col("from_slug").alias("slug"), F.col("to_slug").alias("canonical"))
+    return first.join(people.select("slug", "name"), "slug").join(a, "slug", "left").select("slug", "name", "source", F.coalesce("canonical", "slug").alias("canonical"))
+
+
+def two_pass(mentions: DataFrame, own: DataFrame, wider: DataFrame, listed: DataFrame | None = None, **reviewed: DataFrame) -> DataFrame:
+    """mentions (handle, name_raw, role) to rows: own pool first, the wider one only for supervisors it leaves unmatched.
+
+    listed: slug, name (every form of the wider pool's names that some list gives); matches of the second pass that none
+    of them supports are demoted by the floor guard."""
     first = match_names(mentions.select("name_raw"), own, **reviewed)
     unmatched = mentions.where("role = 'supervisor'").select("name_raw").distinct().join(first.where("status = 'unmatched'"), "name_raw", "left_semi")
-    second = match_names(unmatched, wider, **reviewed).where("status != 'unmatched'").select("name_raw", F.col("status").alias("s2"), F.col("slugs").alias("g2")).withColumn("role", F.lit("supervisor"))
+    second = match_names(unmatched, wider, **reviewed)
+    second = second if listed is None else guarded(second, wider, listed)
+    second = second.where("status != 'unmatched'").select("name_raw", F.col("status").alias("s2"), F.col("slugs").alias("g2")).withColumn("role", F.lit("supervisor"))
     out = mentions.join(first, "name_raw").join(second, ["name_raw", "role"], "left")
     return out.select("handle", "name_raw", "role", F.coalesce("s2", "status").alias("match_status"), F.coalesce("g2", "slugs").alias("slugs"), F.col("s2").isNotNull().alias("second_pass"))
 
@@ -136,6 +148,15 @@ def floor_guard(matches: DataFrame, listing_names: DataFrame) -> DataFrame:
     )
 
 
+def guarded(matched: DataFrame, pool: DataFrame, listed: DataFrame) -> DataFrame:
+    """matched (from match_names) with names that the floor guard demotes: ambiguous, without people."""
+    each = matched.where("status = 'confident'").select("name_raw", "status", F.explode("slugs").alias("slug"), name_parts("name_raw").alias("p"))
+    each = each.join(pool.select("slug", name_token_list("name").alias("tokens")), "slug").select("name_raw", "slug", "tokens", "p.surname", "p.given", "status")
+    thin = floor_guard(each, listed.select("slug", name_token_list("name").alias("tokens"))).where("status = 'ambiguous'").select("name_raw").distinct().withColumn("thin", F.lit(True))
+    status, slugs = F.when(F.col("thin"), "ambiguous").otherwise(F.col("status")), F.when(F.col("thin"), F.array().cast("array<string>")).otherwise(F.col("slugs"))
+    return matched.join(thin, "name_raw", "left").select("name_raw", status.alias("status"), slugs.alias("slugs"), "used_initial")
+
+
 def possible_duplicates(people: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
     """Pairs to look at: one surname (the last token), one name's tokens within the other's, and first given names that are
     equal or one the other's initial; a name of one token is its own given name. Reviewed pairs are left out.

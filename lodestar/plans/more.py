@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text
-from lodestar.operators import bibliography, composites, identity, relational, validate, vectors, writes
+from lodestar.operators import affinity, bibliography, composites, graph, identity, relational, validate, vectors, writes
 from lodestar.plans.catalogue import MATCH, _facets, register
 from lodestar.sources import html
 from lodestar.sources.roles import Roles
@@ -215,3 +215,76 @@ def download_links(r: Roles) -> DataFrame:
 @register("snippets", "", "SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 300) AS snippet, sha256(text) AS sha FROM documents")
 def snippets(r: Roles) -> DataFrame:
     return r.table("documents").select("doc_id", text.snippet(F.col("text"), 300).alias("snippet"), F.sha2("text", 256).alias("sha"))
+
+
+NUMBERED = "SELECT c_custkey AS k, regexp_replace(c_name, '[^0-9]', '', 'g') AS num, c_custkey <= (SELECT max(s_suppkey) FROM supplier) AS known FROM customer"
+
+
+@register("two_pass_guarded", "", f"""WITH m AS ({NUMBERED})
+  SELECT k AS handle, num || ', Ana Maria' AS name_raw, CASE WHEN NOT known THEN 'unmatched' WHEN k % 2 = 0 OR k % 3 = 0 THEN 'confident' ELSE 'ambiguous' END AS match_status, CASE WHEN known AND (k % 2 = 0 OR k % 3 = 0) THEN CAST(k AS VARCHAR) ELSE '' END AS slugs, known AND k % 2 = 1 AS second_pass FROM m""")
+def two_pass_guarded(r: Roles) -> DataFrame:
+    """Matches of the wider pool on surname and first given name alone stand only where a listed form supports them."""
+    number = F.regexp_replace("c_name", "[^0-9]", "")
+    mentions = r.table("customer").select(F.col("c_custkey").alias("handle"), F.concat(number, F.lit(", Ana Maria")).alias("name_raw"), F.lit("supervisor").alias("role"))
+    listed = r.people.select(F.col("slug").cast("string").alias("slug"), F.concat(F.when(F.col("slug") % 3 == 0, "Ana Maria ").otherwise("Ana "), F.regexp_replace("name", "[^0-9]", "")).alias("name"))
+    matched = identity.two_pass(mentions, _pool(r, "slug % 2 = 0", "own"), _pool(r, "slug % 2 = 1", "wider"), listed)
+    return matched.select("handle", "name_raw", "match_status", F.array_join("slugs", ",").alias("slugs"), "second_pass")
+
+
+@register("name_tiers", "", """SELECT regexp_replace(s_name, '[^0-9]', '', 'g') || CASE WHEN s_suppkey % 4 = 2 THEN ', Ana Rui' ELSE ', Ana Maria' END AS name_raw, CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 8 = 1 THEN 'ambiguous' ELSE 'confident' END AS status,
+  CASE WHEN s_suppkey % 4 = 0 OR s_suppkey % 8 = 1 THEN '' WHEN s_suppkey % 4 = 1 THEN s_suppkey || ',t' || s_suppkey ELSE CAST(s_suppkey AS VARCHAR) END AS slugs, false AS used_initial FROM supplier""")
+def name_tiers(r: Roles) -> DataFrame:
+    """Namesakes of two sources, of one source (some reviewed as distinct), a preferred given name and reviewed full names."""
+    s = F.col("slug")
+    number, slug = F.regexp_replace("name", "[^0-9]", ""), s.cast("string")
+    first = r.people.select(slug.alias("slug"), F.concat(F.when(s % 4 == 3, "Ana Costa ").otherwise("Ana "), number).alias("name"), F.lit("own").alias("source"))
+    twins = r.people.where(s % 4 != 3).select(F.concat(F.lit("t"), slug).alias("slug"), F.concat(F.when(s % 4 == 2, "Rui ").otherwise("Ana "), number).alias("name"), F.when(s % 4 == 0, "other").otherwise("own").alias("source"))
+    pool = first.unionByName(twins).withColumn("canonical", s)
+    apart = r.people.where(s % 8 == 1).select(slug.alias("a"), F.concat(F.lit("t"), slug).alias("b"))
+    full = r.people.where(s % 4 == 3).select(slug.alias("slug"), F.concat(F.lit("Ana Maria "), number).alias("full_name"))
+    asked = r.people.select(F.concat(number, F.when(s % 4 == 2, ", Ana Rui").otherwise(", Ana Maria")).alias("name_raw"))
+    return identity.match_names(asked, pool, apart, full).select("name_raw", "status", F.array_join("slugs", ",").alias("slugs"), "used_initial")
+
+
+def _bag_sql(key: str, texts: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in affinity.STOP_WORDS)
+    return f"SELECT {key}, term, CAST(sum(w) AS BIGINT) AS tf FROM (SELECT {key}, w, unnest(regexp_extract_all(strip_accents(lower(t)), '[a-z0-9]+')) AS term FROM ({texts})) WHERE length(term) >= 3 AND term NOT IN ({stop}) GROUP BY 1, 2"
+
+
+@register("weighted_bags", "", _bag_sql("handle", "SELECT doc_id AS handle, 'Document ' || doc_id AS t, 2 AS w FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'field ' || source, 3 FROM documents WHERE doc_id % 2 = 0"))
+def weighted_bags(r: Roles) -> DataFrame:
+    """Titles twice, keywords three times; a document without keywords has an empty bag."""
+    keyword = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("field "), "source"))
+    docs = r.table("documents").select(F.col("doc_id").alias("handle"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), keyword.alias("keyword"))
+    return affinity.term_counts(docs, "handle", [(F.col("title"), 2), (F.col("keyword"), 3)], needed=(F.col("keyword"),))
+
+
+@register("group_bags", "projects project_groups", _bag_sql("group_code", "SELECT group_code, title AS t, 1 AS w FROM projects JOIN project_groups USING (project_id) UNION ALL SELECT group_code, funding_raw, 3 FROM projects JOIN project_groups USING (project_id) WHERE funding_raw IS NOT NULL"))
+def group_bags(r: Roles) -> DataFrame:
+    counts = affinity.term_counts(r.projects, "project_id", [(F.col("title"), 1), (F.col("funding_raw"), 3)])
+    return affinity.group_bags(counts, r.project_groups)
+
+
+@register("graph_labels", "projects co_project", "SELECT project_id, title FROM projects WHERE project_id IN (SELECT project_id FROM co_facts JOIN co_project USING (person_a, person_b) WHERE weight >= 2)")
+def graph_labels(r: Roles) -> DataFrame:
+    edges = graph.graph_edges(graph.co_project_edges(r.project_people, r.aliases), 2)
+    return graph.labels(graph.shared_ids(r.project_people, r.aliases, edges), r.projects)
+
+
+@register("vector_backfill", "", "SELECT count(*) AS total, count(*) FILTER (vec_id % 3 != 1) AS with_vector FROM embeddings")
+def vector_backfill(r: Roles) -> DataFrame:
+    e = r.table("embeddings").select(F.col("vec_id").alias("ordinal"), "embedding")
+    stored = e.withColumn("embedding", F.when(F.col("ordinal") % 3 == 0, F.col("embedding")))
+    return vectors.vector_coverage(writes.fill_vectors(stored, e.where("ordinal % 3 = 2")))
+
+
+@register("harvest_plan", "", "SELECT c_custkey AS handle, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS entry, CASE WHEN c_custkey % 2 != 0 THEN 'fetch' WHEN c_custkey % 3 != 0 THEN 'warn' ELSE 'refresh' END AS action FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
+def harvest_plan(r: Roles) -> DataFrame:
+    c = r.table("customer").select(F.col("c_custkey").alias("handle"), F.col("c_name").alias("entry"))
+    return writes.harvest_plan(c.where("handle % 2 = 0"), c.where("handle % 3 = 0"))
+
+
+@register("partner_backfill", "", "SELECT p_partkey, CAST(i AS INTEGER) AS ordinal, CASE i WHEN 0 THEN p_brand ELSE 'Lab ' || p_partkey END AS value FROM part, (SELECT unnest([0, 1]) AS i) WHERE p_partkey % 2 = 0")
+def partner_backfill(r: Roles) -> DataFrame:
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_brand"), F.lit(", Lab "), F.col("p_partkey").cast("string")))
+    return writes.backfill_children(r.table("part").select("p_partkey", raw.alias("raw")), "raw", text.split_partners, "p_partkey")

@@ -124,6 +124,43 @@ def test_replace_table(spark, tmp_path):
         assert spark.read.parquet(path).count() == n
 
 
+def test_replacement_that_ended_between_its_renames(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writes.replace_table(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert writes.recover(spark, path) and spark.read.parquet(path).count() == 3
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    writes.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "t.old").exists()
+    problems = spark.createDataFrame([("unknown", "x")], "rule string, subject string")
+    with pytest.raises(ValueError):
+        writes.replace_curated(spark.range(1), problems, path)
+    assert spark.read.parquet(path).count() == 5
+    writes.replace_curated(spark.range(1), problems.limit(0), path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_pool_of_listed_people(spark):
+    listings = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "person_slug long, source string")
+    people = spark.createDataFrame([(1, "Ana"), (2, "Rui"), (3, "Eva")], "slug long, name string")
+    aliases = spark.createDataFrame([(2, 1)], "from_slug long, to_slug long")
+    assert rows(identity.pool_of(listings, people, aliases), "slug", "name", "source", "canonical") == [(1, "Ana", "a", 1), (2, "Rui", "c", 1)]
+
+
+def test_nearest_of_many_queries(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 8)).round(3)
+    x[7] = x[9]  # a tie goes by key
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)] + [(999, None)], "ordinal long, embedding array<double>")
+    got = {(g.query, g["rank"]): g.ordinal for g in vectors.nearest_all(df, df.where("ordinal % 10 = 0 or ordinal = 999"), 5, block=4).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 300, 10):
+        d = np.round(1 - u @ u[i], 12)
+        assert [got[i, k + 1] for k in range(5)] == sorted(range(300), key=lambda j: (d[j], j))[:5]
+    assert len(got) == 150
+    assert vectors.nearest_all(df, df.limit(0), 5).count() == 0
+
+
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(1, float(v)) for v in (1, 2, 3)], "k long, v double")
     r = helpers.nearest_rank(df, ["k"], "v", [50, 95]).first()
