@@ -1,7 +1,8 @@
 """Exact vector search: cosine distance, facets fused by the least distance, evidence passages.
 
 Distances are numpy products over Arrow batches; each task keeps only its k best for each query, so what is sorted is
-bounded by tasks x queries x k. Queries are few and given by the caller; passages never move.
+bounded by tasks x queries x k. Few queries, given by the caller, are sent to the passages; a table of queries meets them in
+blocks (``nearest_all``).
 """
 
 from __future__ import annotations
