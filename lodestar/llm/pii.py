@@ -8,7 +8,9 @@ patterns find in the rewritten text is mapped back to source characters. Such a
 a base span of its kind covers it; a base span may be a part of it, and base spans always stay.
 
 Words alone ("at", "dot", one spelled digit) rewrite nothing: at/dot words count only as a whole address
-``word at word dot word`` with a known ending, spelled digits only in runs of at least seven.
+``word at word dot word`` or as four short numbers, spelled digits only in runs of at least seven. Words for the signs
+and for digits are read in English, German, Spanish, French, Portuguese and Italian. "name at host.com" is prose as often as
+not and stays.
 
 Defined cases: a null text is empty and has no spans; rows that repeat are searched each; an empty table gives no rows;
 extra columns are ignored; no pattern backtracks over more than one run of its characters, so long runs stay linear.
@@ -107,20 +109,46 @@ HOMOGLYPHS = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", "·": ".",
 }
 ZERO_WIDTH = "​‌‍⁠﻿­"
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Figures in the words of six languages, nought first.
+DIGITS = (
+    "zero oh null cero zéro", "one eins uno un um", "two zwei zwo dos deux dois due", "three drei tres trois três tre", "four vier cuatro quatre quatro quattro",
+    "five fünf cinco cinq cinque", "six sechs seis sei", "seven sieben siete sept sete sette", "eight acht ocho huit oito otto", "nine neun nueve neuf nove",
+)
+SPELLED = {word: str(figure) for figure, words in enumerate(DIGITS) for word in words.split()}
+#: Words for the two signs that go together; those of the second row are nothing else in prose, so any word for a dot goes with them.
+SIGNS = (("at|ät", "dot|punkt"), ("arroba|arobase|arrobase|chiocciola", "dot|punkt|punto|ponto|point"))
+AT, DOT = "|".join(at for at, _ in SIGNS), SIGNS[1][1]
 #: Words after "at" that are prose, not hosts ("look at the dot com era").
 NOT_HOSTS = frozenset("a all an any each her his it its my no our that the their these this those which your".split())
-ENDINGS = "com|org|net|edu|gov|io|info|co|biz|de|fr|es|uk|eu|pt|it|nl|us|ca|br|mx"
+#: Endings that count behind a blank, a point and a blank, where a sentence may end as well.
+ENDINGS = frozenset("com org net edu gov io info co biz de fr es uk eu pt it nl us ca br mx".split())
+#: An ending longer than this needs a sign or a figure in the name, or a word of mail close before it.
+SHORT, NEAR = 4, 60
 
 _LETTERS = re.compile(r"[^\x00-\x7f¡-ɏ]|[­²³·¹ı]")
-_WORD_DIGIT = "|".join(SPELLED)
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_WORD_DIGIT}|[0-9]+)[\x20,-]{{1,2}}){{6,}}(?:{_WORD_DIGIT}|[0-9]+)(?![A-Za-z0-9])", re.I)
-_SPELLED_ONE = re.compile(rf"(?<![A-Za-z])({_WORD_DIGIT})(?![A-Za-z])", re.I)
-_SPELLED_HINT = re.compile(r"(?:one|two|three|four|five|six|seven|eight|nine|zero)[\x20,-]", re.I)
-_BRACKET_AT = re.compile(r"\x20{0,2}(?:\(at\)|\[at\]|\{at\}|<at>|\(@\)|\[@\])\x20{0,2}", re.I)
-_BRACKET_DOT = re.compile(r"\x20{0,2}(?:\(dot\)|\[dot\]|\{dot\}|<dot>|\(\.\)|\[\.\])\x20{0,2}", re.I)
-_WORDY = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20at\x20|@|\x20@\x20)[A-Za-z0-9-]{{1,63}}((?:(?:\x20dot\x20|\.|\x20\.\x20)[A-Za-z0-9-]{{1,63}}){{0,4}}(?:\x20dot\x20|\.|\x20\.\x20)(?:{ENDINGS}))(?![A-Za-z0-9-])", re.I)
-_WORDY_DOT = re.compile(r"\x20dot\x20|\x20\.\x20", re.I)
+_FIGURE = "|".join(sorted(SPELLED, key=len, reverse=True)) + "|[0-9]+"
+_SPELLED_RUN = re.compile(rf"(?<![^\W_])(?:(?:{_FIGURE})(?:[\x20,-]{{1,2}}|\x20(?:{DOT})\x20)){{6,}}(?:{_FIGURE})(?![^\W_])", re.I)
+_SEP = rf"(?:[\x20,-]{{1,2}}|\x20(?:{DOT})\x20)"
+#: In lower case, what every run that _spelled rewrites holds: a word between two others, behind a number, or before five numbers.
+_SPELLED_HINT = re.compile(
+    rf"(?<=[a-zé0-9]){_SEP}(?:{'|'.join(SPELLED)}){_SEP}(?:{_FIGURE})(?![^\W_])|(?<=[0-9]){_SEP}(?:{'|'.join(SPELLED)})(?![^\W_])"
+    r"|(?<=[a-zé])[\x20,-]{1,2}[0-9]+(?:[\x20,-]{1,2}[0-9]+){4}"
+)
+_BRACKET_AT = re.compile(rf"\x20{{0,2}}(?:[(\[{{<](?:{AT})[)\]}}>]|\(@\)|\[@\])\x20{{0,2}}", re.I)
+_BRACKET_DOT = re.compile(rf"\x20{{0,2}}(?:[(\[{{<](?:{DOT})[)\]}}>]|\(\.\)|\[\.\])\x20{{0,2}}", re.I)
+_MAIL = re.compile(r"mail|contact|kontakt|correo|courriel|correio|schreib|write|reach|escrib|écri|@", re.I)
+_SIGN_DOT = re.compile(rf"\x20(?:{DOT}|\.)\x20", re.I)
+_WORD_DOT = re.compile(rf"\x20(?:{DOT})\x20", re.I)
+_WORDY_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\x20(?:{DOT})\x20|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+
+
+def _address(at: str, dot: str) -> re.Pattern:
+    """name, sign, host and the rest of the host with its ending, where a name may hold spelled dots too."""
+    name, sep = r"[A-Za-z0-9._%+-]{1,64}", rf"(?:\x20(?:{dot})\x20|\.|\x20\.\x20)"
+    return re.compile(rf"(?<![A-Za-z0-9._%+-])({name}(?:\x20(?:{dot})\x20{name}){{0,3}})(\x20(?:{at})\x20|\x20@\x20|@)([A-Za-z0-9-]{{1,63}})((?:{sep}[A-Za-z0-9-]{{1,63}}){{0,4}}{sep}([A-Za-z]{{2,24}}))(?![A-Za-z0-9-])", re.I)
+
+
+_ADDRESSES = tuple(_address(at, dot) for at, dot in SIGNS)
 
 
 class Tape:
@@ -161,42 +189,52 @@ def _letters(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    """Figures for the spelled digits of runs; the separators between single figures vanish."""
+    """Figures for the spelled digits of runs; the separators behind them vanish, a spelled dot among them is a point."""
     out = []
     for run in _SPELLED_RUN.finditer(text):
-        if not _SPELLED_ONE.search(run[0]):
+        parts = [(run.start() + m.start(), run.start() + m.end(), m[0].lower()) for m in re.finditer(r"[^\x20,-]+", run[0])]
+        if not any(word in SPELLED for _, _, word in parts):
             continue
-        parts = list(re.finditer(rf"{_WORD_DIGIT}|[0-9]+", run[0], re.I))
-        for i, m in enumerate(parts):
-            s, e = run.start() + m.start(), run.start() + m.end()
-            put = SPELLED.get(m[0].lower())
-            if put:
-                stop = run.start() + parts[i + 1].start() if i + 1 < len(parts) else e
-                out.append((s, stop, put))
+        for (s, e, word), (following, _, sign) in zip(parts, [*parts[1:], (parts[-1][1], 0, "")]):
+            if word in SPELLED:
+                out.append((s, following, SPELLED[word]))
+            elif not word.isdigit():
+                out.append((s, following, "."))
+            elif sign and not sign.isdigit() and sign not in SPELLED:
+                out.append((e, following, ""))
     return out
 
 
-def _wordy(text: str) -> list[tuple[int, int, str]]:
+def _wordy(pattern: re.Pattern, text: str) -> list[tuple[int, int, str]]:
+    """Signs for the words of whole addresses."""
     out = []
-    for m in _WORDY.finditer(text):
-        if m[1] != "@" and text[m.end(1) : m.start(2)].lower() in NOT_HOSTS:
+    for m in pattern.finditer(text):
+        spoken = bool(_WORD_DOT.search(m[0]))
+        if m[2] != "@" and m[3].lower() in NOT_HOSTS:
             continue
-        found = [(m.start(1), m.end(1), "@")] if m[1] != "@" else []
-        found += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _WORDY_DOT.finditer(m[2])]
-        if found and (" dot " in m[0].lower() or m[1] == " @ "):
-            out += found
+        if not (spoken or m[2] == " @ ") or (not _WORD_DOT.search(m[4]) and " . " in m[4] and m[5].lower() not in ENDINGS):
+            continue
+        if len(m[5]) > SHORT and not (re.search(r"[._%+0-9-]", m[1]) or _WORD_DOT.search(m[1]) or _MAIL.search(text, max(0, m.start() - NEAR), m.end(2))):
+            continue
+        out += [(m.start(1) + d.start(), m.start(1) + d.end(), ".") for d in _WORD_DOT.finditer(m[1])]
+        out += [(m.start(2), m.end(2), "@")] if m[2] != "@" else []
+        out += [(m.start(4) + d.start(), m.start(4) + d.end(), ".") for d in _SIGN_DOT.finditer(m[4])]
     return out
 
 
+def _wordy_ips(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start() + d.start(), m.start() + d.end(), ".") for m in _WORDY_IP.finditer(text) for d in _WORD_DOT.finditer(m[0])]
+
+
 def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in source characters."""
     letters = [] if text.isascii() else _letters(text)
-    spelled = bool(_SPELLED_HINT.search(text))
-    signs = any(x in text for x in "([{<") and (_BRACKET_AT.search(text) or _BRACKET_DOT.search(text))
+    low = text.lower()
+    spelled = bool(_SPELLED_HINT.search(low))
+    signs = any(x in text for x in "([{<") and bool(_BRACKET_AT.search(text) or _BRACKET_DOT.search(text))
     if not signs:
-        # what _wordy needs to rewrite anything
-        low = text.lower()
-        signs = " @ " in low or (" dot " in low and ("@" in low or " at " in low))
+        # what _wordy and _wordy_ips need to rewrite anything
+        signs = " @ " in low or (any(f" {x} " in low for x in DOT.split("|")) and ("@" in low or any(f" {x} " in low for x in AT.split("|")) or bool(_WORDY_IP.search(low))))
     if not (letters or spelled or signs):
         return []
     tape = Tape(text)
@@ -206,7 +244,9 @@ def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, i
     if signs or letters:
         tape.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(tape.text)])
         tape.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(tape.text)])
-        tape.rewrite(_wordy(tape.text))
+        for pattern in _ADDRESSES:
+            tape.rewrite(_wordy(pattern, tape.text))
+        tape.rewrite(_wordy_ips(tape.text))
     if not any(tape.new) and tape.text == text:
         return []
     out = []
