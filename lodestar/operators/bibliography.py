@@ -2,106 +2,158 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import statistics
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestar.functions.text import fold_text
 
-HEADING = re.compile(r"^[#\s]*(?:\d+(?:\.\d+)*\.?\s+)?(?:references|bibliography|bibliografia|refer[eê]ncias(?:\s+bibliogr[aá]ficas)?|works cited)\s*:?\s*$", re.I)
-YEAR = re.compile(r"(?<!\d)(?:19|20)\d{2}[a-z]?(?!\d)")
-DOI = re.compile(r"\b10\.\d{4,9}/[^\s\"<>]+")
-#: How an entry may begin, by style.
+#: What heads a list of references, what a year and a DOI look like, how an entry begins in each style.
+#: The marks of a Markdown heading are allowed besides.
+HEADING = re.compile(
+    r"\s*(?:#{1,6}\s+)?(?:\d{1,4}\s*[.)]?\s*)?"
+    r"(?:references|reference list|bibliography|bibliographie|bibliografia|bibliograf[ií]a|refer[êe]ncias|referencias|literature cited|works cited)"
+    r"\s*[:.]?\s*(?:\d{1,4})?\s*",
+    re.I,
+)
+YEAR = re.compile(r"(?:1[89]|20)\d{2}")
+DOI = re.compile(r"\b10\.\d{4,9}/[^\s,;\"'<>()\[\]]{4,}", re.I)
 STYLES = {
-    "bracketed": re.compile(r"^\s*\[\d{1,4}\]\s*"),
-    "numbered": re.compile(r"^\s*\d{1,4}[.)]\s+"),
-    "labelled": re.compile(r"^\s*\[[A-Za-z][\w+-]{1,14}\]\s*"),
-    "author-year": re.compile(r"^\s*[A-Z][\w'’-]+,\s+(?:[A-Z]\.[\s-]*)+"),
-    "full-name": re.compile(r"^\s*[A-Z][\w'’-]+,\s+[A-Z][\w'’-]+"),
+    "numbered": r"\s*\d{1,3}\s*[.)]\s+\S",
+    "bracketed": r"\s*\[\s*\d{1,3}\s*\]\s*\S",
+    "labelled": r"\s*\[[^\]\d][^\]]{2,60}\]\s*\S",
+    "authoryear": r"\s*[A-ZÀ-Þ][\w'’-]+\s*(?:,\s*(?:[A-ZÀ-Þ]\.|[A-ZÀ-Þ][\w'’-]+)|\((?:1[89]|20)\d{2})",
+    "authorfull": r"\s*(?:[A-ZÀ-Þ][\w'’-]+\.?\s+){1,3}[A-ZÀ-Þ][\w'’-]+\s*,\s",
 }
-WINDOW, DENSITY, GAP, TAIL = 16, 0.45, 60, 20
-
-
-def _looks_cited(line: str) -> bool:
-    return bool(YEAR.search(line) or DOI.search(line))
-
-
-def reference_region(text: str) -> str | None:
-    """What follows the last heading that names a list of references, else a dense tail of lines that look cited."""
-    lines = text.split("\n")
-    for i in range(len(lines) - 1, -1, -1):
-        if HEADING.match(lines[i]) and any(x.strip() for x in lines[i + 1 :]):
-            return "\n".join(lines[i + 1 :])
-    marks = [_looks_cited(x) for x in lines]
-    start, quiet = None, 0
-    for i in range(len(lines) - 1, -1, -1):
-        near = marks[max(0, i - WINDOW + 1) : i + 1]
-        if sum(near) >= DENSITY * len(near):
-            start, quiet = i, 0
-        else:
-            quiet += 1
-            if quiet > GAP:
-                break
-    return "\n".join(lines[start:]) if start is not None and len(lines) - start >= TAIL else None
-
-
-def _split(lines: list[str], style: re.Pattern) -> list[str]:
-    out: list[list[str]] = []
-    for x in lines:
-        if style.match(x):
-            out.append([x])
-        elif out and x.strip():
-            out[-1].append(x)
-    return [" ".join(" ".join(e).split()) for e in out]
-
-
-def entries(region: str) -> tuple[str, list[str]]:
-    """The style whose entries cover most of the region and look most like citations, and its entries."""
-    lines = region.split("\n")
-    size = max(1, sum(len(x.strip()) for x in lines))
-    best = (0.0, "none", [])
-    options = {k: _split(lines, v) for k, v in STYLES.items()} | {"blank-line": [" ".join(p.split()) for p in re.split(r"\n\s*\n", region) if p.strip()]}
-    for name, found in options.items():
-        if len(found) < 3:
+LABEL = re.compile(r"\s*(?:\[[^\]]{1,60}\]|\d{1,3}\s*[.)])\s*")
+QUOTED = re.compile(r"[“\"«‘]([^”\"»’]{15,300})[”\"»’]")
+YEAR_OF = (re.compile(r"\(\s*((?:1[89]|20)\d{2})\s*[a-z]?\s*\)"), re.compile(r"(?<![\d/(])\b((?:1[89]|20)\d{2})[a-z]?\s*[.,]"))
+SENTENCE = re.compile(r"\.\s+(?=[A-ZÀ-Þ]|In\b|$)")
+INITIALS = re.compile(r"\s*(?:[A-ZÀ-Þ]\.\s*)+")
+SURNAME = (r"\s*([A-ZÀ-Þ][\w'’-]+)\s*,", r"\s*(?:[A-ZÀ-Þ][\w'’-]+\.?\s+){1,3}([A-ZÀ-Þ][\w'’-]+)\s*[,.&]", r"\s*([A-ZÀ-Þ][\w'’-]+)")
+#: Lines of a window, the share of them that must look cited, lines between parts of one list, least entries
+#: and greatest distance of starts in a list without a heading, where such a list may begin, the score it needs.
+WINDOW, DENSITY, GAP, TAIL, STEP, LATE, BELIEVED = 16, 0.45, 60, 20, 12, 0.55, 0.25
+#: Lengths of an entry, of the middle entry of a good list, of a title; how far on a year still dates the authors.
+ENTRY, MIDDLE, TITLE, EARLY = (40, 1500), (60, 600), (15, 400), 0.55
+
+
+class Lines:
+    """The lines of a text with what is asked of each: has it text, does it look like part of an entry, which styles begin there."""
+
+    def __init__(self, lines: list[str]):
+        self.lines = [x.strip() for x in lines]
+        self.filled = np.array([bool(x) for x in self.lines], bool)
+        self.cited = np.array([len(x) >= 12 and bool(x.count(",") >= 2 or YEAR.search(x) or DOI.search(x)) for x in self.lines], bool)
+        self.starts = {k: np.array([bool(re.match(v, x)) for x in lines], bool) for k, v in STYLES.items()}
+
+    def __getitem__(self, part: slice) -> Lines:
+        out = object.__new__(Lines)
+        out.lines, out.filled, out.cited, out.starts = self.lines[part], self.filled[part], self.cited[part], {k: v[part] for k, v in self.starts.items()}
+        return out
+
+    def dense(self) -> np.ndarray:
+        """Of each line: does the window that begins there, or one of three times its length, look cited."""
+        cited, filled = (np.concatenate([[0], np.cumsum(x)]) for x in (self.cited, self.filled))
+        at = np.arange(len(self.lines))
+        ends = [np.minimum(at + k * WINDOW, len(at)) for k in (1, 3)]
+        return np.logical_or.reduce([(filled[e] > filled[at]) & (cited[e] - cited[at] >= DENSITY * (filled[e] - filled[at])) for e in ends])
+
+    def entries(self, style: str) -> list[str]:
+        """Lines go to the last start at or before them; a blank line parts the entries of the style that has no marks."""
+        starts = self.starts.get(style, self.filled & ~np.concatenate([[False], self.filled[:-1]]))
+        owner = np.cumsum(starts) - 1
+        rows = [(o, x) for o, x, f in zip(owner, self.lines, self.filled) if f and o >= 0]
+        return [" ".join(x for _, x in g) for _, g in itertools.groupby(rows, key=lambda r: r[0])]
+
+    def explained(self, found: list[str]) -> tuple[float, list[str]]:
+        """How well entries explain these lines (text covered, share that can be an entry, middle length), and those that can be one."""
+        good = [e for e in found if ENTRY[0] <= len(e) <= ENTRY[1] and YEAR.search(e)]
+        if len(good) < 3:
+            return 0.0, good
+        covered = min(1.0, sum(map(len, good)) / max(1, sum(map(len, self.lines))))
+        usual = MIDDLE[0] <= statistics.median(map(len, good)) <= MIDDLE[1]
+        return covered * len(good) / len(found) * (1.0 if usual else 0.4), good
+
+    def best(self) -> tuple[str, list[str]]:
+        """The style that explains these lines best (the earlier one on ties) and its entries."""
+        tried = [(k, *self.explained(self.entries(k))) for k in [*(k for k, v in self.starts.items() if v.sum() >= 3), "blankline"]]
+        style, score, good = max(tried, key=lambda x: x[1])
+        return (style, good) if score else ("none", [])
+
+
+def headed(doc: Lines) -> list[slice]:
+    """Parts behind headings, each as long as its windows stay dense; parts that stand close are one."""
+    dense, found = doc.dense(), []
+    for at in (i for i, x in enumerate(doc.lines) if HEADING.fullmatch(x)):
+        if found and at <= found[-1].stop:
             continue
-        covered = min(1.0, sum(map(len, found)) / size)
-        plausible = sum(map(_looks_cited, found)) / len(found)
-        shape = sum(20 <= len(e) <= 600 for e in found) / len(found)
-        if covered * plausible * shape > best[0]:
-            best = (covered * plausible * shape, name, found)
-    return best[1], best[2]
+        thin = np.flatnonzero(~dense[at + 1 :: WINDOW])
+        end = at + 1 + WINDOW * int(thin[0]) if len(thin) else len(doc.lines)
+        if end >= at + 5:
+            found.append(slice(at + 1, end))
+    out: list[slice] = []
+    for part in found:
+        out.append(slice(out.pop().start, part.stop) if out and part.start - out[-1].stop <= GAP else part)
+    return out
+
+
+def unheaded(doc: Lines) -> list[slice]:
+    """Where no heading was left: the longest run of one style's starts near the end, of the style that explains its run best."""
+    found = []
+    for style, starts in doc.starts.items():
+        at = np.flatnonzero(starts)
+        at = at[at >= int(len(doc.lines) * LATE)]
+        run = max(np.split(at, np.flatnonzero(np.diff(at) > STEP) + 1), key=len)
+        if len(run) >= TAIL:
+            part = slice(int(run[0]), min(int(run[-1]) + STEP, len(doc.lines)))
+            cut = doc[part]
+            # a start beyond the run belongs to no entry of it
+            cut.starts[style] = np.isin(np.arange(part.start, part.stop), run)
+            found.append((cut.explained(cut.entries(style))[0], part))
+    score, part = max(found, key=lambda x: x[0], default=(0.0, None))
+    return [part] if score > BELIEVED else []
+
+
+def references(text: str) -> list[tuple[str, str]]:
+    """style and text of each entry, as they stand."""
+    doc = Lines(text.splitlines())
+    return [(style, e) for part in headed(doc) or unheaded(doc) for style, good in [doc[part].best()] for e in good]
+
+
+def display_form(entry: str) -> str:
+    """Without the mark of its list, runs of white space as one blank."""
+    m = LABEL.match(entry)
+    return " ".join(entry[m.end() if m else 0 :].split())
 
 
 def parse_entry(entry: str) -> dict[str, str | None]:
     """title, year, first author and cleaned DOI of one entry."""
-    bare = entry
-    for s in ("bracketed", "numbered", "labelled"):
-        bare = STYLES[s].sub("", bare, count=1)
-    year = YEAR.search(bare)
-    quoted = re.search(r"[\"“”«]([^\"“”»]{8,300})[\"“”»]", bare)
-    if quoted:
-        title = quoted[1]
-    else:
-        rest = bare[year.end() :] if year and year.start() < len(bare) // 2 else bare
-        parts = [p.strip(" .,()") for p in re.split(r"(?<=[a-z\d)])[.?!]\s+(?=[A-Z\"“])", rest)]
-        parts = [p for p in parts if len(p) >= 12]
-        title = parts[0] if year and year.start() < len(bare) // 2 and parts else parts[1] if len(parts) > 1 else parts[0] if parts else None
-    author = re.match(r"\s*(?:[A-Z]\.[\s-]*)*([A-Z][\w'’-]+)", bare)
-    doi = next(iter(cleaned_dois(bare)), None)
-    return {"title": title.strip(" .,") if title else None, "year": year[0][:4] if year else None, "first_author": author[1] if author else None, "doi": doi}
-
-
-def cleaned_dois(s: str) -> list[str]:
-    out = []
-    for m in DOI.finditer(s):
-        d = m[0].rstrip(".,;:)]}>\"'").lower()
-        if len(d.split("/", 1)[1]) >= 4 and d[-1] not in "-._/" and d not in out and not re.search(r"[-./_]$", m[0].rstrip(",;:)]}>\"'").lower()[:-1] if m[0].endswith("..") else d):
-            out.append(d)
-    return out
+    m = LABEL.match(entry)
+    body = entry[m.end() if m else 0 :].strip()
+    years = [y for y in (p.search(body) for p in YEAR_OF) if y]
+    # a late year dates the journal: the title then stands behind the authors
+    early = itertools.takewhile(lambda y: y.start() <= EARLY * len(body), years)
+    options = itertools.chain((SENTENCE.split(body[y.end() :].lstrip(" .,:"))[0] for y in early), SENTENCE.split(body)[1:])
+    quoted = QUOTED.search(body)
+    title = quoted[1].strip(" ,.;") if quoted else next((t for t in (x.strip(" ,.;") for x in options) if TITLE[0] <= len(t) <= TITLE[1]), None)
+    bare = YEAR.search(body)
+    named = body[i.end() :] if (i := INITIALS.match(body)) else body
+    author = next((a[1] for a in (re.match(p, named) for p in SURNAME) if a), None)
+    return {"title": title, "year": years[0][1] if years else bare[0] if bare else None, "first_author": author, "doi": first_doi(entry)}
+
+
+def first_doi(s: str) -> str | None:
+    """The first DOI in lower case without closing signs; none if its suffix is short or breaks off at a separator."""
+    m = DOI.search(s)
+    d = m[0].rstrip(".,;:)]}’”").lower() if m else ""
+    return d if len(d.partition("/")[2]) >= 4 and d[-1] not in "-./_" else None
 
 
 def title_key(author: str | None, title: str | None) -> str | None:
@@ -110,7 +162,7 @@ def title_key(author: str | None, title: str | None) -> str | None:
     return f"{re.sub(r'[^a-z0-9]', '', fold_text(author) or '')}|{t}" if len(t) >= 12 else None
 
 
-SCHEMA = "slug string, ordinal int, style string, entry string, title string, year string, first_author string, doi string, title_key string"
+SCHEMA = "slug string, ordinal int, style string, entry string, display string, title string, year string, first_author string, doi string, title_key string"
 
 
 def parse_references(docs: DataFrame) -> DataFrame:
@@ -120,46 +172,57 @@ def parse_references(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for slug, text in zip(b["slug"], b["text"]):
-                region = reference_region(text or "")
-                style, found = entries(region) if region else ("none", [])
-                for i, e in enumerate(found):
+                for i, (style, e) in enumerate(references(text or "")):
                     p = parse_entry(e)
-                    rows.append((slug, i, style, e, p["title"], p["year"], p["first_author"], p["doi"], title_key(p["first_author"], p["title"])))
+                    rows.append((slug, i, style, e, display_form(e), p["title"], p["year"], p["first_author"], p["doi"], title_key(p["first_author"], p["title"])))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return docs.select("slug", "text").mapInPandas(scan, SCHEMA)
 
 
+def ranged(rows: DataFrame, key: Column, buckets: int = 200) -> DataFrame:
+    """rows with _b, the number of its range of keys: 20 keys a bucket, those of the smallest hashes, set the bounds.
+    Any bounds give right results; what is held for them is 20 x buckets keys, whatever the input."""
+    few = rows.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(20 * buckets).agg(F.sort_array(F.collect_list("_k")).alias("k"))
+    bounds = few.select(F.filter("k", lambda _, i: i % 20 == 19)).scalar()
+    return rows.withColumn("_k", bounds).withColumn("_b", F.size(F.filter("_k", lambda x: x <= key))).drop("_k")
+
+
 def drop_truncated(dois: DataFrame, column: str = "doi") -> DataFrame:
-    """DOIs that are no strict prefix of another. In order, a prefix stands right before something it begins; each bucket of
-    twelve leading characters is sorted by itself (a cleaned DOI has twelve at least, so a prefix shares them)."""
-    bucket = F.substring(column, 1, 12)
-    d = dois.select(column).distinct().withColumn("_b", bucket)
-    following = F.lead(column).over(Window.partitionBy("_b").orderBy(column))
-    return d.withColumn("_n", following).where(F.col("_n").isNull() | ~F.col("_n").startswith(F.col(column))).select(column)
+    """DOIs that are no strict prefix of another. In order, a prefix stands right before something it begins; ranges are sorted
+    by themselves and the last of a range looks at the first of the next one."""
+    d = ranged(dois.where(F.col(column).isNotNull()).select(column).distinct(), F.col(column))
+    border = d.groupBy("_b").agg(F.min(column).alias("_m")).withColumn("_m", F.lead("_m").over(Window.orderBy("_b")))
+    inside = d.withColumn("_n", F.lead(column).over(Window.partitionBy("_b").orderBy(column)))
+    # at most one row a bucket is broadcast
+    following = F.coalesce("_n", "_m")
+    return inside.join(F.broadcast(border), "_b").where(following.isNull() | ~following.startswith(F.col(column))).select(column)
 
 
 def work_key() -> Column:
     return F.coalesce(F.concat(F.lit("doi:"), F.col("doi")), F.col("title_key"), F.concat(F.lit("raw:"), F.col("slug"), F.lit(":"), F.col("ordinal").cast("string")))
 
 
-def group_works(parsed: DataFrame) -> DataFrame:
-    """One row a work: tier, the longest entry (the first on ties), year and author from the first entry that has them."""
+def group_works(parsed: DataFrame, shown: str = "display") -> DataFrame:
+    """One row a work: tier, the longest wording (the first on ties), year and author from the first entry that has them."""
     keyed = parsed.withColumn("work_key", work_key()).withColumn("match_tier", F.when(F.col("doi").isNotNull(), "doi").when(F.col("title_key").isNotNull(), "title").otherwise("unmatched"))
     order = F.struct("slug", "ordinal")
-    longest = F.struct(-F.length("entry"), F.col("slug"), F.col("ordinal"))
+    longest = F.struct(-F.length(shown), F.col("slug"), F.col("ordinal"))
 
     def first(c: str) -> Column:
         return F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order)).alias(c)
 
-    return keyed.groupBy("work_key", "match_tier").agg(F.min_by("entry", longest).alias("display"), F.min_by("doi", order).alias("doi"), first("year"), first("first_author"), F.count("*").alias("entries"), F.countDistinct("slug").alias("cited_by"))
+    return keyed.groupBy("work_key", "match_tier").agg(F.min_by(shown, longest).alias("display"), F.min_by("doi", order).alias("doi"), first("year"), first("first_author"), F.count("*").alias("entries"), F.countDistinct("slug").alias("cited_by"))
 
 
 def numbered(works: DataFrame) -> DataFrame:
-    """Ids from 1 by citations, most first, then key: one range sort, numbered by the sizes of its partitions."""
-    rows = works.orderBy(F.desc("cited_by"), "work_key")
-    schema = T.StructType([*works.schema, T.StructField("reference_id", T.LongType())])
-    return works.sparkSession.createDataFrame(rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
+    """Ids from 1 by citations, most first, then key: ranges are numbered by themselves behind the sizes of those before."""
+    rows = ranged(works, F.struct(-F.col("cited_by"), F.col("work_key")))
+    sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("cited_by"), "work_key"))
+    # at most one row a bucket is broadcast
+    return rows.join(F.broadcast(before), "_b").select(*works.columns, (place + F.col("_before")).alias("reference_id"))
 
 
 def title_recall(parsed: DataFrame) -> DataFrame:

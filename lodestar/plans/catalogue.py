@@ -531,7 +531,7 @@ def works(r: Roles) -> DataFrame:
         F.when(size % 4 == 1, F.concat(F.lit("someone|"), F.col("p_type"), size.cast("string"))).alias("title_key"),
         F.col("p_name").alias("entry"), F.lit(None).cast("string").alias("year"), F.lit(None).cast("string").alias("first_author"),
     )
-    return bibliography.group_works(e).select("work_key", "match_tier", "display", "entries")
+    return bibliography.group_works(e, "entry").select("work_key", "match_tier", "display", "entries")
 
 
 @register("dates_and_money", "", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey + 1000.5 AS DOUBLE) END AS amount, CASE WHEN o_orderkey % 2 = 0 THEN '€' END AS currency FROM orders")
@@ -568,7 +568,8 @@ def folded_names(r: Roles) -> DataFrame:
     return r.table("customer").select("c_custkey", text.fold("c_name").alias("folded"))
 
 
-@register("reference_parse")
+@register("reference_parse", "", """WITH e AS (SELECT doc_id, source, i, '[' || i || '] A. Author, "Findings of document ' || doc_id || ' from ' || source || '", 20' || lpad(CAST(doc_id % 20 AS VARCHAR), 2, '0') || '.' AS entry FROM documents, range(1, 7) AS t(i))
+  SELECT CAST(doc_id AS VARCHAR) AS slug, CAST(i - 1 AS INT) AS ordinal, 'bracketed' AS style, entry, substr(entry, 5) AS display, 'Findings of document ' || doc_id || ' from ' || source AS title, '20' || lpad(CAST(doc_id % 20 AS VARCHAR), 2, '0') AS year, 'Author' AS first_author, CAST(NULL AS VARCHAR) AS doi, 'author|findingsofdocument' || doc_id || 'from' || regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS title_key FROM e""")
 def reference_parse(r: Roles) -> DataFrame:
     """The entries of a list of references that each document is given at its end."""
     d = r.table("documents")

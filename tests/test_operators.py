@@ -176,6 +176,18 @@ def test_truncated_dois(spark):
     d = ["10.1145/19657", "10.1145/1965724", "10.1145/1965724.1965742", "10.1145/1965724.99", "10.1109/32.666826"]
     got = {r[0] for r in bibliography.drop_truncated(spark.createDataFrame([(x,) for x in d], "doi string")).collect()}
     assert got == {x for x in d if not any(y != x and y.startswith(x) for y in d)}
+    # many of one publisher, cut at every length: ranges end between a prefix and what it begins
+    many = sorted({f"10.1016/j.x{i * 7919 % 10007}"[: 12 + i % 6] for i in range(9000)})
+    got = {r[0] for r in bibliography.drop_truncated(spark.createDataFrame([(x,) for x in [*many, None]], "doi string")).collect()}
+    assert got == {x for x, y in zip(many, [*many[1:], ""]) if not y.startswith(x)}
+
+
+def test_numbered_works(spark):
+    works = [(f"title:{i * 7919 % 30011:05d}", 1 + (i % 97 == 0)) for i in range(9000)]
+    got = bibliography.numbered(spark.createDataFrame(works, "work_key string, cited_by long")).collect()
+    assert [(x.work_key, x.cited_by) for x in sorted(got, key=lambda x: x.reference_id)] == sorted(works, key=lambda x: (-x[1], x[0]))
+    assert sorted(x.reference_id for x in got) == list(range(1, 9001))
+    assert bibliography.numbered(spark.createDataFrame([], "work_key string, cited_by long")).count() == 0
 
 
 def test_references(spark):
@@ -186,6 +198,40 @@ def test_references(spark):
     assert got[0].doi == "10.1000/abc1" and got[0].year == "1931" and got[0].first_author == "Turing"
 
 
+def test_lists_of_references():
+    prose = ["Words of a chapter that cites nothing at all"] * 40
+    named = [f"Zhang, Y. and J. Jiang (199{i}). A study of measure number {i}. Journal of Measures." for i in range(9)]
+    # a running head inside a list, a second list after other text, and a heading with page numbers
+    doc = [*prose, "12 References 7", *named[:5], "References", *named[5:], *prose, *prose, "Bibliografia:", *[f"[{i}] M. Rossi, “On the shape of small things {i}”, vol. 3, 188{i}." for i in range(8)]]
+    got = bibliography.references("\n".join(doc))
+    assert [k for k, _ in got] == ["authoryear"] * 9 + ["bracketed"] * 8
+    # the running head is a line of the entry before it
+    assert got[4][1] == named[4] + " References"
+    assert bibliography.references("\n".join(prose)) == []
+    # a heading without a list behind it is none
+    assert bibliography.references("\n".join([*prose, "References", *prose])) == []
+    # no heading: twenty starts near the end are a list, nineteen are none
+    late = [f"{i}. A. Author, On things that are many, Journal of Many Things, {1950 + i}." for i in range(1, 21)]
+    assert len(bibliography.references("\n".join([*prose, *late]))) == 20
+    assert bibliography.references("\n".join([*prose, *late[1:]])) == []
+    # entries without marks are parted by blank lines
+    plain = [f"the collected letters, volume {i}, edited for the society, {1900 + i}" for i in range(6)]
+    assert bibliography.references("References\n\n" + "\n\n".join(plain)) == [("blankline", x) for x in plain]
+
+
+def test_fields_of_references():
+    cases = [
+        ("[3] L. A. Meserve, \"An unquoted world of titles\", Proc. X, 1999.", ("An unquoted world of titles", "1999", "Meserve", None)),
+        ("Zhang, Y. and J. Jiang (2001a). Bibliographical review of control. Annual Reviews, 32(2).", ("Bibliographical review of control", "2001", "Zhang", None)),
+        ("7) João Carreira, Henrique Madeira. Software fault injection in practice. IEEE Trans. 24, 125-136, 1998. doi:10.1109/32.666826.", ("Software fault injection in practice", "1998", "Carreira", "10.1109/32.666826")),
+        ("Smith, short. 10.1007/978- then 10.1145/abcde", (None, None, "Smith", None)),
+        ("Smith, J. 10.1016/j. then 10.1145/abcde.", (None, None, "Smith", "10.1145/abcde")),
+    ]
+    for entry, (title, year, author, doi) in cases:
+        assert bibliography.parse_entry(entry) == {"title": title, "year": year, "first_author": author, "doi": doi}, entry
+    assert bibliography.display_form(" [Gamma 94]  Design   patterns ") == "Design patterns"
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(200, 8))
