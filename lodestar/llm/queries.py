@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import fingerprints, jaccard, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, substrings, token_counts
+from lodestar.llm import fim, fingerprints, jaccard, lines, lm_scoring, mixing, packing, pii, quality_classifier, quality_rules, resampling, substrings, token_counts
 from lodestar.llm.common import table
 
 
@@ -50,7 +51,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_fingerprints, op4_lm_scoring, op5_jaccard_join, op6_quality_classifier, op7_mixing, op8_substrings, op9_token_counts, op10_pii)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents"), seed=42, rate=50, spm=80))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = lines.drop(docs, lines.by_files(docs), least=10)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_ALL = (
+    op1_packing,
+    op2_quality_rules,
+    op3_fingerprints,
+    op4_lm_scoring,
+    op5_jaccard_join,
+    op6_quality_classifier,
+    op7_mixing,
+    op8_substrings,
+    op9_token_counts,
+    op10_pii,
+    op11_resampling,
+    op12_fill_in_middle,
+    op13_line_dedup,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: Words, as SQL: documents of 50 words or more become their windows, each as text.
 _OP8 = r"""
@@ -74,5 +105,45 @@ r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) z USING (doc_id)
 """
 
+#: crc32 over the bytes of each distinct feature, by a table of 256 entries that is worked out here.
+_OP11 = r"""
+WITH b AS (SELECT range AS i, range AS c FROM range(256)),
+t8 AS (SELECT i, list_reduce(list_prepend(c, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END) AS c FROM b),
+tab AS (SELECT list(c ORDER BY i) AS t FROM t8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+fd AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM d) GROUP BY 1, 2),
+fq AS (SELECT f, count(*) AS n FROM (SELECT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM q) GROUP BY 1),
+every AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM fd UNION SELECT f FROM fq)),
+crc AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: (instr('0123456789ABCDEF', x[i]) - 1) * 16 + instr('0123456789ABCDEF', x[i + 1]) - 1)), lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)]))) % 10000 AS bucket FROM every, tab),
+s AS (SELECT bucket, sum(n) AS s FROM fd JOIN crc USING (f) GROUP BY 1),
+q2 AS (SELECT bucket, sum(n) AS t FROM fq JOIN crc USING (f) GROUP BY 1),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM q2)::DOUBLE AS tt),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0)::DOUBLE + 1) * (ss + 10000)) / ((s::DOUBLE + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN q2 USING (bucket), tot),
+w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain)::DOUBLE / sum(n)) AS BIGINT) AS weight FROM fd JOIN crc USING (f) JOIN g USING (bucket) GROUP BY 1),
+h AS (SELECT doc_id, len(ws) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (doc_id)),
+sc AS (SELECT doc_id, n >= 20 AS fit, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY fit) AS m FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 25 * m // 100 THEN r END AS rank FROM r
+"""
+
+_OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS h FROM documents),
+k AS (SELECT doc_id, text, u, len(u) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 AS plain FROM k),
+p AS (SELECT doc_id, text, n, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256 FROM p
+"""
+
+_OP13 = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, i, ls[i] AS line, trim(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+f AS (SELECT k FROM e WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+j AS (SELECT e.doc_id, e.i, e.line, f.k IS NOT NULL AS gone FROM e LEFT JOIN f ON e.k = f.k)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM j GROUP BY 1
+"""
+
 #: The other operators rest on tokenizers, on hash functions that SQL engines don't share, or on fitted models; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": _OP5, "op8_substrings": _OP8}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": _OP5, "op8_substrings": _OP8, "op11_resampling": _OP11, "op12_fill_in_middle": _OP12, "op13_line_dedup": _OP13}
