@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _place(df: DataFrame, name: str) -> int:
+def place_of(df: DataFrame, name: str) -> int:
     exact = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
     if not exact:
         raise ValueError(f"no column {name}")
@@ -59,13 +59,13 @@ def _place(df: DataFrame, name: str) -> int:
 
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else df carries and whatever the case of clashing extra names."""
-    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{_place(df, n)}").alias(n) for n in names])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{place_of(df, n)}").alias(n) for n in names])
 
 
 def carried(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, and the whole row as the struct _row: no name of df can clash with an operator's own."""
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return flat.select(*[F.col(f"c{_place(df, n)}").alias(n) for n in names], F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]).alias("_row"))
+    return flat.select(*[F.col(f"c{place_of(df, n)}").alias(n) for n in names], F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]).alias("_row"))
 
 
 def restored(df: DataFrame) -> DataFrame:

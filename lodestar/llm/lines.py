@@ -5,8 +5,8 @@ hashes with the number of the batch's documents that hold them; equal keys are a
 then merge-anti-joins the runs: keys that a run has found often enough are settled and leave the batch; what is left is
 written as a run of its own, sorted and bucketed by hash, at level 0. When a level has FANOUT runs, they are merged, counts
 added, into one run of the next level; so the runs a batch meets stay few and each key is rewritten once a level. Runs share
-one bucketing, so neither a join with them nor a merge shuffles them: only the batch itself moves. With ``least=1`` the
-anti-join is the usual incremental one: what comes through are the lines that no earlier batch had.
+one bucketing, so a batch that meets them moves alone, and only a merge shuffles runs. With ``least=1`` the anti-join is the
+usual incremental one: what comes through are the lines that no earlier batch had.
 
 The keys found in ``least`` documents or more, over all runs, then go back: lines whose bit is set in a bitmap of fixed size
 built from them are candidates (others stay in place), an exact join settles these (keys with much of the rows meet them where
@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import carried, cut, meet, only, scratch
+from lodestar.llm.common import place_of, cut, meet, only, scratch
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST, MIN_CHARS, FANOUT, BATCHES = 10, 1, 3, 6
@@ -60,12 +60,12 @@ def document_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 @dataclass
 class Runs:
-    """Levelled sorted runs in the shared folder; levels[i] has the names of the runs of level i."""
+    """Levelled sorted runs in the shared folder; levels[i] has the (table, path) of the runs of level i."""
 
     spark: SparkSession
     least: int = LEAST
     fanout: int = FANOUT
-    levels: list[list[str]] = field(default_factory=list)
+    levels: list[list[tuple[str, str]]] = field(default_factory=list)
     buckets: int = 0
 
     def __post_init__(self) -> None:
@@ -73,7 +73,7 @@ class Runs:
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+        return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def unsettled(self, batch: DataFrame) -> DataFrame:
         """batch (hi, lo, n) without the keys that some run has found least times."""
@@ -85,13 +85,13 @@ class Runs:
         level = 0
         while len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._put(self._sum([self.spark.table(x) for x in merged]), level + 1)
+            self._put(self._sum(merged), level + 1)
             self._forget(merged)
             level += 1
 
     def totals(self) -> DataFrame:
         """hi, lo and n over all runs; n is exact below least."""
-        return self._sum(self.tables())
+        return self._sum([x for level in self.levels for x in level])
 
     def close(self) -> None:
         """The names leave the catalog; files stay in the shared folder, since results may still read them."""
@@ -103,15 +103,16 @@ class Runs:
         rows.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", path).option("compression", "zstd").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append((name, path))
 
-    def _forget(self, names: list[str]) -> None:
-        for name in names:
+    def _forget(self, runs: list[tuple[str, str]]) -> None:
+        for name, _ in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    @staticmethod
-    def _sum(tables: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, tables).groupBy(*_HASH).agg(F.sum("n").alias("n"))
+    def _sum(self, runs: list[tuple[str, str]]) -> DataFrame:
+        # read by path as one scan: a union of bucketed tables claims their bucketing but doesn't put equal buckets together
+        rows = self.spark.read.schema("hi long, lo long, n long").parquet(*[path for _, path in runs])
+        return rows.groupBy(*_HASH).agg(F.sum("n").alias("n"))
 
 
 def frequent(batches: Iterable[DataFrame], least: int = LEAST, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
@@ -166,11 +167,10 @@ def drop(docs: DataFrame, batches: Iterable[DataFrame] | None = None, least: int
 def cleaned(docs: DataFrame, batches: Iterable[DataFrame] | None = None, least: int = LEAST, min_chars: int = MIN_CHARS, fanout: int = FANOUT, bits: int = BITS) -> DataFrame:
     """docs with their frequent lines dropped from text; the columns stay."""
     often = frequent(batches or [docs], least, min_chars, fanout)
-    out = _dropped(carried(docs, "doc_id", "text"), often, ["_row"], bits)
-    place = next(i for i, c in enumerate(docs.columns) if c == "text" or "text" not in docs.columns and c.lower() == "text")
-    parts = [F.col("kept") if i == place else F.col("_f").getField(f"f{i}") for i in range(len(docs.columns))]
-    renamed = "struct<" + ",".join(f"f{i}:{f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)) + ">"
-    return out.select("kept", F.col("_row").cast(renamed).alias("_f")).select(*[p.alias(c) for p, c in zip(parts, docs.columns, strict=True)])
+    flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text, doc_id = (F.col(f"c{place_of(docs, n)}").alias(n) for n in ("text", "doc_id"))
+    out = _dropped(flat.select("*", text, doc_id), often, flat.columns, bits)
+    return out.select(*[(F.col("kept") if i == place_of(docs, "text") else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def by_files(docs: DataFrame, batches: int = BATCHES) -> list[DataFrame]:
