@@ -7,9 +7,12 @@ is repeated more than ``max_repeat`` times, or to what meets both. It is reporte
 
 The weights are realised against a token budget; without one, the smallest budget at which every document is used at least
 once. A source is read in epochs, each a permutation of its documents by a hash of seed, epoch and id: whole ones first,
-then the part of one that the rest of its quota pays for. The mix is cut into ``blocks``, each a budget of tokens by source:
-going through its source's epochs, a copy falls into the block in which its first token lies, so every block holds each
-source's part of the block's budget to within one document.
+then the part of one that the rest of its quota pays for. The copy that would cross the quota's end is passed over, and of the
+later ones the longest that fits the gap is taken. Where none fits, or a gap of more than a block's part would stay (few, long
+documents), the copy that crosses is used after all, unless a budget is given, which is a ceiling. The mix is cut into ``blocks``, each a budget
+of tokens by source: going through its source's epochs, a copy falls into the block in which its first token lies, so every
+block holds each source's part of the block's budget to within one document. A document longer than that part fills the blocks
+up to ``last_block``, where its last token lies.
 
 No source is gathered: running sums are those of small hash ranges, summed up in two levels, then of one range's documents.
 
@@ -77,6 +80,11 @@ def _place(epoch: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), epoch.cast("int"), F.coalesce(F.col("doc_id"), F.lit(-1).cast("long"))), F.lit(2**32)).cast("long")
 
 
+def _me(place: str | Column) -> Column:
+    """What tells a copy from the others of its epoch, in the epoch's order."""
+    return F.struct((F.col(place) if isinstance(place, str) else place).alias("place"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"))
+
+
 def _range(place: Column, ranges: Column) -> Column:
     return F.floor(place * ranges / F.lit(2**32)).cast("long")
 
@@ -99,10 +107,10 @@ def entropy_of(sources: DataFrame, a: float) -> tuple[float, float]:
     return math.log(r["z"]) - a * r["l"] / r["z"], math.log(r["n"])
 
 
-def plan(slim: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None, entropy_share: float | None = None) -> DataFrame:
-    """A row for each source: weight, quota, whole epochs, ranges, and where the last epoch ends; exponent and entropy of the
+def plan(slim: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None, entropy_share: float | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """A row for each source: weight, quota, whole epochs, ranges, and where the last epoch ends and what fills its gap; exponent and entropy of the
     mix. slim: doc_id, source, n_tokens. entropy_share: the target entropy as a share of the way from natural to most."""
-    slim = _keyed(slim)
+    slim, ceiling = _keyed(slim), budget is not None
     sources = cut(slim.groupBy("_s").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")))
     head = sources.agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).first()
     total = float(head["t"] or 0)
@@ -132,29 +140,45 @@ def plan(slim: DataFrame, target_entropy: float | None = None, max_repeat: float
     ends = upto.where("upto > rest").groupBy("_s").agg(F.min("range").alias("end_range"), F.min_by(F.col("upto") - F.col("n"), "range").alias("before"))
     inside = dealt.join(ends, (dealt["_s"] == ends["_s"]) & (dealt["range"] == ends["end_range"])).drop(ends["_s"])
     so_far = F.sum("n_tokens").over(Window.partitionBy("_s").orderBy("place", "doc_id"))
-    last = inside.withColumn("c", so_far + F.col("before")).where("c <= rest").groupBy("_s").agg(F.max(F.struct("place", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("id"))).alias("end"))
-    return cut(weighed.join(ends.select("_s", "end_range"), "_s", "left").join(last, "_s", "left"))
+    upto = inside.select("*", _me("place").alias("me"), (so_far + F.col("before")).alias("c"))
+    inner = F.col("c") <= F.col("rest")
+    last = upto.groupBy("_s", "end_range", "rest").agg(F.max(F.when(inner, F.col("me"))).alias("end"), F.min(F.when(~inner, F.col("me"))).alias("cross"), F.coalesce(F.max(F.when(inner, F.col("c"))), F.min("before")).alias("used"))
+    gaps = cut(last.select("_s", "end_range", "end", "cross", (F.col("rest") - F.col("used")).alias("gap")))
+    # the longest later copy that fits the gap; rows with one id are one copy
+    later = dealt.drop("rest").join(F.broadcast(gaps.where("gap >= 1")), "_s").where("n_tokens > 0 and n_tokens <= gap").withColumn("me", _me("place"))
+    later = later.where((F.col("range") > F.col("end_range")) | ((F.col("range") == F.col("end_range")) & F.coalesce(F.col("me") > F.col("end"), F.lit(True))))
+    fill = later.groupBy("_s", "me").agg(F.sum("n_tokens").alias("n"), F.first("gap").alias("gap")).where("n <= gap").groupBy("_s").agg(F.max(F.struct("n", "me")).alias("f")).select("_s", F.col("f.n").alias("n"), F.col("f.me").alias("fill"))
+    out = weighed.join(gaps, "_s", "left").join(fill, "_s", "left")
+    gapes = (F.col("gap") >= 1) & F.col("n").isNull() | (F.col("gap") - F.coalesce("n", F.lit(0)) > F.col("repeats") * F.col("n_tokens") / blocks)
+    crosses = F.coalesce(F.lit(not ceiling) & gapes & F.col("cross").isNotNull(), F.lit(False))
+    out = out.withColumn("end", F.when(crosses, F.col("cross")).otherwise(F.col("end"))).withColumn("fill", F.when(~crosses, F.col("fill")))
+    return cut(out.drop("cross", "gap", "n"))
 
 
 def copies(docs: DataFrame, plan_rows: DataFrame) -> DataFrame:
     """docs (doc_id, source and whatever else) with a row for each copy: its epoch, and the plan's columns."""
-    d = _keyed(docs).join(plan_rows.select("_s", F.col("n_tokens").alias("_total"), "exponent", "entropy", "weight", "repeats", "whole", "ranges", "rest", "end_range", "end"), "_s")
+    d = _keyed(docs).join(plan_rows.select("_s", F.col("n_tokens").alias("_total"), "exponent", "entropy", "weight", "repeats", "whole", "ranges", "rest", "end_range", "end", "fill"), "_s")
     place = _place(F.col("whole"))
     at = _range(place, F.col("ranges"))
-    me = F.struct(place.alias("place"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("id"))
-    part = F.when(F.col("rest") <= 0, False).when(F.col("end_range").isNull(), True).otherwise((at < F.col("end_range")) | ((at == F.col("end_range")) & F.coalesce(me <= F.col("end"), F.lit(False))))
+    me = _me(place)
+    part = F.when(F.col("rest") <= 0, False).when(F.col("end_range").isNull(), True).otherwise((at < F.col("end_range")) | ((at == F.col("end_range")) & F.coalesce(me <= F.col("end"), F.lit(False))) | F.coalesce(me == F.col("fill"), F.lit(False)))
     n = F.col("whole") + part.cast("int")
-    return d.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "whole", "rest", "end_range", "end")
+    return d.withColumn("_n", n).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "whole", "rest", "end_range", "end", "fill")
 
 
 def placed(rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """copies with start (tokens of the source's mix before it), position (0 to 1, of its quota) and block."""
+    """copies with start (tokens of the source's mix before it), position (0 to 1, of its quota), block and last_block."""
     rows = cut(rows.withColumn("_place", _place(F.col("epoch"))).withColumn("_range", _range(F.col("_place"), F.col("ranges"))))
     sums = running(rows.groupBy("_s", "epoch", "_range").agg(F.sum("n_tokens").alias("_n")), ["_s", "epoch"], "_range", "_n").drop("_n")
     inside = F.sum("n_tokens").over(Window.partitionBy("_s", "epoch", "_range").orderBy("_place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.join(sums, ["_s", "epoch", "_range"]).withColumn("start", F.col("epoch") * F.col("_total") + F.col("before") + F.coalesce(inside, F.lit(0)))
     position = F.when(F.col("_total") > 0, F.col("start") / (F.col("repeats") * F.col("_total"))).otherwise(F.lit(0.0))
-    return rows.withColumn("position", F.least(position, F.lit(1.0 - 1e-12))).withColumn("block", F.floor(F.col("position") * blocks).cast("int"))
+    end = F.when(F.col("_total") > 0, (F.col("start") + F.greatest(F.col("n_tokens") - 1, F.lit(0))) / (F.col("repeats") * F.col("_total"))).otherwise(F.lit(0.0))
+
+    def block(at: Column) -> Column:
+        return F.floor(F.least(at, F.lit(1.0 - 1e-12)) * blocks).cast("int")
+
+    return rows.withColumn("position", F.least(position, F.lit(1.0 - 1e-12))).withColumn("block", block(position)).withColumn("last_block", F.greatest(block(position), block(end)))
 
 
 def _slim(docs: DataFrame) -> DataFrame:
@@ -162,10 +186,11 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None, entropy_share: float | None = None) -> DataFrame:
-    """A row for each copy of a document: doc_id, source, n_tokens, exponent, entropy, weight, repeats, epoch, start, position (0 to 1), block."""
+    """A row for each copy of a document: doc_id, source, n_tokens, exponent, entropy, weight, repeats, epoch, start, position (0 to 1), block,
+    last_block."""
     slim = _slim(docs)
     rows = placed(copies(slim, plan(slim, target_entropy, max_repeat, budget, entropy_share)))
-    return rows.select("doc_id", "source", "n_tokens", "exponent", "entropy", "weight", "repeats", "epoch", "start", "position", "block")
+    return rows.select("doc_id", "source", "n_tokens", "exponent", "entropy", "weight", "repeats", "epoch", "start", "position", "block", "last_block")
 
 
 def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = 4.0, budget: float | None = None, entropy_share: float | None = None) -> DataFrame:

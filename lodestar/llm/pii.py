@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -250,10 +251,13 @@ def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, i
     if not any(tape.new) and tape.text == text:
         return []
     out = []
+    # spans of one kind don't overlap, so only the last one that starts at a place or before it can cover it
+    ends = {kind: [(x, y) for k, x, y in known if k == kind] for kind in KINDS}
     for kind, s, e in base(tape.text):
         if any(tape.new[s:e]) or tape.end[e - 1] - tape.start[s] != e - s:
             a, b = tape.start[s], tape.end[e - 1]
-            if not any(k == kind and x <= a and b <= y for k, x, y in known):
+            at = bisect_right(ends[kind], a, key=lambda x: x[0])
+            if not at or ends[kind][at - 1][1] < b:
                 out.append((kind, a, b))
     return out
 

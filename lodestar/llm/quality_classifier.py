@@ -146,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[n
             vectors = [features(t, places).astype(np.float16).tobytes() for t in raw_bytes(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), *b.columns[1:]], ["x", "trusted", "web", "doc_id"])
 
-    picked = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "trusted", "web", "doc_id")
+    # one row an id, the one with the smallest hash: an id that repeats neither outweighs others nor fills the driver
+    each = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text")))
+    picked = each.groupBy("doc_id", "trusted", "web").agg(one.alias("text")).select("text", "trusted", "web", "doc_id")
     got = map_arrow(picked, read, "x binary, trusted boolean, web boolean, doc_id long").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     if not got.num_rows:
         return np.zeros(DIM), 0.5

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import lm_scoring, mixing, quality_classifier, quality_rules
 
@@ -290,8 +291,80 @@ def test_mix_matches_a_slow_bisection(spark, sources):
         assert all(a + n == b for (a, n), (b, _) in zip(mine, mine[1:])) and mine[0][0] == 0
 
 
+def test_no_block_is_empty_where_documents_are_longer_than_blocks(spark):
+    """Every block of every source is covered by the spans of its copies, whatever their lengths; repeated rows included."""
+    r = random.Random(8)
+    rows = [(i, "w " * r.choice((3, 40, 2000)), r.choice("aab")) for i in range(60)] + [(60, "w " * 900, "c"), (61, "w " * 7, "c"), (61, "w " * 7, "c"), (None, "w " * 5, "c")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), entropy_share=0.6, max_repeat=None).collect()
+    for s in "abc":
+        mine = [x for x in got if x.source == s]
+        assert {b for x in mine for b in range(x.block, x.last_block + 1)} == set(range(64)), s
+        weight, total = mine[0].weight, sum(len(t.split()) for _, t, z in rows if z == s)
+        quota = mine[0].repeats * total
+        # a gap is at most a block's part, an overshoot at most a document
+        assert quota - quota / 64 - 1e-3 * total <= sum(x.n_tokens for x in mine) <= quota + 2000 and weight > 0
+
+
 def test_running_sums_in_two_levels(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SPAN", 3)
     rows = [("a" if i % 2 else "b", i, i * i) for i in range(40)]
     got = mixing.running(spark.createDataFrame(rows, "k string, at long, n long"), ["k"], "at", "n").collect()
     assert all(x.before == sum(n for k, i, n in rows if k == x.k and i < x["at"]) for x in got) and len(got) == 40
+
+
+def test_sample_holds_a_row_an_id(spark, monkeypatch):
+    """An id that repeats ten thousand times comes to the driver once, and counts once."""
+    rows = [(7, f"bad {i % 3} text *** ### again and again") for i in range(10_000)] + [(i, f"some good words of text {i}") for i in range(100, 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100, 140)] + [(7, 0)], "doc_id long, quality int")
+    seen = []
+    real = quality_classifier.fit
+    monkeypatch.setattr(quality_classifier, "fit", lambda pos, unl, prior: seen.append((len(pos), len(unl))) or real(pos, unl, prior))
+    once = docs.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    w, prior = quality_classifier.train(docs, labels, rows=100)
+    v, same = quality_classifier.train(once, labels, rows=100)
+    assert seen[0] == seen[1] and sum(seen[0]) <= 100
+    assert prior == same and np.allclose(w, v)
+
+
+def slow_adam(grad, dim, steps, decay, rate):
+    w, m, v = [0.0] * dim, [0.0] * dim, [0.0] * dim
+    for t in range(1, steps + 1):
+        g = [a + decay * b for a, b in zip(grad(w), w)]
+        m = [0.9 * a + 0.1 * b for a, b in zip(m, g)]
+        v = [0.999 * a + 0.001 * b * b for a, b in zip(v, g)]
+        w = [x - rate * (a / (1 - 0.9**t)) / (math.sqrt(b / (1 - 0.999**t)) + 1e-8) for x, a, b in zip(w, m, v)]
+    return w
+
+
+def test_risk_matches_a_slow_version():
+    """Non-negative positive-unlabelled risk: its gradient by differences of the risk itself, point by point."""
+    r = np.random.default_rng(3)
+    pos, unl = r.normal(0.6, 1, (40, 4)), np.concatenate([r.normal(0.6, 1, (15, 4)), r.normal(-0.8, 1, (50, 4))])
+    prior = 0.25
+
+    def loss(w, rows, sign):
+        return sum(math.log1p(math.exp(-sign * sum(a * b for a, b in zip(w, x)))) for x in rows) / len(rows)
+
+    def grad(w):
+        negative = lambda w: loss(w, unl, -1) - prior * loss(w, pos, -1)
+        part = (lambda w: prior * loss(w, pos, 1) + negative(w)) if negative(w) >= 0 else (lambda w: -negative(w))
+        return [(part([x + (1e-5 if i == k else 0) for k, x in enumerate(w)]) - part([x - (1e-5 if i == k else 0) for k, x in enumerate(w)])) / 2e-5 for i in range(len(w))]
+
+    import inspect
+
+    given = {k: p.default for k, p in inspect.signature(quality_classifier._adam).parameters.items() if p.default is not p.empty}
+    slow = slow_adam(grad, 4, given["steps"], given["decay"], given["rate"])
+    fast = quality_classifier.fit(pos, unl, prior)
+    assert np.allclose(fast, slow, atol=2e-3) and (unl[15:] @ fast < pos.mean(0) @ fast).mean() > 0.8
+
+
+def test_prior_is_near_the_true_share():
+    r = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.8):
+        n = 4000
+        good = int(n * share)
+        pos = r.normal(1.5, 1, (n, 3))
+        unl = np.concatenate([r.normal(1.5, 1, (good, 3)), r.normal(-1.5, 1, (n - good, 3))])
+        r.shuffle(unl)
+        assert abs(quality_classifier.class_prior(pos, unl) - share) < 0.08

@@ -219,3 +219,18 @@ def test_substrings_keep_texts_of_one_id_apart(spark):
     got = sorted(map(tuple, substrings.strip(df, 50).collect()), key=str)
     want = [(d, len(w), n, hashlib.sha256(" ".join(k).encode()).hexdigest()) for (d, w), n, k in zip(texts, gone, kept)]
     assert got == sorted(want, key=str)
+
+
+def test_many_spans_take_linear_time():
+    """Plain and disguised addresses by turns: twice the text takes about twice the time, not four times."""
+    import time
+
+    def took(n):
+        text = "ann@example.com and bob (at) example (dot) org, " * n
+        t = time.perf_counter()
+        found, every = pii.spans_of(text)
+        assert len(found) == n and len(every) == 2 * n
+        return time.perf_counter() - t
+
+    took(100)
+    assert took(16_000) < 12 * max(took(4_000), 0.05)
