@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import composites, graph, relational, vectors
 from lodestar.operators.helpers import page
+from lodestar.sources import markdown
 from lodestar.sources.roles import Roles
 
 
@@ -34,8 +35,8 @@ class Api:
     def groups(self) -> DataFrame:
         return relational.projects_per_group(self.r.groups, self.r.project_groups)
 
-    def funding(self) -> DataFrame:
-        return relational.funding_breakdown(self.r.projects)
+    def funding(self, spellings: dict[str, str] | None = None) -> DataFrame:
+        return relational.funding_breakdown(self.r.projects, spellings)
 
     def budget_by_group(self) -> DataFrame:
         return relational.budget_by_group(self.r.projects, self.r.groups, self.r.project_groups)
@@ -57,19 +58,33 @@ class Api:
             raise NotFound(code)
         return relational.top_projects_per_group(self.r.projects, self.r.groups, self.r.project_groups, code=code)
 
-    def projects(self, group: str | None = None, q: str | None = None, detail_unavailable: bool | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-        return relational.projects_page(self.r.projects, self.r.project_groups, group, q, detail_unavailable, _limit(limit, 500), offset)
+    def projects(self, group: str | None = None, q: str | None = None, detail_unavailable: bool | None = None, limit: int = 50, offset: int = 0, total: bool = False) -> DataFrame:
+        """total: with the number of all projects found, in a column."""
+        return relational.projects_page(self.r.projects, self.r.project_groups, group, q, detail_unavailable, _limit(limit, 500), offset, total)
 
     def project(self, project_id: int) -> DataFrame:
-        return self.r.projects.where(F.col("project_id") == project_id)
+        """The project with its groups, people, partners and raw fields."""
+        r = self.r
+        return composites.project_detail(project_id, r.projects, r.project_groups, r.groups, r.project_people, r.people, r.partners, r.fields)
 
     # theses
     def theses(self) -> DataFrame:
         return composites.list_theses(self.r.theses, self.r.thesis_people, self.r.people)
 
-    def thesis(self, handle) -> DataFrame:
-        pick = F.col("handle") == handle
-        return composites.list_theses(self.r.theses.where(pick), self.r.thesis_people.where(pick), self.r.people)
+    def thesis(self, handle, corpus: str | None = None) -> DataFrame:
+        """The thesis with abstracts and, where a corpus folder is named, its body."""
+        bodies = markdown.read_bodies(self.r.spark, corpus, [str(handle)]).withColumn("handle", F.lit(handle)) if corpus else None
+        return composites.thesis_detail(handle, self.r.theses, self.r.thesis_people, self.r.people, bodies=bodies)
+
+    def thesis_body(self, handle, corpus: str) -> DataFrame:
+        return markdown.read_bodies(self.r.spark, corpus, [str(handle)])
+
+    def thesis_authors(self) -> DataFrame:
+        """What the author filter offers."""
+        return composites.author_options(self.theses())
+
+    def bibliography_theses(self) -> DataFrame:
+        return relational.references_per_thesis(self.r.theses, self.r.citations)
 
     def partner_theses(self) -> DataFrame:
         return relational.partner_thesis_links(self.r.partners, self.r.projects, self.r.project_people, self.r.people, self.r.thesis_people, self.r.theses)
@@ -89,10 +104,10 @@ class Api:
     def collab_summary(self, kind: str = "co_project") -> DataFrame:
         return graph.summary(self.edges(kind), graph.FLOORS[kind])
 
-    def collab_pairs(self, kind: str = "co_project", min_weight: int | None = None, sort: str = "weight", limit: int = 50, offset: int = 0) -> DataFrame:
+    def collab_pairs(self, kind: str = "co_project", min_weight: int | None = None, sort: str = "weight", limit: int = 50, offset: int = 0, total: bool = False) -> DataFrame:
         if sort not in ("weight", "normalized"):
             raise ValueError(f"sort {sort}")
-        return graph.ranked_pairs(self.edges(kind), graph.FLOORS[kind] if min_weight is None else min_weight, sort, _limit(limit, 500), offset)
+        return graph.ranked_pairs(self.edges(kind), graph.FLOORS[kind] if min_weight is None else min_weight, sort, _limit(limit, 500), offset, total)
 
     def collab_graph(self, kind: str = "co_project", min_weight: int | None = None) -> tuple[DataFrame, DataFrame]:
         floor, e = graph.GRAPH_FLOORS[kind] if min_weight is None else min_weight, self.edges(kind)
@@ -109,8 +124,8 @@ class Api:
         return composites.person_detail(slug, r.people, r.aliases, r.project_people, r.projects, r.project_groups, r.thesis_people)
 
     # references, search, health
-    def bibliography(self, min_cited_by: int = 2, q: str | None = None, tier: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-        return relational.references_page(self.r.references, min_cited_by, q, tier, _limit(limit, 200), offset)
+    def bibliography(self, min_cited_by: int = 2, q: str | None = None, tier: str | None = None, limit: int = 50, offset: int = 0, total: bool = False) -> DataFrame:
+        return relational.references_page(self.r.references, min_cited_by, q, tier, _limit(limit, 200), offset, total)
 
     def bibliography_summary(self) -> DataFrame:
         return relational.bibliography_summary(self.r.references, self.r.citations, self.r.theses)

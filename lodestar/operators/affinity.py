@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,10 @@ STOP_WORDS = tuple(
 
 def prose_tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Lower-case runs of letters and figures without accents, three or longer, no stop-words."""
-    found = F.regexp_extract_all(fold(F.lower(text)), F.lit(r"[a-z0-9]+"), F.lit(0))
+    low = F.lower(text)
+    # only texts with other letters go to Python
+    plain = F.coalesce(fold(F.when(low.rlike(r"[^\x00-\x7F]"), low)), low)
+    found = F.regexp_extract_all(plain, F.lit(r"[a-z0-9]+"), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) >= 3) & (~t.isin(list(stop)) if stop else F.lit(True)))
 
 
@@ -70,6 +75,24 @@ def inverse_frequencies(counts: DataFrame, n_docs: int | Column) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def document_frequencies(*corpora: DataFrame) -> DataFrame:
+    """term, df over the bags of all corpora (term and whatever names a bag; a bag has a term once), however their texts are
+    weighted. Each corpus is added up before the sums meet."""
+    parts = [c.groupBy("term").agg(F.count("*").alias("df")) for c in corpora]
+    return reduce(DataFrame.unionByName, parts).groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def added_frequencies(known: DataFrame, *new: DataFrame) -> DataFrame:
+    """term, df after new bags: only their texts are read."""
+    return known.unionByName(document_frequencies(*new)).groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def idf_of(frequencies: DataFrame, n_bags: int | Column) -> DataFrame:
+    """term, idf; n_bags: all bags of all corpora, empty ones included."""
+    n = F.lit(n_bags) if isinstance(n_bags, int) else n_bags
+    return frequencies.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
 def vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """key, term, w: sublinear tf times idf, length one."""
     raw = counts.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))

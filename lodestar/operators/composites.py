@@ -48,6 +48,51 @@ def person_detail(slug, people: DataFrame, aliases: DataFrame, project_people: D
     return canon.join(people, "slug").crossJoin(rows).crossJoin(codes).crossJoin(done)
 
 
+def author_options(listed: DataFrame) -> DataFrame:
+    """display and theses: what the author filter offers, in order of name; listed from list_theses."""
+    each = listed.select("handle", F.explode("authors").alias("a")).select("handle", F.col("a.display").alias("display")).distinct()
+    return each.groupBy("display").agg(F.count("*").alias("theses")).orderBy("display")
+
+
+def first_role(role: str = "role", first: str = "coordinator") -> Column:
+    """Ordering key: 0 for the role that leads, 1 for the others."""
+    return F.when(F.col(role) == first, 0).otherwise(1)
+
+
+def project_detail(project_id, projects: DataFrame, project_groups: DataFrame, groups: DataFrame, project_people: DataFrame, people: DataFrame, partners: DataFrame, fields: DataFrame) -> DataFrame:
+    """One row: the project with groups (by code), people (coordinators first, then by name), partners and raw fields as arrays;
+    no row where there is no such project. Each table is filtered to the project before anything is joined."""
+    mine = F.col("project_id") == project_id
+
+    def nested(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    team = project_people.where(mine).join(people.select(F.col("slug").alias("person_slug"), "name"), "person_slug").withColumn("place", first_role())
+    parts = [
+        nested(project_groups.where(mine).join(groups.withColumnRenamed("code", "group_code"), "group_code"), "groups", "group_code", "name"),
+        nested(team, "people", "place", "name", "person_slug", "role"),
+        nested(partners.where(mine), "partners", "ordinal", "partner_name", "partner_type"),
+        nested(fields.where(mine), "fields_raw", "label", "value_text"),
+    ]
+    out = projects.where(mine)
+    for part in parts:
+        out = out.join(part, "project_id", "left")
+    return out
+
+
+def thesis_detail(handle, theses: DataFrame, thesis_people: DataFrame, people: DataFrame, abstracts: DataFrame | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """One row: the listed thesis with its abstracts (handle, abstract_pt, abstract_en) and body (handle, body), each null where
+    it isn't given or known."""
+    pick = F.col("handle") == handle
+    out = list_theses(theses.where(pick), thesis_people.where(pick), people)
+    for frame, names in ((abstracts, ("abstract_pt", "abstract_en")), (bodies, ("body",))):
+        if frame is None:
+            out = out.withColumns({n: F.lit(None).cast("string") for n in names})
+        else:
+            out = out.join(frame.where(pick).select("handle", *names), "handle", "left")
+    return out
+
+
 def passages_by_thesis(found: DataFrame, handle: str = "handle") -> DataFrame:
     """Hits grouped by thesis, in order of the best, each with its passages in order."""
     g = found.groupBy(handle).agg(F.min("rank").alias("best"), F.array_sort(F.collect_list(F.struct("rank", "ordinal"))).alias("passages"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.helpers import canonicalize, cross_group, page
+from lodestar.operators.helpers import canonicalize, cross_group, page, paged
 
 FLOORS = {"co_project": 2, "co_supervision": 1}
 GRAPH_FLOORS = {"co_project": 4, "co_supervision": 1}
@@ -79,9 +79,9 @@ def enriched(edges: DataFrame, people: DataFrame, groups: DataFrame) -> DataFram
     return out.withColumn("cross_group", cross_group("groups_a", "groups_b"))
 
 
-def ranked_pairs(edges: DataFrame, min_weight: int = 2, sort: str = "weight", limit: int = 50, offset: int = 0) -> DataFrame:
+def ranked_pairs(edges: DataFrame, min_weight: int = 2, sort: str = "weight", limit: int = 50, offset: int = 0, total: bool = False) -> DataFrame:
     first: list[Column] = [F.desc("weight")] if sort == "weight" else [F.desc("weight_normalized"), F.desc("weight")]
-    return page(edges.where(F.col("weight") >= min_weight), [*first, F.asc("person_a"), F.asc("person_b")], limit, offset)
+    return (paged if total else page)(edges.where(F.col("weight") >= min_weight), [*first, F.asc("person_a"), F.asc("person_b")], limit, offset)
 
 
 def graph_nodes(edges: DataFrame, floor: int) -> DataFrame:

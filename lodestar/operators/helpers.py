@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one only where unset)."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: for a frame that several branches of a plan read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def canonicalize(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     """column mapped through the one-hop alias table."""
     a = aliases.select(F.col("from_slug").alias("_from"), F.col("to_slug").alias("_to"))
@@ -68,6 +89,19 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_and_total(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> tuple[list[Row], int]:
+    """The rows of a page and the number of all rows, in one job: they are counted on their way to the top-k."""
+    seen = Observation()
+    rows = page(df.observe(seen, F.count(F.lit(1)).alias("n")), order, limit, offset).collect()
+    return rows, seen.get["n"]
+
+
+def paged(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """A page with the column total; a page holds at most limit rows, whatever df does."""
+    rows, total = page_and_total(df, order, limit, offset)
+    return df.sparkSession.createDataFrame(rows, df.schema).withColumn("total", F.lit(total).cast("long"))
+
+
 def cross_group(a: str, b: str) -> Column:
     """Null if either has no group, else whether the two share none."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0), ~F.arrays_overlap(a, b))

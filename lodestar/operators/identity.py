@@ -184,21 +184,3 @@ def mint_slugs(people: DataFrame, base: str = "base", order: str = "seq") -> Dat
 
     r = F.row_number().over(Window.partitionBy("source", base).orderBy(order))
     return people.withColumn("slug", F.when(r == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), r.cast("string"))))
-
-
-def miss_shape(surname: Column, given: Column, candidate: Column) -> Column:
-    """Why a near candidate does not fit: it has more tokens, the surname stands elsewhere, or it only bears the surname."""
-    every = F.concat(surname, given)
-    return (
-        F.when(F.forall(every, lambda t: F.array_contains(candidate, t)), "superset")
-        .when(F.array_contains(candidate, F.element_at(given, 1)) & F.exists(surname, lambda t: F.array_contains(candidate, t)), "wrong-ended")
-        .when(F.exists(surname, lambda t: F.array_contains(candidate, t)), "surname-bearing")
-        .otherwise("none")
-    )
-
-
-def triage(rows: DataFrame) -> DataFrame:
-    """unit text and shape of an unmatched supervisor to a verdict: ordered rules, the first that holds."""
-    unit = F.lower(F.coalesce("affiliation", F.lit("")))
-    verdict = F.when(F.col("shape").isin("superset", "wrong-ended"), "resolvable-missed").when(unit.contains("former"), "former-uc").when(unit != "", "never-uc").otherwise("unknown")
-    return rows.withColumn("verdict", verdict)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.helpers import canonical_people, canonicalize, contains_term, page, top_n_with_other
+from lodestar.operators.helpers import canonical_people, canonicalize, contains_term, page, paged, top_n_with_other
 
 UNGROUPED, NO_FUNDING = "UNGROUPED", "(no funding listed)"
 
@@ -198,17 +198,19 @@ def references_per_thesis(theses: DataFrame, citations: DataFrame) -> DataFrame:
     return theses.join(counted, "handle", "left").select("handle", "title", "year", "full_text", F.coalesce("n", F.lit(0)).alias("reference_count"))
 
 
-def references_page(references: DataFrame, min_cited_by: int = 2, term: str | None = None, tier: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+def references_page(references: DataFrame, min_cited_by: int = 2, term: str | None = None, tier: str | None = None, limit: int = 50, offset: int = 0, total: bool = False) -> DataFrame:
+    """total: with the number of all rows found, counted in the job that finds the page."""
     found = references.where(F.col("cited_by") >= min_cited_by)
     if term:
         found = found.where(contains_term("display", term))
     if tier:
         found = found.where(F.col("match_tier") == tier)
-    return page(found, [F.desc("cited_by"), F.asc("reference_id")], limit, offset)
+    return (paged if total else page)(found, [F.desc("cited_by"), F.asc("reference_id")], limit, offset)
 
 
-def projects_page(projects: DataFrame, project_groups: DataFrame, group: str | None = None, term: str | None = None, unavailable: bool | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Filters are only in the plan if asked for; group membership is a semi-join; codes are gathered for the page alone."""
+def projects_page(projects: DataFrame, project_groups: DataFrame, group: str | None = None, term: str | None = None, unavailable: bool | None = None, limit: int = 50, offset: int = 0, total: bool = False) -> DataFrame:
+    """Filters are only in the plan if asked for; group membership is a semi-join; codes are gathered for the page alone. total: with the
+    number of all rows found, counted in the job that finds the page."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be 1 to 500")
     found = projects
@@ -218,7 +220,7 @@ def projects_page(projects: DataFrame, project_groups: DataFrame, group: str | N
         found = found.where(contains_term("title", term))
     if unavailable is not None:
         found = found.where(F.col("unavailable_reason").isNotNull() == F.lit(unavailable))
-    rows = page(found.select("project_id", "title", "budget", "start_date"), [F.asc("title"), F.asc("project_id")], limit, offset)
+    rows = (paged if total else page)(found.select("project_id", "title", "budget", "start_date"), [F.asc("title"), F.asc("project_id")], limit, offset)
     codes = project_groups.join(F.broadcast(rows.select("project_id")), "project_id", "left_semi").groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_set("group_code")), ",").alias("group_codes"))
     return rows.join(codes, "project_id", "left")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text
 from lodestar.operators import affinity, bibliography, graph, helpers, identity, relational, validate, vectors, writes
+from lodestar.operators.helpers import written
 from lodestar.sources.roles import Roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,7 +357,7 @@ def collab_exclusions(r: Roles) -> DataFrame:
 
 def _scored(r: Roles) -> DataFrame:
     docs = r.table("documents").select(F.col("doc_id").alias("handle"), F.col("source").alias("group_code"), "text")
-    counts = affinity.term_counts(docs, ["handle", "group_code"], [(F.col("text"), 1)])
+    counts = written(affinity.term_counts(docs, ["handle", "group_code"], [(F.col("text"), 1)]))  # frequencies, weights and norms of both sides read it
     return affinity.affinity(affinity.bags_of(counts, "handle"), affinity.bags_of(counts, "group_code"), docs.count())
 
 

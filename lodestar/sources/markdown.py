@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LISTS = ("authors", "supervisors", "keywords", "oai_sets")
@@ -74,6 +74,26 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return raw.mapInPandas(parse, SCHEMA)
 
 
+def body_of(raw: Column) -> Column:
+    """What follows the head, without leading line breaks; all of it where there is no head or none that ends."""
+    end = F.locate("\n---\n", raw, 5)
+    return F.when(~raw.startswith("---\n") | (end == 0), raw).otherwise(F.ltrim(F.substring(raw, end + 5, F.length(raw)), F.lit("\n")))
+
+
+def read_bodies(spark: SparkSession, folder: str, handles: list[str]) -> DataFrame:
+    """handle and body of the handles asked for, body null where there is no file. Only their files are looked up and read: a
+    handle names its file (slashes as hyphens), so no listing of the corpus is needed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    asked = list(dict.fromkeys(handles))
+    paths = {h: f"{folder.rstrip('/')}/{h.replace('/', '-')}.md" for h in asked}
+    there = [p for p in paths.values() if hadoop.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(p))]
+    want = spark.createDataFrame([(h, p.rsplit("/", 1)[1]) for h, p in paths.items()], "handle string, file string")
+    if not there:
+        return want.select("handle", F.lit(None).cast("string").alias("body"))
+    raw = spark.read.text(there, wholetext=True).select(F.col("_metadata.file_name").alias("file"), body_of(F.col("value")).alias("body"))
+    return want.join(raw, "file", "left").select("handle", "body")
+
+
 def theses(corpus: DataFrame) -> DataFrame:
     return corpus.select("handle", F.replace("handle", F.lit("/"), F.lit("-")).alias("slug"), "title", "date", F.nullif(F.substring("date", 1, 4), F.lit("")).alias("year"), "source_url", "rights", "full_text", "abstract_pt", "abstract_en")
 
