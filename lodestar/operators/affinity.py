@@ -101,10 +101,22 @@ def vectors(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 
 
 def affinity(doc_counts: DataFrame, group_counts: DataFrame, n_docs: int, doc: str = "handle", group: str = "group_code") -> DataFrame:
-    """doc, group, score, affinity_rank: cosines over 0, ranked before they are rounded."""
+    """doc, group, score, affinity_rank: cosines over 0, ranked before they are rounded.
+
+    A term's weights in all groups are one row, so document terms meet them in one join; products and squares are added up
+    together, and lengths divide the sums at the end."""
     idf = inverse_frequencies(doc_counts, n_docs)
-    d, g = vectors(doc_counts, idf, doc), vectors(group_counts.join(idf.select("term"), "term", "left_semi"), idf, group)
-    dot = d.withColumnRenamed("w", "wd").join(g.withColumnRenamed("w", "wg"), "term").groupBy(doc, group).agg(F.sum(F.col("wd") * F.col("wg")).alias("s")).where("s > 0")
+    weight = (1 + F.log("tf")) * F.col("idf")
+    groups = group_counts.join(idf, "term").select("term", group, weight.alias("wg"))
+    lengths = groups.groupBy(group).agg(F.sqrt(F.sum(F.col("wg") * F.col("wg"))).alias("_lg"))
+    # a row a term: as many entries as there are groups
+    terms = idf.join(groups.groupBy("term").agg(F.collect_list(F.struct(F.lit(False).alias("own"), F.col(group).alias("g"), F.col("wg").alias("w"))).alias("gs")), "term", "left")
+    d = doc_counts.join(terms, "term").withColumn("w", weight)
+    own = F.array(F.struct(F.lit(True).alias("own"), F.lit(None).cast(group_counts.schema[group].dataType).alias("g"), F.col("w").alias("w")))
+    each = d.select(doc, "w", F.explode(F.when(F.col("gs").isNull(), own).otherwise(F.concat(own, "gs"))).alias("x"))
+    sums = each.groupBy(doc, F.col("x.own").alias("own"), F.col("x.g").alias(group)).agg(F.sum(F.col("w") * F.col("x.w")).alias("s"))
+    length = F.sqrt(F.max(F.when(F.col("own"), F.col("s"))).over(Window.partitionBy(doc)))
+    dot = sums.withColumn("_ld", length).where(~F.col("own") & (F.col("s") > 0)).join(lengths, group).withColumn("s", F.col("s") / F.col("_ld") / F.col("_lg"))
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc(F.round("s", 12)), F.asc(group)))
     return dot.withColumn("affinity_rank", rank).select(doc, group, F.round("s", 6).alias("score"), "affinity_rank")
 
