@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import composites, graph, relational, vectors
 from lodestar.operators.helpers import page
-from lodestar.sources import markdown
+from lodestar.sources import markdown, state
 from lodestar.sources.roles import Roles
 
 
@@ -142,6 +142,11 @@ class Api:
     def fit(self, facets: list[list[float]], k: int = 8) -> DataFrame:
         return vectors.multi_facet(self.r.passages, facets, k)
 
+    def store_state(self) -> DataFrame:
+        """name, state and reason of the tables that search needs; never fails."""
+        at = self.r.sf_dir
+        return state.store_states(self.r.spark, {"passages": (f"{at}/embeddings.parquet", ["vec_id", "label", "embedding"]), "theses": (f"{at}/documents.parquet", ["doc_id", "text"])})
+
     def index_status(self) -> DataFrame:
         return vectors.vector_coverage(self.r.passages)
 

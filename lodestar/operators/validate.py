@@ -80,6 +80,21 @@ def shape_problems(rows: DataFrame, required: list[str], enums: dict[str, list[s
     return reduce(DataFrame.unionByName, out)
 
 
+def entry_problems(rows: DataFrame, required: list[str], known: list[str]) -> DataFrame:
+    """Entries of curated files, as JSON (name, entry): not an object, keys that nobody knows, required keys that are missing or
+    null. subject: the entry's name, and the key."""
+    keyed = rows.select(F.col("name").cast("string").alias("name"), F.from_json("entry", "map<string,string>").alias("m"))
+    objects = keyed.where("m is not null")
+
+    def keys(found) -> DataFrame:
+        return objects.select("name", F.explode(found).alias("key"))
+
+    subject = F.concat_ws("~", "name", "key")
+    unknown = F.array_except(F.map_keys("m"), F.array(*[F.lit(k) for k in known]))
+    missing = F.filter(F.array(*[F.lit(k) for k in required]), lambda k: F.col("m")[k].isNull())
+    return _rule(keyed.where("m is null"), "not-an-object", F.col("name")).unionByName(_rule(keys(unknown), "unknown-key", subject)).unionByName(_rule(keys(missing), "missing-key", subject))
+
+
 def foreign_key_problems(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
     p = parent.select(F.col(parent_key or key).alias(key))
     return _rule(child.where(F.col(key).isNotNull()).join(p, key, "left_anti").select(key).distinct(), "no-parent", F.col(key))

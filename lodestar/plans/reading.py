@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import affinity, composites, graph, helpers, relational, versions
+from lodestar.operators import affinity, composites, graph, helpers, relational, validate, versions
 from lodestar.plans.catalogue import _edges, register
 from lodestar.sources.roles import Roles
 
@@ -87,3 +87,13 @@ def reindexed_documents(r: Roles) -> DataFrame:
         versions.reindex(store, rows.withColumn("sha", F.sha2("text", 256)), lambda t: F.split(t, "\n"))
     chunks = store.read("chunks").groupBy("handle").agg(F.count("*").alias("stored"))
     return store.read("documents").join(chunks, "handle").select("handle", "sha", "chunks", "stored")
+
+
+@register("entry_validation", "", """SELECT 'not-an-object' AS rule, CAST(doc_id AS VARCHAR) AS subject FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT 'unknown-key', doc_id || '~note' FROM documents WHERE doc_id % 11 > 0 AND doc_id % 7 = 0
+  UNION ALL SELECT 'missing-key', doc_id || '~lang' FROM documents WHERE doc_id % 11 > 0 AND doc_id % 5 = 0 UNION ALL SELECT 'missing-key', doc_id || '~source' FROM documents WHERE doc_id % 11 > 0 AND doc_id % 3 = 0""")
+def entry_validation(r: Roles) -> DataFrame:
+    """Entries with a key too many, a null in place of a value, a key too few, or that are no objects."""
+    k = F.col("doc_id")
+    parts = [F.concat(F.lit('"handle": '), k.cast("string")), F.when(k % 5 > 0, F.concat(F.lit('"lang": "'), "lang", F.lit('"'))).otherwise('"lang": null'), F.when(k % 3 > 0, F.concat(F.lit('"source": "'), "source", F.lit('"'))), F.when(k % 7 == 0, '"note": {"a": [1, 2]}')]
+    entry = F.when(k % 11 == 0, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+    return validate.entry_problems(r.table("documents").select(k.alias("name"), entry.alias("entry")), ["handle", "lang", "source"], ["handle", "lang", "source", "title"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.api import Api
 from lodestar.operators import affinity, helpers, versions
-from lodestar.sources import markdown
+from lodestar.sources import markdown, state
 from lodestar.sources.roles import Roles
 
 DATA = "/root/testdata/sf0.001"
@@ -176,3 +176,12 @@ def test_api_composites(api, tmp_path):
     spelled = api.funding({"1-URGENT": "2-HIGH"}).collect()
     plain = {x.funder: x.project_count for x in api.funding().collect()}
     assert {x.funder: x.project_count for x in spelled}["2-HIGH"] == plain["1-URGENT"] + plain["2-HIGH"]
+
+
+def test_store_states(spark, api, tmp_path):
+    spark.range(1).write.parquet(f"{tmp_path}/t")
+    (tmp_path / "empty").mkdir()
+    got = {x.name: (x.state, x.reason) for x in state.store_states(spark, {"ok": (f"file://{tmp_path}/t", ["id"]), "none": (f"file://{tmp_path}/x", []), "lacks": (f"file://{tmp_path}/t", ["id", "v"]), "empty": (f"file://{tmp_path}/empty", []), "odd": ("nowhere://x/y", [])}).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"ok": "ready", "none": "missing", "lacks": "unavailable", "empty": "unavailable", "odd": "unavailable"}
+    assert got["ok"][1] is None and got["lacks"][1].endswith("lacks v")
+    assert {x.state for x in api.store_state().collect()} == {"ready"}
