@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import affinity, composites, graph, helpers, relational, validate, versions
+from lodestar.operators import affinity, bibliography, composites, graph, helpers, relational, validate, versions
 from lodestar.plans.catalogue import _edges, register
 from lodestar.sources.roles import Roles
 
@@ -97,3 +99,50 @@ def entry_validation(r: Roles) -> DataFrame:
     parts = [F.concat(F.lit('"handle": '), k.cast("string")), F.when(k % 5 > 0, F.concat(F.lit('"lang": "'), "lang", F.lit('"'))).otherwise('"lang": null'), F.when(k % 3 > 0, F.concat(F.lit('"source": "'), "source", F.lit('"'))), F.when(k % 7 == 0, '"note": {"a": [1, 2]}')]
     entry = F.when(k % 11 == 0, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
     return validate.entry_problems(r.table("documents").select(k.alias("name"), entry.alias("entry")), ["handle", "lang", "source"], ["handle", "lang", "source", "title"])
+
+
+#: Every seventh document has another kind of list: five styles, paragraphs, and numbered entries without a heading at the end
+#: of the text; the second kind has two lists, far apart. {d}: document, {i}: entry, {y}: year, {doi}: a DOI for even entries.
+LISTS = (
+    '{i}. Author, A. and Other, B., "Findings of document {d} number {i}", Journal of results, {y}. {doi}',
+    '[{i}] Author, A. and Other, B., "Findings of document {d} number {i}", Journal of results, {y}. {doi}',
+    '[Aut {d} et al.] Author, A. and Other, B., "Findings of document {d} number {i}", Journal of results, {y}. {doi}',
+    "Author, A. and Other, B. ({y}). Findings of document {d} number {i}. Press of science, Town. {doi}",
+    "Maria Author, Ana Other, and many friends of results. Findings of document {d} number {i}. Journal of results, {y}. {doi}",
+    "the group of the town, with many friends of results. Findings of document {d} number {i}. Journal of results, {y}. {doi}",
+)
+_SQL_ENTRY = "CASE s " + " ".join(
+    f"WHEN {k} THEN '" + x.replace("{d}", "' || doc_id || '").replace("{i}", "' || i || '").replace("{y}", "' || y || '").replace("{doi}", "' || doi || '") + "'" for k, x in enumerate(LISTS)
+) + " END"
+REFERENCE_STYLES = f"""WITH k AS (SELECT doc_id, doc_id % 7 AS k, CAST(2000 + doc_id % 20 AS VARCHAR) AS y FROM documents),
+  l AS (SELECT *, CASE WHEN k = 6 THEN 0 ELSE k END AS s, 0 AS part FROM k UNION ALL SELECT *, 3, 1 FROM k WHERE k = 1),
+  e AS (SELECT *, CASE WHEN i % 2 = 0 THEN 'doi:10.1234/D' || doc_id || '.' || i ELSE '' END AS doi FROM l, range(1, 25) AS t(i) WHERE i <= CASE WHEN k = 6 THEN 24 ELSE 16 END),
+  x AS (SELECT *, rtrim({_SQL_ENTRY}) AS entry FROM e)
+  SELECT CAST(doc_id AS VARCHAR) AS slug, CAST(i - 1 + 16 * part AS INT) AS ordinal, ['numbered', 'bracketed', 'labelled', 'authoryear', 'authorfull', 'blankline'][s + 1] AS style, entry, regexp_replace(entry, '^(\\[[^\\]]*\\]|[0-9]+\\.) ', '') AS display, 'Findings of document ' || doc_id || ' number ' || i AS title, y AS year,
+  CASE WHEN s < 5 THEN 'Author' END AS first_author, CASE WHEN i % 2 = 0 THEN '10.1234/d' || doc_id || '.' || i END AS doi, CASE WHEN s < 5 THEN 'author' ELSE '' END || '|findingsofdocument' || doc_id || 'number' || i AS title_key FROM x"""
+
+
+@register("reference_styles", "", REFERENCE_STYLES)
+def reference_styles(r: Roles) -> DataFrame:
+    """Lists of every style behind each document's text, with DOIs, two lists in one text, and lists without a heading."""
+    d = F.col("doc_id")
+    year = (2000 + d % 20).cast("string")
+
+    def told(style: int, n: int, sep: str = "\n") -> Column:
+        def entry(i: Column) -> Column:
+            doi = F.when(i % 2 == 0, F.concat(F.lit("doi:10.1234/D"), d.cast("string"), F.lit("."), i.cast("string"))).otherwise("")
+            values = {"d": d.cast("string"), "i": i.cast("string"), "y": year, "doi": doi}
+            pieces = re.split(r"\{(\w+)\}", LISTS[style])
+            return F.rtrim(F.concat(*[values[x] if at % 2 else F.lit(x) for at, x in enumerate(pieces) if x]))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), entry), sep)
+
+    prose = F.lit("\n" + "Prose of a chapter\n" * 100)
+    lists = F.concat(F.lit("\nReferences\n"), told(0, 16))
+    for k in (2, 3, 4):
+        lists = F.when(d % 7 == k, F.concat(F.lit("\n# Bibliografia\n"), told(k, 16))).otherwise(lists)
+    lists = F.when(d % 7 == 5, F.concat(F.lit("\n12 Works cited:\n\n"), told(5, 16, "\n\n"))).otherwise(lists)
+    lists = F.when(d % 7 == 1, F.concat(F.lit("\nREFERENCES\n"), told(1, 16), prose, F.lit("References\n"), told(3, 16))).otherwise(lists)
+    lists = F.when(d % 7 == 6, F.concat(F.lit("\n" * 40), told(0, 24))).otherwise(lists)
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), lists)
+    return bibliography.parse_references(r.table("documents").select(d.cast("string").alias("slug"), body.alias("text")))
