@@ -2,15 +2,15 @@
 
 Base kinds are found in the text as it stands (e-mail, IPv4, card, phone; leftmost, not overlapping within a kind). Then a
 chain of transducers rewrites the text where it holds disguises: look-alike letters and full-width or other digits become
-ASCII, zero-width characters vanish, spelled digits of a run become figures, and "(at)", "[dot]", "name at host dot com"
-become signs. Each transducer carries, for every character it emits, the source span that it came from; what the same
+ASCII, zero-width characters vanish, character references become their signs, spelled digits of a run become figures, and
+"(at)", "[dot]", "(a)", "name at host dot com", "name_at_host_dot_com" become signs. Each transducer carries, for every character it emits, the source span that it came from; what the same
 patterns find in the rewritten text is mapped back to source characters. Such a span is added if it covers a disguise, unless
 a base span of its kind covers it; a base span may be a part of it, and base spans always stay.
 
 Words alone ("at", "dot", one spelled digit) rewrite nothing: at/dot words count only as a whole address
-``word at word dot word`` or as four short numbers, spelled digits only in runs of at least seven. Words for the signs
-and for digits are read in English, German, Spanish, French, Portuguese and Italian. "name at host.com" is prose as often as
-not and stays.
+``word at word dot word`` or as four short numbers, spelled digits only in runs of at least seven, or of four behind a plus.
+Words for the signs and for digits are read in English, German, Spanish, French, Portuguese and Italian. "name at host.com" is
+prose as often as not and counts only right behind a verb of mail ("write to name at host.com").
 
 Defined cases: a null text is empty and has no spans; rows that repeat are searched each; an empty table gives no rows;
 extra columns are ignored; no pattern backtracks over more than one run of its characters, so long runs stay linear.
@@ -117,12 +117,19 @@ DIGITS = (
 )
 SPELLED = {word: str(figure) for figure, words in enumerate(DIGITS) for word in words.split()}
 #: Words for the two signs that go together; those of the second row are nothing else in prose, so any word for a dot goes with them.
-SIGNS = (("at|ät", "dot|punkt"), ("arroba|arobase|arrobase|chiocciola", "dot|punkt|punto|ponto|point"))
+SIGNS = (("at|ät", "dot|punkt"), ("arroba|arobase|arrobase|chiocciola", "dot|punkt|punto|ponto|point"), ("at|ät", "punto|ponto|point"))
 AT, DOT = "|".join(at for at, _ in SIGNS), SIGNS[1][1]
 #: Words after "at" that are prose, not hosts ("look at the dot com era").
 NOT_HOSTS = frozenset("a all an any each her his it its my no our that the their these this those which your".split())
 #: Endings that count behind a blank, a point and a blank, where a sentence may end as well.
 ENDINGS = frozenset("com org net edu gov io info co biz de fr es uk eu pt it nl us ca br mx".split())
+#: Endings that count where an English or German sign meets a Romance point ("at melting point it"), and behind short signs.
+GENERIC = frozenset("com org net edu gov info io".split())
+#: Words before "at" that are prose, not names.
+NOT_NAMES = frozenset(
+    "am and are arrive arrived back be been down end ended ends her here him is it live lived lives look looked looking looks me meet met more not online or out "
+    "start started starts stay stayed stays them there up us was were work worked works you".split()
+)
 #: An ending longer than this needs a sign or a figure in the name, or a word of mail close before it.
 SHORT, NEAR = 4, 60
 
@@ -135,9 +142,21 @@ _SPELLED_HINT = re.compile(
     rf"(?<=[a-zé0-9]){_SEP}(?:{'|'.join(SPELLED)}){_SEP}(?:{_FIGURE})(?![^\W_])|(?<=[0-9]){_SEP}(?:{'|'.join(SPELLED)})(?![^\W_])"
     r"|(?<=[a-zé])[\x20,-]{1,2}[0-9]+(?:[\x20,-]{1,2}[0-9]+){4}"
 )
+#: Behind a plus, in figures or as a word, four numbers are enough, since only a whole telephone number counts.
+_PLUS_RUN = re.compile(rf"(?:\+\x20?|(?<![^\W_])(?:plus|più|mais)\x20)(?:(?:{_FIGURE})[\x20,-]{{1,2}}){{3,}}(?:{_FIGURE})(?![^\W_])", re.I)
+_REFERENCE = re.compile(r"&(?:#0*(\d{2,3})|#x0*([0-9a-f]{2})|(commat|period));", re.I)
+#: Addresses whose signs are joined to the words, or one letter in brackets: whole ones with a usual ending only.
+_JOINED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}?([_-]at[_-])[A-Za-z0-9-]{{1,63}}?((?:[_-]dot[_-][A-Za-z0-9]{{1,63}}){{0,4}}?[_-]dot[_-](?:{'|'.join(sorted(ENDINGS))}))(?![A-Za-z0-9_-])", re.I)
+_JOINED_DOT = re.compile(r"[_-]dot[_-]", re.I)
+_SHORT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20{{0,2}}[(\[{{]a[)\]}}]\x20{{0,2}})[A-Za-z0-9-]{{1,63}}((?:(?:\.|\x20{{0,2}}[(\[{{](?:d|{DOT})[)\]}}]\x20{{0,2}})[A-Za-z0-9-]{{1,63}}){{0,4}}?(?:\.|\x20{{0,2}}[(\[{{](?:d|{DOT})[)\]}}]\x20{{0,2}})(?:{'|'.join(sorted(GENERIC))}))(?![A-Za-z0-9-])", re.I)
+_SHORT_DOT = re.compile(rf"\x20{{0,2}}[(\[{{](?:d|{DOT})[)\]}}]\x20{{0,2}}", re.I)
+#: What stands right before the name of an address with a plain host.
+_WRITE_TO = re.compile(r"(?<![^\W_])(?:e-?mail|write|contact|reach|ping|message)(?:\x20(?:is|to))?:?\x20$", re.I)
 _BRACKET_AT = re.compile(rf"\x20{{0,2}}(?:[(\[{{<](?:{AT})[)\]}}>]|\(@\)|\[@\])\x20{{0,2}}", re.I)
 _BRACKET_DOT = re.compile(rf"\x20{{0,2}}(?:[(\[{{<](?:{DOT})[)\]}}>]|\(\.\)|\[\.\])\x20{{0,2}}", re.I)
 _MAIL = re.compile(r"mail|contact|kontakt|correo|courriel|correio|schreib|write|reach|escrib|écri|@", re.I)
+#: In lower case, what every address with a plain host and a verb of mail holds.
+_WRITE_AT = re.compile(r"(?:mail|write|contact|reach|ping|message)(?:\x20(?:is|to))?:?\x20[a-z0-9._%+-]{1,64}\x20at\x20[a-z0-9-]+\.")
 _SIGN_DOT = re.compile(rf"\x20(?:{DOT}|\.)\x20", re.I)
 _WORD_DOT = re.compile(rf"\x20(?:{DOT})\x20", re.I)
 _WORDY_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\x20(?:{DOT})\x20|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
@@ -211,9 +230,12 @@ def _wordy(pattern: re.Pattern, text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in pattern.finditer(text):
         spoken = bool(_WORD_DOT.search(m[0]))
-        if m[2] != "@" and m[3].lower() in NOT_HOSTS:
+        if m[2] != "@" and (m[3].lower() in NOT_HOSTS or m[1].lower() in NOT_NAMES):
+            continue
+        if pattern is _ADDRESSES[2] and m[5].lower() not in GENERIC:
             continue
-        if not (spoken or m[2] == " @ ") or (not _WORD_DOT.search(m[4]) and " . " in m[4] and m[5].lower() not in ENDINGS):
+        told = m[5].lower() in ENDINGS and bool(_WRITE_TO.search(text, max(0, m.start() - NEAR), m.start()))
+        if not (spoken or m[2] == " @ " or told) or (not _WORD_DOT.search(m[4]) and " . " in m[4] and m[5].lower() not in ENDINGS):
             continue
         if len(m[5]) > SHORT and not (re.search(r"[._%+0-9-]", m[1]) or _WORD_DOT.search(m[1]) or _MAIL.search(text, max(0, m.start() - NEAR), m.end(2))):
             continue
@@ -223,6 +245,32 @@ def _wordy(pattern: re.Pattern, text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _references(text: str) -> list[tuple[int, int, str]]:
+    """Characters for references to ASCII signs, letters and figures."""
+    codes = ((m, {"commat": 64, "period": 46}[m[3].lower()] if m[3] else int(m[1]) if m[1] else int(m[2], 16)) for m in _REFERENCE.finditer(text))
+    return [(m.start(), m.end(), chr(c)) for m, c in codes if 32 < c < 127]
+
+
+def _plus(text: str) -> list[tuple[int, int, str]]:
+    """The sign and the figures of numbers behind a plus that hold spelled ones."""
+    out = []
+    for run in _PLUS_RUN.finditer(text):
+        parts = [(run.start() + m.start(), run.start() + m.end(), m[0].lower()) for m in re.finditer(r"[^\x20,+-]+", run[0])]
+        parts = parts if run[0][0] == "+" else parts[1:]
+        if any(word in SPELLED for _, _, word in parts):
+            out.append((run.start(), parts[0][0], "+"))
+            for (s, e, word), (following, _, _) in zip(parts, [*parts[1:], (parts[-1][1], 0, "")]):
+                out.append((s, following, SPELLED[word])) if word in SPELLED else out.append((e, following, ""))
+    return [x for x in out if x[0] < x[1]]
+
+
+def _short(text: str) -> list[tuple[int, int, str]]:
+    """Signs for those of whole addresses that are joined to their words or one letter in brackets."""
+    found = [(m, dot) for pattern, dot in ((_JOINED, _JOINED_DOT), (_SHORT, _SHORT_DOT)) for m in pattern.finditer(text)]
+    out = [(m.start(1), m.end(1), "@") for m, _ in found]
+    return sorted(out + [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for m, dot in found for d in dot.finditer(m[2])])
+
+
 def _wordy_ips(text: str) -> list[tuple[int, int, str]]:
     return [(m.start() + d.start(), m.start() + d.end(), ".") for m in _WORDY_IP.finditer(text) for d in _WORD_DOT.finditer(m[0])]
 
@@ -231,18 +279,26 @@ def disguised(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, i
     """Spans that only the rewritten text shows, in source characters."""
     letters = [] if text.isascii() else _letters(text)
     low = text.lower()
-    spelled = bool(_SPELLED_HINT.search(low))
+    plus = ("+" in low or "plus " in low or "più " in low or "mais " in low) and bool(_plus(text))
+    spelled = plus or bool(_SPELLED_HINT.search(low))
+    references = ("&#" in low or "&commat;" in low or "&period;" in low) and bool(_references(text))
+    short = any(x in low for x in ("_at_", "-at-", "(a)", "[a]", "{a}")) and bool(_short(text))
     signs = any(x in text for x in "([{<") and bool(_BRACKET_AT.search(text) or _BRACKET_DOT.search(text))
     if not signs:
         # what _wordy and _wordy_ips need to rewrite anything
-        signs = " @ " in low or (any(f" {x} " in low for x in DOT.split("|")) and ("@" in low or any(f" {x} " in low for x in AT.split("|")) or bool(_WORDY_IP.search(low))))
-    if not (letters or spelled or signs):
+        signs = " @ " in low or (" at " in low and bool(_WRITE_AT.search(low))) or (any(f" {x} " in low for x in DOT.split("|")) and ("@" in low or any(f" {x} " in low for x in AT.split("|")) or bool(_WORDY_IP.search(low))))
+    if not (letters or spelled or signs or references or short):
         return []
     tape = Tape(text)
     tape.rewrite(letters)
+    if references:
+        tape.rewrite(_references(tape.text))
     if spelled or letters:
+        tape.rewrite(_plus(tape.text))
         tape.rewrite(_spelled(tape.text))
-    if signs or letters:
+    if short or letters:
+        tape.rewrite(_short(tape.text))
+    if signs or letters or references:
         tape.rewrite([(m.start(), m.end(), "@") for m in _BRACKET_AT.finditer(tape.text)])
         tape.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(tape.text)])
         for pattern in _ADDRESSES:
