@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import composites, graph, relational, vectors
-from lodestar.operators.helpers import page
+from lodestar.operators import affinity, composites, graph, relational, vectors
+from lodestar.operators.helpers import page, paged
 from lodestar.sources import markdown, state
 from lodestar.sources.roles import Roles
 
@@ -36,7 +36,8 @@ class Api:
         return relational.projects_per_group(self.r.groups, self.r.project_groups)
 
     def funding(self, spellings: dict[str, str] | None = None) -> DataFrame:
-        return relational.funding_breakdown(self.r.projects, spellings)
+        """Spellings of one funder, the fixed ones unless others are given, count as one."""
+        return relational.funding_breakdown(self.r.projects, dict.fromkeys(relational.FCT_SPELLINGS, "FCT") if spellings is None else spellings)
 
     def budget_by_group(self) -> DataFrame:
         return relational.budget_by_group(self.r.projects, self.r.groups, self.r.project_groups)
@@ -89,9 +90,23 @@ class Api:
     def partner_theses(self) -> DataFrame:
         return relational.partner_thesis_links(self.r.partners, self.r.projects, self.r.project_people, self.r.people, self.r.thesis_people, self.r.theses)
 
-    def list_theses(self, year: str | None = None, limit: int = 50) -> DataFrame:
-        t = self.r.theses if year is None else self.r.theses.where(F.col("year") == year)
-        return page(t, [F.asc("handle")], _limit(limit, 500))
+    def list_theses(self, year: str | None = None, limit: int = 50, group: str | None = None, content: DataFrame | None = None, total: bool = False) -> DataFrame:
+        """Theses with their groups and tier. content (handle, group_code, content_share): the signal of the texts, where it has
+        been worked out; total: with the number of all theses found, in a column."""
+        r = self.r
+        people = affinity.people_signal(r.thesis_people, relational.person_group_shares(r.project_people, r.project_groups))
+        agreed = affinity.agreement(r.theses, people, people.limit(0).withColumnRenamed("people_share", "content_share") if content is None else content)
+        return (paged if total else page)(composites.theses_of_group(r.theses, agreed, year, group), [F.asc("handle")], _limit(limit, 500))
+
+    def identity_coverage(self) -> DataFrame:
+        r = self.r
+        return composites.identity_coverage(relational.match_tiers(r.thesis_people), relational.attribution_coverage(r.thesis_people, r.listings, r.theses))
+
+    def person_keywords(self, slug, keywords: DataFrame, theses: bool = False) -> DataFrame:
+        """Keywords (of projects; theses: of theses) that a person took part in, the commonest first."""
+        r, key = self.r, "handle" if theses else "project_id"
+        members = r.thesis_people.where("match_status in ('exact', 'confident')") if theses else r.project_people
+        return relational.person_keywords(keywords, members, r.aliases, [slug], key).orderBy(F.desc("n"), "keyword")
 
     # collaboration
     def edges(self, kind: str = "co_project") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,58 @@ def verdict_maps(pairs: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def verdict_rows(pairs: DataFrame, full_names: DataFrame, authors: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Every map that curated verdicts give, as rows map, key, value: alias and evidence (of pairs ruled the same), reviewed and
+    distinct (pairs in order), full_name, exempt (a row for each handle of a reviewed author) and excluded (no value).
+
+    pairs: a, b, verdict, canonical, evidence; full_names: slug, full_name; authors: slug, handles; duplicates:
+    duplicate_handle. The inputs are taken as validated."""
+    maps, same = verdict_maps(pairs), pairs.where("verdict = 'same'")
+    other = F.when(F.col("canonical") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+
+    def rows(df: DataFrame, name: str, key: Column, value: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("map"), key.cast("string").alias("key"), value.cast("string").alias("value"))
+
+    a, b = F.col("a"), F.col("b")
+    found = [
+        rows(maps["aliases"], "alias", F.col("from_slug"), F.col("to_slug")),
+        rows(same, "evidence", other, F.col("evidence")),
+        rows(maps["reviewed"], "reviewed", a, b),
+        rows(maps["distinct"], "distinct", a, b),
+        rows(full_names, "full_name", F.col("slug"), F.col("full_name")),
+        rows(authors.select("slug", F.explode("handles").alias("handle")).distinct(), "exempt", F.col("slug"), F.col("handle")),
+        rows(duplicates.select("duplicate_handle").distinct(), "excluded", F.col("duplicate_handle"), F.lit(None)),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def identity_coverage(tiers: DataFrame, coverage: DataFrame) -> DataFrame:
+    """How far names reach people, as rows section, name, measure, value: decisions by role and tier, distinct names, edges of
+    supervision (all, and those of theses that the own directory touches, each with what either directory resolved), theses
+    and pairs of supervisors. tiers: ``match_tiers``; coverage: the one row of ``attribution_coverage``."""
+    places = [
+        ("names", "author", "total", "author_names"), ("names", "author", "resolved", "author_names_resolved"), ("names", "supervisor", "total", "supervisor_names"), ("names", "supervisor", "resolved", "supervisor_names_resolved"),
+        ("edges", "all", "total", "edges"), ("edges", "all", "resolved", "edges_resolved"), ("edges", "all", "resolved_own", "edges_own"), ("edges", "all", "resolved_listed", "edges_uc"),
+        ("edges", "touching", "theses", "touching_theses"), ("edges", "touching", "total", "touching_edges"), ("edges", "touching", "resolved", "touching_resolved"),
+        ("theses", "all", "total", "theses_total"), ("theses", "all", "with_supervisor", "theses_with_supervisor"), ("theses", "all", "with_resolved", "theses_with_resolved"), ("theses", "all", "fully_resolved", "theses_fully_resolved"),
+        ("pairs", "supervisors", "total", "pairs"), ("pairs", "supervisors", "resolved", "pairs_resolved"), ("people", "supervisors", "total", "supervisor_people"),
+    ]
+    cells = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.lit(m).alias("measure"), F.col(c).cast("long").alias("value")) for s, n, m, c in places])
+    flat = coverage.select(F.inline(cells))
+    return flat.unionByName(tiers.select(F.lit("tiers").alias("section"), F.col("role").alias("name"), F.col("match_status").alias("measure"), F.col("names").cast("long").alias("value")))
+
+
+def theses_of_group(theses: DataFrame, agreed: DataFrame, year: str | None = None, group: str | None = None) -> DataFrame:
+    """theses with their groups (one where people and content agree or only one of them speaks, two where they differ) and the
+    tier that says how far to trust them; of one year and one group where given. agreed: ``affinity.agreement``."""
+    codes = F.array_sort(F.array_distinct(F.array_compact(F.array("people_code", "content_code"))))
+    kept = theses if year is None else theses.where(F.col("year") == year)
+    if group is not None:
+        agreed = agreed.where((F.col("people_code") == group) | (F.col("content_code") == group))
+    placed = agreed.select("handle", codes.alias("groups"), "tier")
+    return kept.join(placed, "handle", "left" if group is None else "inner")
+
+
 def fit_response(matches: DataFrame, theses: DataFrame, thesis_people: DataFrame, interests: list[str]) -> DataFrame:
     """Matched theses with the interest that won, supervisors and title. matches: handle, distance, facet, rank."""
     names = F.array(*[F.lit(i) for i in interests])

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from lodestar.operators.helpers import canonical_people, canonicalize, contains_term, page, paged, top_n_with_other
 
 UNGROUPED, NO_FUNDING = "UNGROUPED", "(no funding listed)"
+#: Spellings that all name the funder FCT.
+FCT_SPELLINGS = [
+    "FCT - Fundação para a Ciência e Tecnologia", "Fundação para a Ciência e Tecnologia", "Fundação para a Ciência e a Tecnologia", "Portuguese Science Foundation", "Fundação para Ciência e Tecnologia",
+    "Fundação da Ciência e Tecnologia", "Fundação para a Ciência e a Tecnologia (FCT)", "FCT- Fundação para a Ciência e a Tecnologia", "FCT - Fundação para a Ciência e a Tecnologia",
+    "FCT - Portuguese Science Foundation", "FCT (POCI-01-0145-FEDER-029297)", "FCT-Fundação para a Ciência e a Tecnologia (POC-Conhecimento)", "FCT: PTDC/EIA-EIA/102185/2008", "FCT: PTDC/CCI-COM/3171/2021",
+    "FCT- Grid Initiative", "FCT Sapiens 33572/99", "FCT PTDC/EIA-EIA/100752/2008", "FCT PRAXIS", "FCT POCI-01-0145-FEDER-032504", "FCT /POSI/SRI/41234/2001, 2002-2005.", "FCT - project PTDC/EEI-SCR/2072/2014",
+    "FCT - PTDC/GES/70168/2006", "FCT - PTDC/EEI-TEL/3684/2014", "FCT - PTDC/ECM-TRA/1898/2012", "FCT - PRAXIS/C/EEI/11223/1998", "FCT - PRAXIS/C/EEI/10168/1998",
+]
 
 
 def scalars(*frames: DataFrame) -> DataFrame:
@@ -283,3 +291,20 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def keyword_counts(words: DataFrame, n: int = 50) -> DataFrame:
     """word, doc_id to the n words found in the most documents."""
     return page(words.groupBy("word").agg(F.countDistinct("doc_id").alias("documents")), [F.desc("documents"), F.asc("word")], n)
+
+
+def person_keywords(keywords: DataFrame, members: DataFrame, aliases: DataFrame, slugs: list | None = None, key: str = "project_id", keyword: str = "keyword", person: str = "person_slug") -> DataFrame:
+    """person, keyword, count of key: the keywords of what a person, under any of their names, took part in; for all people at
+    once, or for the canonical slugs given."""
+    who = canonicalize(members.where(F.col(person).isNotNull()).select(key, person), aliases, person)
+    if slugs is not None:
+        who = who.where(F.col(person).isin(slugs))
+    return who.distinct().join(keywords.select(key, keyword).distinct(), key).groupBy(person, keyword).agg(F.count("*").alias("n"))
+
+
+def person_pages(people: DataFrame, fields: DataFrame) -> DataFrame:
+    """slug, page: the address whose last segment is the slug, the least of several, null where none was published."""
+    last = F.element_at(F.split("href", "/"), -1)
+    found = fields.where(F.col("href").contains("/")).groupBy(last.alias("_last")).agg(F.min("href").alias("page"))
+    slug = people.select("slug", F.col("slug").cast("string").alias("_last"))
+    return slug.join(found, "_last", "left").select("slug", "page")

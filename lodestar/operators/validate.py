@@ -66,11 +66,18 @@ def duplicate_thesis_problems(pairs: DataFrame, theses: DataFrame, same: list[st
 
 
 def author_problems(thesis_people: DataFrame, exempt: DataFrame) -> DataFrame:
-    """A resolved person who authors two theses, unless all of the claims are reviewed."""
-    claims = thesis_people.where("role = 'author' and person_slug is not null").select("person_slug", "handle").distinct()
-    plain = claims.join(exempt.select("person_slug", "handle"), ["person_slug", "handle"], "left_anti").groupBy("person_slug").agg(F.count("*").alias("plain"))
-    many = claims.groupBy("person_slug").agg(F.count("*").alias("n")).where("n > 1")
-    return _rule(many.join(plain, "person_slug"), "two-theses", F.col("person_slug"))
+    """A resolved person who authors two theses, unless all of the claims are reviewed; two author rows of one thesis are never
+    excused."""
+    claims = thesis_people.where("role = 'author' and person_slug is not null").groupBy("person_slug", "handle").agg(F.count("*").alias("n"))
+    reviewed = exempt.select("person_slug", "handle", F.lit(True).alias("_reviewed")).distinct()
+    each = claims.join(reviewed, ["person_slug", "handle"], "left").groupBy("person_slug").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count_if(F.col("_reviewed").isNull()).alias("plain"))
+    return _rule(each.where("n > 1 and (plain > 0 or most > 1)"), "two-theses", F.col("person_slug"))
+
+
+def excluded_problems(theses: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """A reviewed duplicate (duplicates: duplicate_handle) that is among the theses."""
+    d = duplicates.select(F.col("duplicate_handle").alias("handle"))
+    return _rule(theses.join(d, "handle", "left_semi").select("handle").distinct(), "excluded-thesis", F.col("handle"))
 
 
 def shape_problems(rows: DataFrame, required: list[str], enums: dict[str, list[str]] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from lodestar.plans import catalogue, crawling, harvesting, more, reading, review  # noqa: F401
+from lodestar.plans import catalogue, crawling, harvesting, more, reading, review, verdicts  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
