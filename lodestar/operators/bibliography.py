@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import fold_text
+from lodestar.operators.helpers import written
 
 #: What heads a list of references, what a year and a DOI look like, how an entry begins in each style.
 HEADING = re.compile(
@@ -223,18 +225,32 @@ def parse_references(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("slug").cast("string"), F.col("text").cast("string")).mapInArrow(scan, SCHEMA)
 
 
-def ranged(rows: DataFrame, key: Column, buckets: int = 200) -> DataFrame:
-    """rows with _b, the number of its range of keys: 20 keys a bucket, those of the smallest hashes, set the bounds.
-    Any bounds give right results; what is held for them is 20 x buckets keys, whatever the input."""
-    few = rows.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(20 * buckets).agg(F.sort_array(F.collect_list("_k")).alias("k"))
-    bounds = few.select(F.filter("k", lambda _, i: i % 20 == 19)).scalar()
-    return rows.withColumn("_k", bounds).withColumn("_b", F.size(F.filter("_k", lambda x: x <= key))).drop("_k")
+#: Rows that a range of keys holds, about: a task sorts a few ranges.
+RANGE_ROWS = 100_000
 
 
-def drop_truncated(dois: DataFrame, column: str = "doi") -> DataFrame:
+def ranged(rows: DataFrame, key: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows with _b, the number of its range of keys: as many ranges as the rows ask for; 20 keys a range, those of the
+    smallest hashes, set the bounds. Any bounds give right results. What is held for them is 20 keys a range. A row meets
+    every step-th bound, then the step bounds behind the last one that it reaches: twice the root of the number of ranges.
+
+    rows are read three times (here, and by what looks over the borders of ranges), so they should be a written table."""
+    ranges = max(1, math.ceil(rows.count() / range_rows))
+    if ranges == 1:
+        return rows.withColumn("_b", F.lit(0))
+    few = rows.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(20 * ranges).agg(F.sort_array(F.collect_list("_k")).alias("k"))
+    bounds, step = few.select(F.filter("k", lambda _, i: i % 20 == 19)).scalar(), max(1, math.isqrt(ranges))
+    coarse = F.size(F.filter(F.filter("_k", lambda _, i: i % step == 0), lambda x: x <= key))
+    # the bound at (coarse - 1) * step is reached; those behind it, up to the next coarse one, are looked at
+    fine = F.size(F.filter(F.slice("_k", (F.greatest("_c", F.lit(1)) - 1) * step + 2, step - 1), lambda x: x <= key))
+    placed = rows.withColumn("_k", bounds).withColumn("_c", coarse)
+    return placed.withColumn("_b", F.when(F.col("_c") == 0, 0).otherwise((F.col("_c") - 1) * step + 1 + fine)).drop("_k", "_c")
+
+
+def drop_truncated(dois: DataFrame, column: str = "doi", range_rows: int = RANGE_ROWS) -> DataFrame:
     """DOIs that are no strict prefix of another. In order, a prefix stands right before something it begins; ranges are sorted
     by themselves and the last of a range looks at the first of the next one."""
-    d = ranged(dois.where(F.col(column).isNotNull()).select(column).distinct(), F.col(column))
+    d = ranged(written(dois.where(F.col(column).isNotNull()).select(column).distinct()), F.col(column), range_rows)
     border = d.groupBy("_b").agg(F.min(column).alias("_m")).withColumn("_m", F.lead("_m").over(Window.orderBy("_b")))
     inside = d.withColumn("_n", F.lead(column).over(Window.partitionBy("_b").orderBy(column)))
     # at most one row a bucket is broadcast
@@ -258,9 +274,9 @@ def group_works(parsed: DataFrame, shown: str = "display") -> DataFrame:
     return keyed.groupBy("work_key", "match_tier").agg(F.min_by(shown, longest).alias("display"), F.min_by("doi", order).alias("doi"), first("year"), first("first_author"), F.count("*").alias("entries"), F.countDistinct("slug").alias("cited_by"))
 
 
-def numbered(works: DataFrame) -> DataFrame:
+def numbered(works: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Ids from 1 by citations, most first, then key: ranges are numbered by themselves behind the sizes of those before."""
-    rows = ranged(works, F.struct(-F.col("cited_by"), F.col("work_key")))
+    rows = ranged(written(works), F.struct(-F.col("cited_by"), F.col("work_key")), range_rows)
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc("cited_by"), "work_key"))

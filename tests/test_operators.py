@@ -178,13 +178,25 @@ def test_truncated_dois(spark):
     assert got == {x for x in d if not any(y != x and y.startswith(x) for y in d)}
     # many of one publisher, cut at every length: ranges end between a prefix and what it begins
     many = sorted({f"10.1016/j.x{i * 7919 % 10007}"[: 12 + i % 6] for i in range(9000)})
-    got = {r[0] for r in bibliography.drop_truncated(spark.createDataFrame([(x,) for x in [*many, None]], "doi string")).collect()}
+    got = {r[0] for r in bibliography.drop_truncated(spark.createDataFrame([(x,) for x in [*many, None]], "doi string"), range_rows=200).collect()}
     assert got == {x for x, y in zip(many, [*many[1:], ""]) if not y.startswith(x)}
+    assert bibliography.drop_truncated(spark.createDataFrame([(None,)], "doi string")).count() == 0
+
+
+def test_ranges_of_keys(spark):
+    """A row's range is the number of bounds that it reaches, whatever the number of ranges; equal keys share one."""
+    for n, size in ((3000, 100), (500, 250), (64, 1), (7, 100)):
+        d = spark.createDataFrame([((i * 7919 % 30011) // 3,) for i in range(n)], "k long")
+        got = sorted((r.k, r._b) for r in bibliography.ranged(d, F.col("k"), size).collect())
+        assert len(got) == n and [b for _, b in got] == sorted(b for _, b in got)
+        assert len({k for k, _ in got}) == len(set(got)) and max(b for _, b in got) <= -(-n // size)
+        if n == 3000:
+            assert len({b for _, b in got}) > 25
 
 
 def test_numbered_works(spark):
     works = [(f"title:{i * 7919 % 30011:05d}", 1 + (i % 97 == 0)) for i in range(9000)]
-    got = bibliography.numbered(spark.createDataFrame(works, "work_key string, cited_by long")).collect()
+    got = bibliography.numbered(spark.createDataFrame(works, "work_key string, cited_by long"), range_rows=100).collect()
     assert [(x.work_key, x.cited_by) for x in sorted(got, key=lambda x: x.reference_id)] == sorted(works, key=lambda x: (-x[1], x[0]))
     assert sorted(x.reference_id for x in got) == list(range(1, 9001))
     assert bibliography.numbered(spark.createDataFrame([], "work_key string, cited_by long")).count() == 0
