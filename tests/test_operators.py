@@ -272,3 +272,36 @@ def test_prose_tokens_fold_and_stop(spark):
     row = spark.createDataFrame([("Não há inteligência SEM a Optimização, the study of ﬁre e 3D nets",)], "t string")
     got = row.select(affinity.prose_tokens(F.col("t"), affinity.STOP_WORDS).alias("x")).first().x
     assert got == ["inteligencia", "sem", "optimizacao", "fire", "nets"]
+
+
+def test_totals_of_chains_are_the_chains_added_up(spark, f):
+    """Entries, roles, mentions, projects, theses and people that come twice, and a person without a thesis."""
+    partners = spark.createDataFrame([(1, "P", "academic"), (1, "P", "academic"), (2, "P", "academic"), (2, "Q", "industry"), (3, "Q", "industry")], "project_id long, partner_name string, partner_type string")
+    twice = [f["projects"].unionByName(f["projects"].where("project_id = 2").withColumn("title", F.lit("Aa"))), f["project_people"], f["people"].unionByName(f["people"].where("slug = 'ada'")), f["thesis_people"].unionByName(f["thesis_people"].where("handle = 'h4'")), f["theses"].unionByName(f["theses"].where("handle = 'h1'"))]
+    keys = ["partner_name", "partner_type", "person_slug", "person_name", "handle", "thesis_role"]
+    chains = relational.partner_thesis_links(partners, *twice).groupBy(*keys).agg(F.count("*").alias("paths"), F.countDistinct("project_id").alias("projects"), F.min("project_title").alias("first_project"))
+    got = rows(relational.partner_thesis_totals(partners, *twice), *keys, "paths", "projects", "first_project")
+    assert got == rows(chains, *keys, "paths", "projects", "first_project")
+    assert ("P", "academic", "ada", "Ada Lovelace", "h4", "supervisor", 24, 2, "Aa") in got
+
+
+def test_partner_thesis_links_makes_no_row_of_a_chain(spark, tmp_path):
+    from lodestar.plans import catalogue
+
+    spark.range(60).selectExpr("id as doc_id", "'t' as text", "'s' as source", "1L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(400).selectExpr("id % 7 as l_orderkey", "1L as l_partkey", "1L as l_suppkey", "cast(id as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select 1L as p_partkey, 'b' as p_brand, 'X' as p_type").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("select 1L as s_suppkey, 'n' as s_name, 1L as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(7).selectExpr("id as o_orderkey", "1.0D as o_totalprice", "date'2020-01-01' as o_orderdate", "'F' as o_orderstatus", "'x' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    df = catalogue.QUERIES["partner_thesis_links"](spark, str(tmp_path))
+    assert df.agg(F.sum("paths")).first()[0] > 5 * 400
+    df = catalogue.QUERIES["partner_thesis_links"](spark, str(tmp_path))
+    found = df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        m = node.metrics().get("numOutputRows")
+        most = max(most, m.get().value()) if m.isDefined() else most
+        below = node.finalPhysicalPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        plan += [below] if below is not None else [node.children().apply(i) for i in range(node.children().size())]
+    assert found and most <= 400
