@@ -57,12 +57,14 @@ def external_problems(external: DataFrame, thesis_people: DataFrame) -> DataFram
 
 
 def duplicate_thesis_problems(pairs: DataFrame, theses: DataFrame, same: list[str]) -> DataFrame:
-    """pairs: duplicate_handle, kept_handle; both exist and agree in the fields of same."""
-    d = theses.select(F.col("handle").alias("duplicate_handle"), F.struct(*same).alias("d"))
-    k = theses.select(F.col("handle").alias("kept_handle"), F.struct(*same).alias("k"))
+    """pairs: duplicate_handle, kept_handle; both exist and agree in the fields of same, in every row of theirs. One problem a pair."""
+    told = theses.groupBy("handle").agg(F.struct(F.min(F.struct(*same)).alias("least"), F.max(F.struct(*same)).alias("most")).alias("told"))
+    d = told.select(F.col("handle").alias("duplicate_handle"), F.col("told").alias("d"))
+    k = told.select(F.col("handle").alias("kept_handle"), F.col("told").alias("k"))
     j = pairs.join(d, "duplicate_handle", "left").join(k, "kept_handle", "left")
     key = F.concat_ws("~", "duplicate_handle", "kept_handle")
-    return _rule(j.where("d is null or k is null"), "missing", key).unionByName(_rule(j.where("d is not null and k is not null").where(~F.col("d").eqNullSafe(F.col("k"))), "differ", key))
+    agree = F.col("d").eqNullSafe(F.col("k")) & F.col("d.least").eqNullSafe(F.col("d.most"))
+    return _rule(j.where("d is null or k is null"), "missing", key).unionByName(_rule(j.where("d is not null and k is not null").where(~agree), "differ", key))
 
 
 def author_problems(thesis_people: DataFrame, exempt: DataFrame) -> DataFrame:

@@ -305,3 +305,18 @@ def test_partner_thesis_links_makes_no_row_of_a_chain(spark, tmp_path):
         below = node.finalPhysicalPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
         plan += [below] if below is not None else [node.children().apply(i) for i in range(node.children().size())]
     assert found and most <= 400
+
+
+def test_duplicates_without_a_successor_are_no_pairs(spark, tmp_path):
+    from lodestar.plans import catalogue, more  # noqa: F401
+
+    ids = [(0,), (1,), (2,), (6,), (7,), (7,), (10,), (None,)]
+    spark.createDataFrame(ids, "doc_id long").withColumn("n_chars", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(catalogue.QUERIES["duplicate_validation"](spark, str(tmp_path)), "rule", "subject")
+    assert got == [("differ", "0~1"), ("differ", "6~7"), ("missing", "1~-1"), ("missing", "7~-1"), ("missing", "7~-1")]
+
+
+def test_duplicates_agree_in_every_row(spark):
+    theses = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (3, "b"), (4, None), (5, None)], "handle long, title string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 3), (4, 5), (4, 9)], "duplicate_handle long, kept_handle long")
+    assert rows(validate.duplicate_thesis_problems(pairs, theses, ["title"]), "rule", "subject") == [("differ", "1~3"), ("differ", "3~3"), ("missing", "4~9")]
