@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import fold, name_parts, name_token_list
+from lodestar.operators.helpers import written
 
 CONFIDENCE = {"exact": 1.0, "confident": 0.8, "ambiguous": 0.4, "unmatched": 0.0}
+#: People of a block, blocks of a cell, and pairs of a task (about), in the search for duplicates.
+BLOCK, CELL, PAIRS_OF_A_TASK = 300, 1000, 2_000_000
 
 
 def _initial_of(t: Column, names: Column) -> Column:
@@ -161,13 +164,25 @@ def possible_duplicates(people: DataFrame, reviewed: DataFrame | None = None) ->
     """Pairs to look at: one surname (the last token), one name's tokens within the other's, and first given names that are
     equal or one the other's initial; a name of one token is its own given name. Reviewed pairs are left out.
 
-    Names meet by surname and the initial of the given name, so a common surname is many keys."""
+    Names are compared, not people: those of one name are dealt out to blocks, blocks meet by surname and the initial of the
+    given name (a common one is a grid of cells), and two blocks that fit become their pairs in a task of their own. What comes
+    out may be quadratic; no task holds more than its share."""
     p = people.select("slug", name_token_list("name").alias("t")).where(F.size("t") > 0)
-    p = p.select("slug", "t", F.element_at("t", -1).alias("last"), F.element_at("t", 1).alias("given")).withColumn("initial", F.substring("given", 1, 1))
-    a, b = p.toDF("a", "ta", "last", "ga", "initial"), p.toDF("b", "tb", "last", "gb", "initial")
+    blocks = p.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    u = p.join(blocks, "t").groupBy("t", F.expr("pmod(xxhash64(slug), _blocks)").alias("block")).agg(F.collect_list("slug").alias("slugs"))
+    u = written(u.select(F.struct("t", "block").alias("u"), "t", F.element_at("t", -1).alias("last"), F.element_at("t", 1).alias("g"), "slugs").withColumn("initial", F.substring("g", 1, 1)))
+    cells = u.groupBy("last", "initial").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_cells"))
+    u = u.join(cells, ["last", "initial"]).withColumn("at", F.expr("cast(pmod(xxhash64(u), _cells) as int)"))
+    a = u.select("last", "initial", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("_cells") - 1)).alias("j"), *[F.col(c).alias(f"{c}a") for c in ("u", "t", "g", "slugs")])
+    b = u.select("last", "initial", F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), *[F.col(c).alias(f"{c}b") for c in ("u", "t", "g", "slugs")])
     within = (F.size(F.array_except("ta", "tb")) == 0) | (F.size(F.array_except("tb", "ta")) == 0)
     agree = (F.col("ga") == F.col("gb")) | (F.length("ga") == 1) | (F.length("gb") == 1)  # the initials are equal
-    pairs = a.join(b, ["last", "initial"]).where("a < b").where(within & agree).select("a", "b")
+    fit = a.join(b, ["last", "initial", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("ua") <= F.col("ub"))).where(within & agree)
+    fit = written(fit.select("slugsa", "slugsb", (F.col("ua") == F.col("ub")).alias("same")))
+    n = fit.agg(F.coalesce(F.sum(F.size("slugsa").cast("double") * F.size("slugsb")), F.lit(0.0))).first()[0]
+    x = fit.repartition(int(n // PAIRS_OF_A_TASK) + 1).select(F.explode("slugsa").alias("x"), "slugsb", "same")
+    # two of one block meet twice, those of two blocks once
+    pairs = x.select("x", F.explode("slugsb").alias("y"), "same").where("x < y or (x > y and not same)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     if reviewed is not None:
         pairs = pairs.join(reviewed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return pairs

@@ -320,3 +320,22 @@ def test_duplicates_agree_in_every_row(spark):
     theses = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (3, "b"), (4, None), (5, None)], "handle long, title string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 3), (4, 5), (4, 9)], "duplicate_handle long, kept_handle long")
     assert rows(validate.duplicate_thesis_problems(pairs, theses, ["title"]), "rule", "subject") == [("differ", "1~3"), ("differ", "3~3"), ("missing", "4~9")]
+
+
+def test_possible_duplicates_meet_in_blocks_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(identity, "BLOCK", 2)
+    monkeypatch.setattr(identity, "CELL", 2)
+    monkeypatch.setattr(identity, "PAIRS_OF_A_TASK", 5)
+    given = ["Rui", "Rui Ana", "R.", "Ana Rui", "Rui R."]
+    people = [(i, f"{given[i % 5]} Silva{i % 2}") for i in range(60)]
+    tokens = {i: n.lower().replace(".", "").split() for i, n in people}
+
+    def fit(x, y):
+        a, b = tokens[x], tokens[y]
+        within = set(a) <= set(b) or set(b) <= set(a)
+        return a[-1] == b[-1] and within and a[0][0] == b[0][0] and (a[0] == b[0] or 1 in (len(a[0]), len(b[0])))
+
+    df = identity.possible_duplicates(spark.createDataFrame(people, "slug long, name string"))
+    got = [(x.a, x.b) for x in df.collect()]
+    assert sorted(got) == [(x, y) for x in range(60) for y in range(x + 1, 60) if fit(x, y)]
+    assert df.rdd.getNumPartitions() > 50  # some 1,000 combinations in tasks of 5
