@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.operators.helpers import canonicalize, cross_group, page, paged
+from lodestar.operators.helpers import canonicalize, cross_group, page, paged, written
 
 FLOORS = {"co_project": 2, "co_supervision": 1}
 GRAPH_FLOORS = {"co_project": 4, "co_supervision": 1}
+PAIRS_OF_A_TASK = 500_000
 
 
 def pair_facts(membership: DataFrame, key: str, person: str = "person_slug") -> DataFrame:
@@ -23,13 +24,22 @@ def pair_facts(membership: DataFrame, key: str, person: str = "person_slug") ->
     return a.join(b, key).where("person_a < person_b").select("person_a", "person_b", key, "team_size")
 
 
+def spread(membership: DataFrame, key: str) -> DataFrame:
+    """membership dealt out by key over as many tasks as its pairs need, so a task's pairs don't grow with the table.
+
+    The size of a shuffle says little of what is made of it, so the number of tasks is not left to AQE."""
+    team = membership.groupBy(key).agg(F.count("*").cast("double").alias("n"))
+    pairs = team.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+    return membership.repartition(int(pairs // PAIRS_OF_A_TASK) + 1, key)
+
+
 def canonical_facts(membership: DataFrame, aliases: DataFrame, key: str, person: str = "person_slug") -> DataFrame:
     """As pair_facts, between canonical people; team_size counts the team as published.
 
-    The membership is mapped and made distinct before people are paired, so all that follows the first shuffle by key
-    stays where it is."""
-    m = membership.select(key, person).distinct().withColumn("team_size", F.count("*").over(Window.partitionBy(key)))
-    m = canonicalize(m, aliases, person).distinct()
+    The membership is mapped, written and dealt out by key before anything else, so all that follows stays where it is."""
+    m = canonicalize(membership.select(key, F.col(person).alias("_as"), person), aliases, person)
+    m = spread(written(m), key).distinct().withColumn("team_size", F.count("*").over(Window.partitionBy(key)))
+    m = m.drop("_as").distinct()
     a = m.select(key, F.col(person).alias("person_a"), "team_size")
     b = m.select(key, F.col(person).alias("person_b"))
     return a.join(b, key).where("person_a < person_b").select("person_a", "person_b", key, "team_size")

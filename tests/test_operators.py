@@ -339,3 +339,21 @@ def test_possible_duplicates_meet_in_blocks_and_cells(spark, monkeypatch):
     got = [(x.a, x.b) for x in df.collect()]
     assert sorted(got) == [(x, y) for x in range(60) for y in range(x + 1, 60) if fit(x, y)]
     assert df.rdd.getNumPartitions() > 50  # some 1,000 combinations in tasks of 5
+
+
+def test_pairs_of_projects_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS_OF_A_TASK", 10)
+    members = [(p, s, "researcher") for p in range(20) for s in range(p % 6 + 1)]
+    people, aliases = spark.createDataFrame(members, "project_id long, person_slug long, role string"), spark.createDataFrame([(3, 2)], "from_slug long, to_slug long")
+    m = graph.spread(people, "project_id")
+    assert m.rdd.getNumPartitions() == 1 + sum((p % 6 + 1) * (p % 6) // 2 for p in range(20)) // 10
+    want = {}
+    for p in range(20):
+        team = {2 if s == 3 else s for s in range(p % 6 + 1)}
+        for x in team:
+            for y in team:
+                if x < y:
+                    n, w = want.get((x, y), (0, 0.0))
+                    want[x, y] = n + 1, w + 1 / (p % 6)
+    got = {(x.person_a, x.person_b): (x.weight, x.weight_normalized) for x in graph.co_project_edges(people, aliases).collect()}
+    assert got == {k: (n, round(w, 3)) for k, (n, w) in want.items()}
