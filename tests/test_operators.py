@@ -357,3 +357,19 @@ def test_pairs_of_projects_are_dealt_out_by_their_number(spark, monkeypatch):
                     want[x, y] = n + 1, w + 1 / (p % 6)
     got = {(x.person_a, x.person_b): (x.weight, x.weight_normalized) for x in graph.co_project_edges(people, aliases).collect()}
     assert got == {k: (n, round(w, 3)) for k, (n, w) in want.items()}
+
+
+def test_affinity_of_rare_terms_and_many_groups(spark, monkeypatch):
+    """Terms that few documents have are joined, groups come in portions, a bag is counted in its row: the same scores."""
+    docs = spark.createDataFrame([(i, f"g{i % 5}" if i % 7 else None, " ".join(f"w{(i * k) % 11}x" for k in range(i % 9))) for i in range(40)], "handle long, group_code string, t string")
+
+    def scores(once):
+        counts = affinity.term_counts(docs, ["handle", "group_code"], [(F.col("t"), 2), (F.col("t"), 1)], once=once)
+        assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in affinity.term_counts(docs, ["handle", "group_code"], [(F.col("t"), 3)]).collect()}
+        return rows(affinity.affinity(affinity.bags_of(counts, "handle"), affinity.bags_of(counts, "group_code"), 40), "handle", "group_code", "score", "affinity_rank")
+
+    want = scores(False)
+    assert len(want) > 100 and any(x[1] is None for x in want)
+    monkeypatch.setattr(affinity, "COMMON_TERMS", 3)
+    monkeypatch.setattr(affinity, "GROUPS_AT_ONCE", 2)
+    assert scores(True) == want
