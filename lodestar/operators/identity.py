@@ -60,6 +60,7 @@ def match_names(names: DataFrame, people: DataFrame, distinct_pairs: DataFrame |
         primary.alias("primary"),
     )
     if distinct_pairs is not None:
+        cand = written(cand)  # both sides of the pairs and the sums read it
         d = distinct_pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         two = cand.select("name_raw", F.col("slug").alias("x")).join(cand.select("name_raw", F.col("slug").alias("y")), "name_raw").where("x < y")
         vetoed = two.join(d, ["x", "y"], "left_semi").select("name_raw").distinct().withColumn("veto", F.lit(True))

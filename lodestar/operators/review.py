@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import name_parts, name_token_list
+from lodestar.operators.helpers import written
 from lodestar.operators.identity import _initial_of, fits, fits_full, match_names
 
 SEED, SAMPLE, REVIEW_CUT, FORMER_YEAR, TOP = 20261018, 30, 2, 2015, 100
+#: Rows of a pool from which on a token is common.
+COMMON = 10_000
 NEVER, FORMER, MISSED = "never-uc", "former-uc", "resolvable-missed"
 
 #: Parts of set labels and the unit each names, in order of precedence; None is a unit without a directory.
@@ -72,11 +75,14 @@ def _accounted(t: Column) -> Column:
 def bearers(names: DataFrame, pool: DataFrame) -> DataFrame:
     """names (parted) with each row of pool (slug, name, source, tokens) that has all of their surname tokens.
 
-    A name meets the pool on the surname token that the fewest rows have; one that no row has leaves it out."""
+    A name meets the pool on the surname token that the fewest rows have; one that no row has leaves it out. Common tokens on
+    which no name meets it are known before the rows are dealt out by token."""
     keyed = pool.withColumn("block", F.explode(F.array_distinct("tokens")))
     held = keyed.groupBy("block").agg(F.count("*").alias("n"))
     asked = names.select("name_raw", F.explode(F.array_distinct("surname")).alias("block")).join(held, "block", "left")
     rare = asked.groupBy("name_raw").agg(F.min_by("block", F.struct(F.coalesce("n", F.lit(0)), F.col("block"))).alias("block"))
+    idle = held.where(F.col("n") > COMMON).select("block").join(rare.select("block").distinct(), "block", "left_anti")
+    keyed = keyed.join(F.broadcast(idle), "block", "left_anti")  # at most a token for each COMMON of the pool's
     return names.join(rare, "name_raw").join(keyed, "block").drop("block").where(F.forall("surname", lambda t: F.array_contains("tokens", t)))
 
 
@@ -97,7 +103,8 @@ def misses(names: DataFrame, pool: DataFrame) -> DataFrame:
     """name_raw, slug, name, source and how the row stands to the name: fits, superset (all of the name and more), bearing (all
     surname tokens), loose (wrong-ended: the given names under another surname), tight (such a row with nothing else in it);
     unaccounted: its tokens that the name doesn't explain. Rows of a pool that could never fit are left out."""
-    asked, rows = parted(names), pool.select("slug", "name", "source", name_token_list("name").alias("tokens"))
+    # several branches read both
+    asked, rows = written(parted(names)), written(pool.select("slug", "name", "source", name_token_list("name").alias("tokens")))
     fit = fits(F.col("surname"), F.col("given"), F.col("tokens"))
     unaccounted = F.filter("tokens", lambda t: ~_accounted(t))
     no = F.lit(False)
@@ -191,8 +198,9 @@ def cross_fits(matched: DataFrame, wider: DataFrame, distinct_pairs: DataFrame |
     """Resolved names that rows of the wider pool fit, too: name_raw, slugs, wider_slugs, wider_status. Reported, never acted on.
 
     matched: name_raw, status, slugs (from match_names); wider with canonical; distinct_pairs: a, b, reviewed as two people."""
-    done = matched.where("status in ('exact', 'confident')").select("name_raw", "slugs")
-    also = misses(done, wider).where("fits").groupBy("name_raw").agg(F.array_sort(F.collect_set("slug")).alias("wider_slugs"))
+    # matching reads its names several times, so each step is worked out once
+    done = written(matched.where("status in ('exact', 'confident')").select("name_raw", "slugs"))
+    also = written(misses(done, wider).where("fits").groupBy("name_raw").agg(F.array_sort(F.collect_set("slug")).alias("wider_slugs")))
     status = match_names(also, wider, distinct_pairs).select("name_raw", F.col("status").alias("wider_status"))
     return done.join(also, "name_raw").join(status, "name_raw")
 

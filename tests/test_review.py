@@ -148,3 +148,17 @@ def test_build_report_reads_each_table_once(spark):
     }
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Expand") == 1 and plan.count("Scan") == 2
+
+
+def test_cross_fits_work_out_each_step_once(spark, monkeypatch):
+    """Names are parted in few places, whatever reads them; common tokens that nobody meets on are left out, others are not."""
+    own = spark.createDataFrame([("o1", "Ana Maria Costa", "own", "o1"), ("o2", "Ana Maria Silva", "own", "o2")], "slug string, name string, source string, canonical string")
+    wider = spark.createDataFrame([("w1", "Ana Costa", "a", "w1"), ("x1", "Ana Maria Costa", "b", "x1"), ("w2", "Ana Silva", "a", "w2")], "slug string, name string, source string, canonical string")
+    names = spark.createDataFrame([("Costa, Ana Maria",), ("Silva, Ana Maria",), ("Reis, Ana",)], "name_raw string")
+    apart = spark.createDataFrame([("x1", "w1")], "a string, b string")
+    want = {("Costa, Ana Maria", ("o1",), ("w1", "x1"), "ambiguous"), ("Silva, Ana Maria", ("o2",), ("w2",), "confident")}
+    for common in (review.COMMON, 1, 0):
+        monkeypatch.setattr(review, "COMMON", common)
+        got = review.cross_fits(identity.match_names(names, own), wider, apart)
+        assert {(r.name_raw, tuple(r.slugs), tuple(r.wider_slugs), r.wider_status) for r in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 0
