@@ -57,8 +57,8 @@ BAGS = """WITH t AS (SELECT 'd' || doc_id AS bag, unnest(regexp_extract_all(stri
 
 
 def _bags(r: Roles) -> tuple[DataFrame, DataFrame]:
-    docs = affinity.term_counts(r.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("bag"), "text"), "bag", [(F.col("text"), 1)])
-    parts = affinity.term_counts(r.table("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("bag"), "p_name", "p_brand"), "bag", [(F.col("p_name"), 2), (F.col("p_brand"), 3)])
+    docs = affinity.bag_terms(r.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("bag"), "text"), "bag", F.col("text"))
+    parts = affinity.bag_terms(r.table("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("bag"), "p_name", "p_brand"), "bag", F.col("p_name"), F.col("p_brand"))
     return docs, parts
 
 

@@ -141,6 +141,16 @@ def test_frequencies_count_empty_bags_and_grow(spark):
     assert all(abs(x.idf - (math.log(5 / (want[x.term] + 1)) + 1)) < 1e-12 for x in affinity.idf_of(both, 4).collect())
 
 
+def test_terms_of_bags_are_counted_where_they_lie(spark):
+    """As many as term_counts gives, keys once or twice or null; where they come once, no pair of bag and term is shuffled."""
+    one = spark.createDataFrame([(1, "alpha alpha the beta", "beta"), (2, "", None), (None, "alpha", "Caf\u00e9 cafe")], "bag long, t string, u string")
+    shuffled = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(bag")
+    for docs, exchanges in ((one, 0), (one.unionByName(one), 1)):
+        got = affinity.bag_terms(docs, "bag", F.col("t"), F.col("u"))
+        want = affinity.term_counts(docs, "bag", [(F.col("t"), 2), (F.col("u"), 3)]).select("bag", "term")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and shuffled(got) == exchanges
+
+
 @pytest.fixture(scope="module")
 def api(spark):
     if not os.path.isdir(DATA):
