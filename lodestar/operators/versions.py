@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.operators.helpers import written
 from lodestar.operators.writes import _files, to_reindex
 
 BUCKETS = 64
@@ -117,11 +118,14 @@ def reindex(store: Store, documents: DataFrame, split: Callable[[Column], Column
     The tables ``documents`` (handle, sha, chunks) and ``chunks`` change in one commit: a run that ends early leaves the old
     sha, so the next one takes the document up again, and no reader ever sees some of its chunks."""
     stored = store.read("documents")
-    stale = documents if stored is None else to_reindex(documents, stored.select("handle", "sha", F.lit(True).alias("has_vector")))
+    # what is stale is told by narrow rows, and only its keys, written and so of known size, meet the texts
+    told = documents.select("handle", "sha")
+    told = told if stored is None else to_reindex(told, stored.select("handle", "sha", F.lit(True).alias("has_vector")))
+    keys = written(told.select("handle").distinct())
+    stale = documents if stored is None else documents.join(keys.select(F.col("handle").alias("_key")), F.col("handle").eqNullSafe(F.col("_key")), "left_semi")
     chunks = stale.select("handle", F.posexplode(split(F.col("text"))).alias("ordinal", "chunk"))
     chunks = chunks if embed is None else embed(chunks)
     rows = stale.select("handle", "sha", F.size(split(F.col("text"))).alias("chunks"))
-    keys = stale.select("handle").distinct()
     n = keys.count()
     store.replace({"chunks": chunks, "documents": rows}, keys, "handle")
     return n

@@ -80,6 +80,28 @@ def test_a_kill_at_any_step_is_never_seen(spark, tmp_path, monkeypatch, step):
     assert seen(store) == new
 
 
+def test_texts_are_not_dealt_out_to_tell_what_changed(spark, tmp_path, monkeypatch):
+    """The stored rows are more than a broadcast takes, the changed keys are few: texts stay where they lie."""
+    store = versions.Store(spark, f"file://{tmp_path}/s", buckets=2)
+    texts = {f"h{i}": f"text {i}" for i in range(300)}
+    versions.reindex(store, docs(spark, texts), split)
+    plans, replace = [], versions.Store.replace
+
+    def kept(self, tables, *args):
+        plans.extend(t._jdf.queryExecution().executedPlan().toString() for t in tables.values())
+        return replace(self, tables, *args)
+
+    monkeypatch.setattr(versions.Store, "replace", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+    try:
+        assert versions.reindex(store, docs(spark, texts | {"h7": "other", "h300": "new one"}), split) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in p for p in plans)
+    assert seen(store) == texts | {"h7": "other", "h300": "new one"}
+
+
 def test_the_second_of_two_writers_fails_whole(spark, tmp_path):
     store = versions.Store(spark, f"file://{tmp_path}/s", buckets=2)
     one = spark.createDataFrame([("a", 1)], "handle string, n long")
